@@ -47,13 +47,11 @@ def split_edges(words: DataFrame, dicts: DataFrame, interfixes=P.DEFAULT_INTERFI
     interfixes = check_interfixes(interfixes)
     small, _ = bounded_broadcast(_list(dicts, "small"))
     full, _ = bounded_broadcast(_list(dicts, "full"))
-    max_small = dicts.where(F.col("kind") == "small").select(F.max("length")).scalar() or 0
-    max_full = dicts.where(F.col("kind") == "full").select(F.max("length")).scalar() or 0
-    w = F.col(col)
-    n = F.length(w)
-    is_ifx = lambda pos: F.substring(w, pos + 1, 1).isin(*interfixes)  # noqa: E731  (pos is 0-based)
-    base = words.select(w.alias("w")).where(F.length("w") >= 3)
-    w, n = F.col("w"), F.length(F.col("w"))
+    # longest word of each list, as scalar subqueries (bound the head width)
+    max_small = F.coalesce(dicts.where(F.col("kind") == "small").select(F.max("length")).scalar(), F.lit(0))
+    max_full = F.coalesce(dicts.where(F.col("kind") == "full").select(F.max("length")).scalar(), F.lit(0))
+    base = words.select(F.col(col).alias("w")).where(F.length("w") >= 3)
+    n = F.length(F.col("w"))
     # cut positions p in [1, n-2] holding an interfix character
     cuts = (base.select("w", F.explode(F.sequence(F.lit(1), n - 2)).alias("p"))
                 .where(F.substring("w", F.col("p") + 1, 1).isin(*interfixes)))
@@ -61,34 +59,34 @@ def split_edges(words: DataFrame, dicts: DataFrame, interfixes=P.DEFAULT_INTERFI
                                                         F.col("p") - 1)).alias("j"))
                  .withColumn("sub", F.expr("substring(w, j + 1, p - j)"))
                  .join(small, "sub", "left_semi")
-                 .select("w", F.lit("edge").alias("e_kind"), F.col("j").alias("a"), F.col("p").alias("b")))
+                 .select("w", F.lit("edge").alias("e_kind"), F.col("j").cast("int").alias("a"),
+                         F.col("p").cast("int").alias("b")))
     terms = (cuts.select("w", (F.col("p") + 1).alias("t"))
                  .where(F.length("w") - F.col("t") < max_full + 1)
                  .withColumn("sub", F.expr("substring(w, t + 1)"))
                  .join(full, "sub", "left_semi")
-                 .select("w", F.lit("term").alias("e_kind"), F.col("t").alias("a"), F.lit(-1).alias("b")))
+                 .select("w", F.lit("term").alias("e_kind"), F.col("t").cast("int").alias("a"),
+                         F.lit(-1).alias("b")))
     return heads.unionByName(terms)
 
 
-def first_split(edges: Column, terms: Column, n: Column) -> Column:
-    """The cut list of the first valid split (empty if none).
+def first_split(edges: Column, terms: Column) -> Column:
+    """The cut list of the first valid split, NULL if there is none.
 
     ``edges``: array<struct<nj:int, p:int>> sorted ascending (start descending,
-    then cut ascending); ``terms``: array<int> of terminal starts."""
-    empty = F.create_map().cast("map<int,int>")
-    accepted = F.aggregate(
-        edges, empty,
-        lambda m, e: F.when(~F.map_contains_key(m, -e["nj"])
-                            & (F.array_contains(terms, e["p"] + 1) | F.map_contains_key(m, e["p"] + 1)),
-                            F.map_concat(m, F.create_map(-e["nj"], e["p"]))).otherwise(m))
-    start = F.struct(F.lit(0).alias("nxt"), F.array().cast("array<int>").alias("cuts"))
-    walk = F.aggregate(
-        F.sequence(F.lit(0), n - 1), start,
-        lambda s, pos: F.when((pos == s["nxt"]) & F.map_contains_key(accepted, pos),
-                              F.struct((F.element_at(accepted, pos) + 1).alias("nxt"),
-                                       F.array_append(s["cuts"], F.element_at(accepted, pos)).alias("cuts")))
-                        .otherwise(s))
-    return walk["cuts"]
+    then cut ascending); ``terms``: array<int> of terminal starts.  The fold
+    keeps, for every start that can split, the cut list chosen from it; a
+    start's first acceptable cut wins, and a rest that splits is preferred
+    to a terminal rest.  The answer is the entry for start 0."""
+    empty = F.create_map().cast("map<int,array<int>>")
+
+    def step(m, e):
+        j, p = -e["nj"], e["p"]
+        rest = F.element_at(m, p + 1)
+        ok = ~F.map_contains_key(m, j) & (rest.isNotNull() | F.array_contains(terms, p + 1))
+        cuts = F.concat(F.array(p), F.coalesce(rest, F.array().cast("array<int>")))
+        return F.when(ok, F.map_concat(m, F.create_map(j, cuts))).otherwise(m)
+    return F.element_at(F.aggregate(edges, empty, step), F.lit(0))
 
 
 def parts_of(w: Column, cuts: Column) -> Column:
@@ -109,13 +107,15 @@ def compound_splits(words: DataFrame, dicts: DataFrame, interfixes=P.DEFAULT_INT
     """C1-C3 on a distinct-word table: ``(w, cuts, parts)`` for every word that
     splits (words that do not split have no row)."""
     e = split_edges(words, dicts, interfixes, col)
-    grouped = e.groupBy("w").agg(
+    grouped = (e.groupBy("w").agg(
         F.array_sort(F.collect_list(F.when(F.col("e_kind") == "edge",
                                            F.struct((-F.col("a")).alias("nj"), F.col("b").alias("p"))))).alias("edges"),
         F.collect_list(F.when(F.col("e_kind") == "term", F.col("a"))).alias("terms"))
-    cuts = first_split(F.col("edges"), F.col("terms"), F.length("w"))
+        .where(F.exists("edges", lambda x: x["nj"] == 0)))
+    # a generator (not a filter) drops words without a split, so the fold is
+    # evaluated once per word and not copied into a pushed-down predicate
+    cuts = F.explode(F.filter(F.array(first_split(F.col("edges"), F.col("terms"))), lambda c: c.isNotNull()))
     return (grouped.select("w", cuts.alias("cuts"))
-                   .where(F.size("cuts") > 0)
                    .withColumn("parts", parts_of(F.col("w"), F.col("cuts"))))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators import clean, compound, lexicon, sampling, tokens
-from ..session import read_table
+from ..session import cut_lineage, read_table
 from ..sources import jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,8 +42,9 @@ def sentence_tokens(spark, d):
 
 
 def corpus_words(spark, d):
-    """Distinct pre-tokens of the kept sentences with frequencies (K3)."""
-    return tokens.word_freq(sentence_tokens(spark, d))
+    """Distinct pre-tokens of the kept sentences with frequencies (K3),
+    materialised once: every later step (splits, lattices, joins) reads it."""
+    return cut_lineage(tokens.word_freq(sentence_tokens(spark, d)))
 
 
 def derived_lexicon(spark, d):
@@ -51,7 +52,8 @@ def derived_lexicon(spark, d):
 
 
 def dictionaries(spark, d):
-    return lexicon.dictionaries(derived_lexicon(spark, d))
+    """Both word lists, materialised once (small; read by size checks and joins)."""
+    return cut_lineage(lexicon.dictionaries(derived_lexicon(spark, d)))
 
 
 def _join_ints(c):

@@ -109,7 +109,7 @@ complete AS (
 best AS (SELECT w, min(key) AS key FROM complete GROUP BY w),
 splits AS (SELECT w, list_slice(key, 1, len(key) - 1) AS cuts FROM best),
 split_parts AS (
-  SELECT w, cuts, flatten(list_transform(range(0, len(cuts) + 1), i ->
+  SELECT w, cuts, flatten(list_transform(range(0, len(cuts) + 1), lambda i:
            CASE WHEN i < len(cuts)
                 THEN [substr(w, (CASE WHEN i = 0 THEN 0 ELSE cuts[i] + 1 END) + 1,
                              cuts[i + 1] - (CASE WHEN i = 0 THEN 0 ELSE cuts[i] + 1 END)),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 # Session settings used by tests and the benchmark.  On a cluster the cluster's
@@ -62,7 +63,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder (reliable: survives
     the loss of executors) and return a DataFrame that reads it back."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # persist first: a reliable checkpoint otherwise recomputes the plan in a
+    # second job to write the files
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=True)
+    df.unpersist()
+    return out
 
 
 def table_path(sf_dir: str, name: str) -> str:
