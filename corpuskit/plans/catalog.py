@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..operators import clean, compound, lexicon, sampling, tokens
+from ..operators import clean, compound, encode, evaluate, lexicon, mlm, sampling, tokens, unigram
 from ..session import cut_lineage, read_table
 from ..sources import jsonl
 
@@ -248,3 +248,214 @@ def epoch_shuffle(spark, d):
 def batch_assign(spark, d):
     test = split_sentences_table(spark, d).where(F.col("split") == "test")
     return sampling.assign_batches(test).select(*SENT_KEY, "row_idx", "batch")
+
+
+# --- E2, E4-E10, M1-M3: ids, specials, padding, masking (word-level vocabulary) ---------
+#
+# A word-level vocabulary (ids by frequency) makes every id exactly checkable in
+# SQL; the same functions take the Unigram ``(w, ids)`` table (``encode_docs``).
+
+def _word_vocab(spark, d):
+    return cut_lineage(encode.word_vocab(corpus_words(spark, d)))
+
+
+def _sentence_ids(spark, d, vocab=None):
+    vocab = vocab if vocab is not None else _word_vocab(spark, d)
+    sents = split_sentences_table(spark, d)
+    ids = encode.encode_sentences(sents, encode.word_ids_from_vocab(vocab), SENT_KEY, "sent",
+                                  freq=corpus_words(spark, d))
+    return sents.select(*SENT_KEY, "split", "row_idx").join(ids, SENT_KEY)
+
+
+@query("vocab_lookup")
+def vocab_lookup(spark, d):
+    return _word_vocab(spark, d).select("id", "token", "special")
+
+
+@query("token_ids")
+def token_ids(spark, d):
+    return _sentence_ids(spark, d).select(*SENT_KEY, F.size("ids").cast("bigint").alias("n_ids"),
+                                          _join_ints(F.col("ids")).alias("ids"))
+
+
+@query("add_specials")
+def add_specials(spark, d):
+    s = _sentence_ids(spark, d)
+    wrapped = encode.add_specials(F.col("ids"), 128)
+    return s.select(*SENT_KEY, F.size(wrapped).cast("bigint").alias("n_ids"), _join_ints(wrapped).alias("input_ids"))
+
+
+@query("pad_batch")
+def pad_batch(spark, d):
+    s = (_sentence_ids(spark, d).where(F.col("split") == "train")
+         .withColumn("input_ids", encode.add_specials(F.col("ids"), 128)))
+    p = encode.pad_batches(s)
+    return p.select(*SENT_KEY, "row_idx", _join_ints(F.col("input_ids")).alias("input_ids"),
+                    _join_ints(F.col("attention_mask")).alias("attention_mask"))
+
+
+@query("pad_fixed")
+def pad_fixed(spark, d):
+    s = _sentence_ids(spark, d).where(F.col("split") == "test")
+    ids = encode.add_specials(F.col("ids"), 512)
+    return s.select(*SENT_KEY, _join_ints(encode.pad_to(ids, 512)).alias("input_ids"),
+                    _join_ints(encode.attention_mask(ids, 512)).alias("attention_mask"))
+
+
+@query("length_views")
+def length_views(spark, d):
+    s = _sentence_ids(spark, d)
+    return s.select(*SENT_KEY, "split", F.size(encode.add_specials(F.col("ids"), 128)).cast("bigint").alias("len_128"),
+                    F.size(encode.add_specials(F.col("ids"), 512)).cast("bigint").alias("len_512"))
+
+
+@query("mlm_mask")
+def mlm_mask(spark, d):
+    vocab = _word_vocab(spark, d)
+    n_vocab = vocab.count()
+    s = (_sentence_ids(spark, d, vocab).where(F.col("split") == "test")
+         .withColumn("input_ids", encode.pad_to(encode.add_specials(F.col("ids"), 512), 512)))
+    m = mlm.mask(s, SENT_KEY, n_vocab, epoch=0)
+    return m.select(*SENT_KEY, _join_ints(F.col("input_ids")).alias("input_ids"), _join_ints(F.col("labels")).alias("labels"))
+
+
+@query("mlm_epochs")
+def mlm_epochs(spark, d):
+    vocab = _word_vocab(spark, d)
+    n_vocab = vocab.count()
+    s = (_sentence_ids(spark, d, vocab).where(F.col("split") == "train")
+         .withColumn("input_ids", encode.add_specials(F.col("ids"), 128)))
+    out = None
+    for epoch in (0, 1):
+        m = mlm.mask(s, SENT_KEY, n_vocab, epoch=epoch).select(
+            *SENT_KEY, F.lit(epoch).cast("bigint").alias("epoch"),
+            F.size(F.filter("labels", lambda x: x != P.IGNORE_INDEX)).cast("bigint").alias("n_selected"),
+            F.size(F.filter("input_ids", lambda x: x == P.MASK_ID)).cast("bigint").alias("n_masked"))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("decode_ids")
+def decode_ids(spark, d):
+    vocab = _word_vocab(spark, d)
+    s = _sentence_ids(spark, d, vocab).select(*SENT_KEY, encode.add_specials(F.col("ids"), 128).alias("ids"))
+    dec = encode.decode(s, vocab, SENT_KEY, "ids")
+    return dec.select(*SENT_KEY, F.array_join("tokens", " ").alias("text"))
+
+
+@query("tokeniser_compare")
+def tokeniser_compare(spark, d):
+    """E11 for the two checkable tokenisers: pre-tokens (whitespace) and
+    compound parts per language."""
+    words = corpus_words(spark, d)
+    toks = sentence_tokens(spark, d)
+    splits = compound.compound_splits(words.select("w"), dictionaries(spark, d))
+    parts = compound.compound_tokens(toks.drop("doc_id", "line_no", "sent_no").withColumn("i", F.monotonically_increasing_id()),
+                                     splits, "token", freq=words)
+    ws = toks.groupBy("lang").agg(F.count(F.lit(1)).alias("n_pretokens"))
+    cp = parts.groupBy("lang").agg(F.count(F.lit(1)).alias("n_compound_parts"))
+    return ws.join(cp, "lang")
+
+
+# --- Q1-Q3: evaluation on the embeddings table (64 logits, label) -------------------------
+
+@query("mlm_eval")
+def mlm_eval(spark, d):
+    e = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label"),
+                                                  F.col("embedding").alias("logits"))
+    m = evaluate.mlm_metrics(e)
+    return m.select("n_rows", "n_scored", *[F.round(c, 6).alias(c) for c in ("perplexity", "perplexity_exact", "accuracy")])
+
+
+@query("row_loss")
+def row_loss(spark, d):
+    e = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label"),
+                                                  F.col("embedding").alias("logits"))
+    r = evaluate.row_metrics(e)
+    return r.select("row_id", F.round("loss", 6).alias("loss"), F.col("correct").cast("bigint").alias("correct"))
+
+
+# --- V2-V6, E1, Q5: Unigram ------------------------------------------------------------------
+
+def training_words(spark, d):
+    """Pre-tokens after compound splitting, with frequencies: the trainer's input."""
+    words = corpus_words(spark, d)
+    splits = compound.compound_splits(words.select("w"), dictionaries(spark, d))
+    parts = (words.join(splits.select("w", "parts"), "w", "left")
+                  .select(F.explode(F.coalesce("parts", F.array("w"))).alias("w"), "f"))
+    return cut_lineage(parts.groupBy("w").agg(F.sum("f").cast("bigint").alias("f")))
+
+
+@query("unigram_seed")
+def unigram_seed(spark, d):
+    s = unigram.seed_pieces(training_words(spark, d))
+    return s.select("piece", F.col("freq").cast("bigint").alias("freq"), F.col("score").cast("bigint").alias("score"),
+                    F.round("lp", 6).alias("lp"))
+
+
+def _seed_model(spark, d):
+    return cut_lineage(unigram.seed_pieces(training_words(spark, d)).select("piece", "lp"))
+
+
+@query("unigram_estep")
+def unigram_estep(spark, d):
+    c = unigram.e_step(training_words(spark, d), _seed_model(spark, d))
+    return c.select("piece", F.round("c", 4).alias("c"))
+
+
+@query("unigram_mstep")
+def unigram_mstep(spark, d):
+    words = training_words(spark, d)
+    m = unigram.m_step(unigram.e_step(words, _seed_model(spark, d)))
+    return m.select("piece", F.round("c", 4).alias("c"), F.round("lp", 6).alias("lp"))
+
+
+@query("unigram_prune")
+def unigram_prune(spark, d):
+    words = training_words(spark, d)
+    m = cut_lineage(unigram.m_step(unigram.e_step(words, _seed_model(spark, d))).select("piece", "lp"))
+    target = max(m.count() // 2, 1)
+    return unigram.prune(words, m, target).select("piece", F.round("lp", 6).alias("lp"))
+
+
+@query("vocab_table")
+def vocab_table(spark, d):
+    return unigram.train(training_words(spark, d), vocab_size=P.VOCAB_SIZE)
+
+
+def _seed_vocab(spark, d):
+    return cut_lineage(unigram.finalize(_seed_model(spark, d), P.VOCAB_SIZE))
+
+
+@query("unigram_viterbi")
+def unigram_viterbi(spark, d):
+    enc = unigram.encode_words(training_words(spark, d).select("w"), _seed_vocab(spark, d))
+    return enc.select("w", _join_ints(F.col("ids")).alias("ids"), F.array_join("tokens", " ").alias("tokens"),
+                      F.round("score", 6).alias("score"))
+
+
+@query("encode_docs")
+def encode_docs(spark, d):
+    vocab = _seed_vocab(spark, d)
+    words = corpus_words(spark, d)
+    splits = compound.compound_splits(words.select("w"), dictionaries(spark, d))
+    wid = cut_lineage(encode.word_ids_unigram(words, vocab, splits))
+    sents = split_sentences_table(spark, d)
+    ids = encode.encode_sentences(sents, wid, SENT_KEY, "sent", freq=words)
+    s = (sents.select(*SENT_KEY, "split", "row_idx").join(ids, SENT_KEY).where(F.col("split") == "train")
+              .withColumn("input_ids", encode.add_specials(F.col("ids"), 128)))
+    p = encode.pad_batches(s)
+    return p.select(*SENT_KEY, _join_ints(F.col("input_ids")).alias("input_ids"),
+                    _join_ints(F.col("attention_mask")).alias("attention_mask"))
+
+
+@query("corpus_perplexity")
+def corpus_perplexity(spark, d):
+    vocab = _seed_vocab(spark, d)
+    words = corpus_words(spark, d)
+    enc = unigram.encode_words(words.select("w"), vocab)
+    toks = sentence_tokens(spark, d).select("lang", F.col("token").alias("w"))
+    scored = (toks.join(enc.select("w", "score", F.size("ids").alias("n_pieces")), "w"))
+    q = evaluate.corpus_perplexity(scored)
+    return q.select("lang", F.col("n_words").cast("bigint").alias("n_words"), F.col("n_pieces").cast("bigint").alias("n_pieces"),
+                    F.round("perplexity", 4).alias("perplexity"))

@@ -221,3 +221,136 @@ SELECT t.doc_id, t.line_no::BIGINT AS line_no, t.sent_no::BIGINT AS sent_no, t.t
        (generate_subscripts(coalesce(s.parts, [t.token]), 1) - 1)::BIGINT AS part_no,
        unnest(coalesce(s.parts, [t.token])) AS piece
 FROM toks t LEFT JOIN split_parts s ON s.w = t.token""")
+
+
+# --- word-level ids, specials, padding, masking ---------------------------------------
+
+IDS = SPLIT_ROWS + f""",
+toks AS (
+  SELECT doc_id, line_no, sent_no, unnest(tl) AS token, generate_subscripts(tl, 1) - 1 AS tok_no
+  FROM (SELECT doc_id, line_no, sent_no, regexp_extract_all(lower(sent), {TOKEN}) AS tl FROM split_rows)),
+words AS (
+  SELECT token AS w, count(*)::BIGINT AS f FROM toks
+  WHERE token NOT IN {in_list(P.SPECIAL_TOKENS)} GROUP BY token),
+wv AS (SELECT w, (row_number() OVER (ORDER BY f DESC, w) + 4)::INTEGER AS id FROM words),
+n_vocab AS (SELECT count(*) + 5 AS n FROM words),
+sent_ids AS (
+  SELECT t.doc_id, t.line_no::BIGINT AS line_no, t.sent_no::BIGINT AS sent_no,
+         list(coalesce(wv.id, 3) ORDER BY t.tok_no) AS ids
+  FROM toks t LEFT JOIN wv ON wv.w = t.token GROUP BY t.doc_id, t.line_no, t.sent_no),
+seqs AS (
+  SELECT s.doc_id, s.line_no, s.sent_no, r.split, r.row_idx, s.ids,
+         list_concat([1], s.ids[1:126], [2]) AS ids128,
+         list_concat([1], s.ids[1:510], [2]) AS ids512
+  FROM sent_ids s JOIN split_rows r USING (doc_id, line_no, sent_no))"""
+
+_MASK_EXPR = """list_transform({ids}, lambda x, i: CASE
+    WHEN x IN (0, 1, 2, 3, 4) THEN struct_pack(id := x, label := -100)
+    WHEN ('0x' || substr(md5('4242:{epoch}:' || doc_id || ':' || line_no || ':' || sent_no || ':' || (i - 1)), 1, 6))::BIGINT >= {sel}
+      THEN struct_pack(id := x, label := -100)
+    WHEN ('0x' || substr(md5('4242:{epoch}:' || doc_id || ':' || line_no || ':' || sent_no || ':' || (i - 1)), 1, 6))::BIGINT < {mask}
+      THEN struct_pack(id := 4, label := x)
+    WHEN ('0x' || substr(md5('4242:{epoch}:' || doc_id || ':' || line_no || ':' || sent_no || ':' || (i - 1)), 1, 6))::BIGINT < {rnd}
+      THEN struct_pack(id := (('0x' || substr(md5('r:4242:{epoch}:' || doc_id || ':' || line_no || ':' || sent_no || ':' || (i - 1)), 1, 6))::BIGINT % nv)::INTEGER, label := x)
+    ELSE struct_pack(id := x, label := x) END)"""
+
+
+def _mask(ids: str, epoch: int) -> str:
+    from ..operators.mlm import MASK_T, RANDOM_T, SELECT_T
+    return _MASK_EXPR.format(ids=ids, epoch=epoch, sel=SELECT_T, mask=MASK_T, rnd=RANDOM_T)
+
+
+def _pad(ids: str, n: str) -> str:
+    return f"list_concat({ids}, list_transform(range(greatest({n} - len({ids}), 0)), lambda z: 0))"
+
+
+def _mask_bits(ids: str, n: str) -> str:
+    return (f"list_concat(list_transform(range(len({ids})), lambda z: 1), "
+            f"list_transform(range(greatest({n} - len({ids}), 0)), lambda z: 0))")
+
+
+ORACLE.update({
+    "vocab_lookup": with_(IDS, f"""
+SELECT id, w AS token, false AS special FROM wv
+UNION ALL SELECT * FROM (VALUES {', '.join(f"({i}, {lit(t)}, true)" for i, t in enumerate(P.SPECIAL_TOKENS))}) v(id, token, special)"""),
+    "token_ids": with_(IDS, """
+SELECT doc_id, line_no, sent_no, len(ids)::BIGINT AS n_ids, array_to_string(ids, ',') AS ids FROM seqs"""),
+    "add_specials": with_(IDS, """
+SELECT doc_id, line_no, sent_no, len(ids128)::BIGINT AS n_ids, array_to_string(ids128, ',') AS input_ids FROM seqs"""),
+    "pad_batch": with_(IDS, f"""
+SELECT doc_id, line_no, sent_no, row_idx,
+       array_to_string({_pad('ids128', 'm')}, ',') AS input_ids,
+       array_to_string({_mask_bits('ids128', 'm')}, ',') AS attention_mask
+FROM (SELECT *, max(len(ids128)) OVER (PARTITION BY row_idx // 1000) AS m FROM seqs WHERE split = 'train')"""),
+    "pad_fixed": with_(IDS, f"""
+SELECT doc_id, line_no, sent_no,
+       array_to_string({_pad('ids512', '512')}, ',') AS input_ids,
+       array_to_string({_mask_bits('ids512', '512')}, ',') AS attention_mask
+FROM seqs WHERE split = 'test'"""),
+    "length_views": with_(IDS, """
+SELECT doc_id, line_no, sent_no, split, len(ids128)::BIGINT AS len_128, len(ids512)::BIGINT AS len_512 FROM seqs"""),
+    "mlm_mask": with_(IDS, f"""
+SELECT doc_id, line_no, sent_no,
+       array_to_string(list_transform(m, lambda x: x.id), ',') AS input_ids,
+       array_to_string(list_transform(m, lambda x: x.label), ',') AS labels
+FROM (SELECT doc_id, line_no, sent_no, {_mask(_pad('ids512', '512'), 0)} AS m
+      FROM seqs, (SELECT n AS nv FROM n_vocab) WHERE split = 'test')"""),
+    "mlm_epochs": with_(IDS, " UNION ALL ".join(f"""
+SELECT doc_id, line_no, sent_no, {e}::BIGINT AS epoch,
+       len(list_filter(m, lambda x: x.label <> -100))::BIGINT AS n_selected,
+       len(list_filter(m, lambda x: x.id = 4))::BIGINT AS n_masked
+FROM (SELECT doc_id, line_no, sent_no, {_mask('ids128', e)} AS m
+      FROM seqs, (SELECT n AS nv FROM n_vocab) WHERE split = 'train')""" for e in (0, 1))),
+    "decode_ids": with_(IDS + f""",
+vocab AS (SELECT id, w AS token FROM wv UNION ALL
+          SELECT * FROM (VALUES {', '.join(f"({i}, {lit(t)})" for i, t in enumerate(P.SPECIAL_TOKENS))}) v(id, token)),
+dec AS (
+  SELECT q.doc_id, q.line_no, q.sent_no, unnest(q.ids128) AS id, generate_subscripts(q.ids128, 1) AS pos FROM seqs q)""", """
+SELECT dec.doc_id, dec.line_no, dec.sent_no, string_agg(vocab.token, ' ' ORDER BY dec.pos) AS text
+FROM dec JOIN vocab USING (id) GROUP BY dec.doc_id, dec.line_no, dec.sent_no"""),
+    "tokeniser_compare": with_(SPLITS, """
+SELECT t.lang, t.n_pretokens, c.n_compound_parts FROM
+  (SELECT lang, count(*)::BIGINT AS n_pretokens FROM toks GROUP BY lang) t
+JOIN
+  (SELECT toks.lang, sum(coalesce(len(s.parts), 1))::BIGINT AS n_compound_parts
+   FROM toks LEFT JOIN split_parts s ON s.w = toks.token GROUP BY toks.lang) c USING (lang)"""),
+    "row_loss": """
+WITH r AS (SELECT vec_id AS row_id, label, embedding AS x, list_max(embedding)::DOUBLE AS m FROM embeddings WHERE label >= 0)
+SELECT row_id,
+       round(m + ln(list_sum(list_transform(x, lambda v: exp(v::DOUBLE - m)))) - x[label + 1]::DOUBLE, 6) AS loss,
+       (list_position(x, list_max(x)) - 1 = label)::BIGINT AS correct
+FROM r""",
+    "mlm_eval": """
+WITH r AS (SELECT vec_id AS row_id, label, embedding AS x, list_max(embedding)::DOUBLE AS m FROM embeddings WHERE label >= 0),
+l AS (SELECT row_id, m + ln(list_sum(list_transform(x, lambda v: exp(v::DOUBLE - m)))) - x[label + 1]::DOUBLE AS loss,
+             (list_position(x, list_max(x)) - 1 = label)::INTEGER AS correct FROM r),
+b AS (SELECT row_id // 8 AS batch, avg(loss) AS bl, sum(loss) AS sl, count(*) AS nl, sum(correct) AS nc FROM l GROUP BY 1),
+n AS (SELECT count(*) AS n FROM embeddings)
+SELECT (SELECT n FROM n)::BIGINT AS n_rows, sum(nl)::BIGINT AS n_scored,
+       round(CASE WHEN (SELECT n FROM n) // 8 > 0 THEN exp(sum(bl) / ((SELECT n FROM n) // 8)) END, 6) AS perplexity,
+       round(exp(sum(sl) / sum(nl)), 6) AS perplexity_exact,
+       round(sum(nc)::DOUBLE / sum(nl), 6) AS accuracy
+FROM b""",
+})
+
+# --- Unigram seeds -------------------------------------------------------------------------
+
+ORACLE["unigram_seed"] = with_(SPLITS + """,
+train_words AS (
+  SELECT part AS w, sum(f)::BIGINT AS f FROM (
+    SELECT unnest(coalesce(s.parts, [words.w])) AS part, words.f FROM words LEFT JOIN split_parts s ON s.w = words.w)
+  GROUP BY part),
+subs AS (
+  SELECT substr(w, st + 1, ln) AS piece, f FROM train_words, unnest(range(0, length(w))) AS a(st), unnest(range(1, 17)) AS b(ln)
+  WHERE st + ln <= length(w)),
+counted AS (
+  SELECT piece, sum(f)::BIGINT AS freq FROM subs GROUP BY piece),
+kept AS (
+  SELECT piece, freq, freq * length(piece) AS score FROM counted WHERE length(piece) = 1 OR freq >= 2),
+ranked AS (
+  SELECT *, CASE WHEN length(piece) = 1 THEN 0 ELSE row_number() OVER (PARTITION BY length(piece) = 1 ORDER BY score DESC, piece) END AS r
+  FROM kept),
+seeds AS (
+  SELECT * FROM ranked WHERE length(piece) = 1
+     OR r <= 1000000 - (SELECT count(*) FROM kept WHERE length(piece) = 1))""", """
+SELECT piece, freq, score::BIGINT AS score, round(ln(score) - ln((SELECT sum(score) FROM seeds)), 6) AS lp FROM seeds""")
