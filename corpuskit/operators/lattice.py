@@ -38,20 +38,23 @@ def lattice_edges(words: DataFrame, pieces: DataFrame, unk_lp: Column | float,
                   max_len: int = MAX_PIECE_LENGTH, col: str = "w", exclude_self: bool = False) -> DataFrame:
     """Edges of every word; ``pieces`` has ``(piece, lp)`` and optionally
     ``pid``.  With ``exclude_self`` the edge covering the whole word is left
-    out (the best segmentation *other* than the word itself)."""
+    out (the best segmentation *other* than the word itself).
+
+    One pass: substrings LEFT JOIN the (size-checked, broadcast) pieces; a
+    one-character substring without a piece stays as an unknown edge.  The
+    words are hash-partitioned by word first, and a broadcast join keeps that
+    partitioning, so grouping the edges per word needs no shuffle of edges."""
     if "pid" not in pieces.columns:
         pieces = pieces.withColumn("pid", F.lit(None).cast("int"))
     table, _ = bounded_broadcast(pieces.select("piece", "lp", "pid"))
-    subs = substrings(words, max_len, col)
+    subs = substrings(words.repartition(col), max_len, col)
     if exclude_self:
         subs = subs.where(~((F.col("s") == 0) & (F.col("e") == F.length(col))))
-    known = subs.join(table, "piece", "inner").withColumn("unk", F.lit(False))
-    unknown = (subs.where(F.col("e") - F.col("s") == 1)
-                   .join(table.select("piece"), "piece", "left_anti")
-                   .withColumn("lp", (unk_lp if isinstance(unk_lp, Column) else F.lit(float(unk_lp))).cast("double"))
-                   .withColumn("pid", F.lit(None).cast("int"))
-                   .withColumn("unk", F.lit(True)))
-    return known.unionByName(unknown)
+    unk = unk_lp if isinstance(unk_lp, Column) else F.lit(float(unk_lp))
+    return (subs.join(table, "piece", "left")
+                .where(F.col("lp").isNotNull() | (F.col("e") - F.col("s") == 1))
+                .withColumn("unk", F.col("lp").isNull())
+                .withColumn("lp", F.coalesce(F.col("lp"), unk.cast("double"))))
 
 
 def collect_edges(edges: DataFrame, keys) -> DataFrame:
@@ -79,11 +82,8 @@ def with_viterbi(df: DataFrame, edges: str = "edges", n: str = "n", out: str = "
               .drop("_idx", "_path"))
 
 
-def with_expected_counts(df: DataFrame, edges: str = "edges", n: str = "n", f: str = "f",
-                         out: str = "counts") -> DataFrame:
-    """E-step per word: adds ``out`` = array<struct<piece, unk, c>> with
-    ``c = f * P(edge | word)`` (forward-backward kernel)."""
+def with_expected_counts(df: DataFrame, edges: str = "edges", n: str = "n", f: str = "f") -> DataFrame:
+    """E-step per word: adds ``c`` = array<double>, ``f * P(edge | word)`` for
+    every edge of ``edges`` in the same order (forward-backward kernel)."""
     s, e, lp = _arrays(F.col(edges))
-    df = df.withColumn("_c", edge_posteriors(s, e, lp, F.col(n), F.col(f).cast("double")))
-    return df.withColumn(out, F.zip_with(edges, "_c", lambda x, c: F.struct(
-        x["piece"].alias("piece"), x["unk"].alias("unk"), c.alias("c")))).drop("_c")
+    return df.withColumn("c", edge_posteriors(s, e, lp, F.col(n), F.col(f).cast("double")))

@@ -108,7 +108,8 @@ def dictionaries(lex: DataFrame, drop_longest_words: bool = True, normalise: boo
             df = drop_longest(df)
         if normalise:
             df = (normalise_words(df, "word").select(F.col("norm").alias("word"))
-                  .distinct().withColumn("length", F.length("word").cast("bigint")))
+                  .groupBy("word").agg(F.lit(1).alias("_one")).drop("_one")
+                  .withColumn("length", F.length("word").cast("bigint")))
         out.append(df.select("word", "length", F.lit(kind).alias("kind")))
     return out[0].unionByName(out[1])
 

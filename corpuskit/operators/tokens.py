@@ -47,31 +47,29 @@ def nfkc_lower(s: pd.Series) -> pd.Series:
 def normalise_words(words: DataFrame, col: str = "w") -> DataFrame:
     """K1 on a distinct-word table: adds ``norm`` (the word after NFKC + lower).
 
-    Only words with a non-ASCII character reach Python; the UDF input is the
-    distinct word list, so its cost does not grow with corpus size."""
+    The UDF input is the distinct word list, so its cost grows with the
+    vocabulary, not with the corpus; ASCII words (NFKC-invariant) keep
+    their value without a Python round trip result being used."""
     c = F.col(col)
-    ascii_rows = words.where(~c.rlike(NON_ASCII)).withColumn("norm", c)
-    other = words.where(c.rlike(NON_ASCII)).withColumn("norm", nfkc_lower(c))
-    return ascii_rows.unionByName(other)
+    return words.withColumn("norm", F.when(c.rlike(NON_ASCII), nfkc_lower(c)).otherwise(c))
 
 
 def word_freq(tokens: DataFrame, col: str = "token", normalise: bool = True) -> DataFrame:
     """K3: pre-token frequencies ``(w, f)``; special tokens are not counted.
 
     Partial counts are combined map-side, so a hot word costs one row per
-    task before the shuffle.  With ``normalise`` the NFKC fix is applied to
-    the distinct words and any word it changes is re-tokenised."""
+    task before the shuffle.  With ``normalise`` the NFKC fix runs once over
+    the distinct words; a word it changes is re-tokenised and its count is
+    merged (a second, word-sized aggregation)."""
     counts = (tokens.where(~F.col(col).isin(*P.SPECIAL_TOKENS))
                     .groupBy(F.col(col).alias("w")).agg(F.count(F.lit(1)).alias("f")))
     if not normalise:
         return counts
     normed = normalise_words(counts)
-    same = normed.where(F.col("norm") == F.col("w")).select("w", "f")
-    changed = (normed.where(F.col("norm") != F.col("w"))
-                     .select(F.explode(F.regexp_extract_all("norm", F.lit(P.TOKEN), 0)).alias("w"), "f")
-                     .groupBy("w").agg(F.sum("f").alias("f")))
-    # a changed word can only add to words already counted; merge the two
-    return (same.unionByName(changed).groupBy("w").agg(F.sum("f").cast("bigint").alias("f")))
+    parts = F.when(F.col("norm") == F.col("w"), F.array("w")).otherwise(
+        F.regexp_extract_all("norm", F.lit(P.TOKEN), 0))
+    return (normed.select(F.explode(parts).alias("w"), "f")
+                  .groupBy("w").agg(F.sum("f").cast("bigint").alias("f")))
 
 
 def special_tokens(df: DataFrame, col: str = "text", keep=None) -> DataFrame:

@@ -42,8 +42,8 @@ def seed_pieces(words: DataFrame, seed_size: int = SEED_SIZE, max_len: int = MAX
     """V2: ``(piece, freq, score, lp)``; ``lp`` = ln(score / sum of scores)."""
     counted = (substrings(words.select("w", "f"), max_len)
                .groupBy("piece").agg(F.sum("f").alias("freq")))
-    counted = (counted.where((F.length("piece") == 1) | (F.col("freq") >= 2))
-                      .withColumn("score", F.col("freq") * F.length("piece")))
+    counted = cut_lineage(counted.where((F.length("piece") == 1) | (F.col("freq") >= 2))
+                                 .withColumn("score", F.col("freq") * F.length("piece")))
     chars = counted.where(F.length("piece") == 1)
     longer = counted.where(F.length("piece") > 1)
     n_chars = chars.count()
@@ -69,9 +69,11 @@ def word_lattices(words: DataFrame, pieces: DataFrame, keys=("w", "f"), exclude_
 def e_step(words: DataFrame, pieces: DataFrame) -> DataFrame:
     """V3: expected count ``c`` per piece over all segmentations of all words."""
     lat = with_expected_counts(word_lattices(words, pieces))
-    return (lat.select(F.explode("counts").alias("x"))
-               .where(~F.col("x.unk"))
-               .groupBy(F.col("x.piece").alias("piece")).agg(F.sum("x.c").alias("c")))
+    # inline (not explode + field access): each array is read once
+    flat = lat.select(F.inline(F.arrays_zip(F.transform("edges", lambda x: x["piece"]).alias("piece"),
+                                            F.transform("edges", lambda x: x["unk"]).alias("unk"),
+                                            F.col("c").alias("c"))))
+    return flat.where(~F.col("unk")).groupBy("piece").agg(F.sum("c").alias("c"))
 
 
 def m_step(counts: DataFrame, threshold: float = EXPECTED_FREQUENCY_THRESHOLD) -> DataFrame:
@@ -129,16 +131,21 @@ def prune(words: DataFrame, pieces: DataFrame, desired_size: int,
 
 
 def finalize(pieces: DataFrame, vocab_size: int = P.VOCAB_SIZE, chars: DataFrame | None = None) -> DataFrame:
-    """V6: ``(id, token, lp, special)``: the five specials as ids 0-4, then the
-    best ``vocab_size - 5`` pieces by ``(lp desc, piece)``; required characters
-    missing from the pieces are added with the lowest score."""
+    """V6: ``(id, token, lp, special)``: the five specials as ids 0-4, then
+    pieces by ``(lp desc, piece)``.  Required characters are kept first (a
+    missing one gets the lowest score), the best other pieces fill the rest
+    of ``vocab_size``."""
     spark = pieces.sparkSession
     room = vocab_size - len(P.SPECIAL_TOKENS)
     p = pieces.select("piece", "lp")
     if chars is not None:
         low = p.select(F.min("lp") - F.lit(UNK_PENALTY)).scalar()
-        missing = chars.select("piece").join(p, "piece", "left_anti").withColumn("lp", low.cast("double"))
-        p = p.unionByName(missing)
+        required = (chars.select("piece").distinct().join(p, "piece", "left")
+                         .withColumn("lp", F.coalesce(F.col("lp"), low.cast("double"))))
+        others = p.join(chars.select("piece"), "piece", "left_anti")
+        n_req = required.count()
+        best = global_rank(others, [F.col("lp").desc(), F.col("piece")], "_r").where(F.col("_r") <= room - n_req)
+        p = required.unionByName(best.drop("_r"))
     ranked = global_rank(p, [F.col("lp").desc(), F.col("piece")], "_r").where(F.col("_r") <= room)
     body = ranked.select((F.col("_r") + len(P.SPECIAL_TOKENS) - 1).cast("int").alias("id"), F.col("piece").alias("token"),
                          "lp", F.lit(False).alias("special"))

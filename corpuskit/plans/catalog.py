@@ -48,7 +48,9 @@ def corpus_words(spark, d):
 
 
 def derived_lexicon(spark, d):
-    return lexicon.derive_lexicon(read_table(spark, d, "documents"))
+    """The stand-in dictionary (small), materialised once: both word lists,
+    their scalar subqueries and size checks read it."""
+    return cut_lineage(lexicon.derive_lexicon(read_table(spark, d, "documents")))
 
 
 def dictionaries(spark, d):
