@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators import clean, compound, encode, evaluate, lexicon, mlm, sampling, tokens, unigram
+from ..functions.joins import lookup_join
 from ..session import cut_lineage, read_table
 from ..sources import jsonl
 
@@ -456,8 +457,9 @@ def corpus_perplexity(spark, d):
     vocab = _seed_vocab(spark, d)
     words = corpus_words(spark, d)
     enc = unigram.encode_words(words.select("w"), vocab)
-    toks = sentence_tokens(spark, d).select("lang", F.col("token").alias("w"))
-    scored = (toks.join(enc.select("w", "score", F.size("ids").alias("n_pieces")), "w"))
+    toks = sentence_tokens(spark, d).select("lang", "doc_id", "line_no", "sent_no", "tok_no", F.col("token").alias("w"))
+    scored = lookup_join(toks, enc.select("w", "score", F.size("ids").alias("n_pieces")), "w", "inner", freq=words,
+                         salt_cols=["doc_id", "line_no", "sent_no", "tok_no"])
     q = evaluate.corpus_perplexity(scored)
     return q.select("lang", F.col("n_words").cast("bigint").alias("n_words"), F.col("n_pieces").cast("bigint").alias("n_pieces"),
                     F.round("perplexity", 4).alias("perplexity"))
