@@ -68,12 +68,15 @@ def _join_ints(c):
 @query("lang_stats")
 def lang_stats(spark, d):
     """Flagship: sentences, pre-tokens and distinct pre-tokens per language."""
-    s = kept_sentences(spark, d)
-    t = tokens.pretokenise(s, "sent", keep=["lang"])
-    per_sent = s.groupBy("lang").agg(F.count(F.lit(1)).alias("n_sentences"))
-    per_tok = t.groupBy("lang").agg(F.count(F.lit(1)).alias("n_tokens"),
-                                    F.countDistinct("token").alias("n_types"))
-    return per_sent.join(per_tok, "lang")
+    # One pass over the text: every kept sentence has at least one pre-token,
+    # so its first token (tok_no 0) counts the sentence.  The (lang, token)
+    # aggregate is combined map-side; the per-language one is tiny.
+    t = tokens.pretokenise(kept_sentences(spark, d), "sent", keep=["lang"])
+    per_type = t.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"),
+                                              F.sum((F.col("tok_no") == 0).cast("long")).alias("firsts"))
+    return per_type.groupBy("lang").agg(F.sum("firsts").cast("bigint").alias("n_sentences"),
+                                        F.sum("n").cast("bigint").alias("n_tokens"),
+                                        F.count(F.lit(1)).alias("n_types"))
 
 
 @query("corpus_lines")
