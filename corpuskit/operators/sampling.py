@@ -50,20 +50,25 @@ def train_test_split(df: DataFrame, key_cols, train_size: float = P.TRAIN_SIZE,
     key_cols = list(key_cols)
     n = df.count()
     n_train = int(train_size * n)
-    ranked = global_rank(df.withColumn("_k", split_key(key_cols, seed)), ["_k"] + key_cols, "_r")
-    return (ranked.withColumn("split", F.when(F.col("_r") <= n_train, F.lit("train")).otherwise(F.lit("test")))
-                  .withColumn("row_idx", F.when(F.col("_r") <= n_train, F.col("_r") - 1)
-                              .otherwise(F.col("_r") - n_train - 1).cast("bigint"))
-                  .drop("_k", "_r"))
+    # rank the keys only (the checkpointed sort never holds the text), then
+    # join the labels back on the keys
+    keys = df.select(*key_cols).withColumn("_k", split_key(key_cols, seed))
+    ranked = global_rank(keys, ["_k"] + key_cols, "_r")
+    labels = (ranked.withColumn("split", F.when(F.col("_r") <= n_train, F.lit("train")).otherwise(F.lit("test")))
+                    .withColumn("row_idx", F.when(F.col("_r") <= n_train, F.col("_r") - 1)
+                                .otherwise(F.col("_r") - n_train - 1).cast("bigint"))
+                    .drop("_k", "_r"))
+    return df.join(labels, key_cols)
 
 
 def shuffle_order(df: DataFrame, key_cols, epoch: int = 0, seed: int = P.SPLIT_SEED) -> DataFrame:
     """U4: a seeded permutation per epoch; adds ``position`` from 0."""
     key_cols = list(key_cols)
     k = F.md5(hash_key(F.lit(seed), F.lit(epoch), *[F.col(c) for c in key_cols]))
-    ranked = global_rank(df.withColumn("_k", k), ["_k"] + key_cols, "_r")
-    return (ranked.withColumn("epoch", F.lit(epoch))
-                  .withColumn("position", (F.col("_r") - 1).cast("bigint")).drop("_k", "_r"))
+    ranked = global_rank(df.select(*key_cols).withColumn("_k", k), ["_k"] + key_cols, "_r")
+    order = (ranked.withColumn("epoch", F.lit(epoch))
+                   .withColumn("position", (F.col("_r") - 1).cast("bigint")).drop("_k", "_r"))
+    return df.join(order, key_cols)
 
 
 def assign_batches(df: DataFrame, index_col: str = "row_idx", batch_size: int = P.EVAL_BATCH_SIZE) -> DataFrame:
