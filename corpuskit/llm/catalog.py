@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate, sharding, stream_dedup
 from .common import documents, shared_path
 
+SHARDS = 24
+
 
 def _tokenizer(name: str) -> str:
     import public_tokenizers
@@ -20,6 +23,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, with_ids=False)
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal documents from the stateful stream."""
+    from .stream_dedup import dedup_table
+    return dedup_table(documents(spark, sf_dir))
+
+
+def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents over 24 shards of equal weight."""
+    from .sharding import shard_documents
+    return shard_documents(documents(spark, sf_dir), [1.0] * SHARDS)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents through the digest cache."""
     from .token_counts import count_query
@@ -27,11 +42,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_query(spark, docs, _tokenizer("byte_bpe_50k.json"))
 
 
+def op9_contaminated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items held by documents."""
+    from .decontaminate import contaminated
+    docs = documents(spark, sf_dir)
+    return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     from .packing import pack_documents
     return pack_documents(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), end_id=0, room=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op7_token_counts, op10_best_fit_packing)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_token_files, op4_exact_dedup, op6_rendezvous_shards, op7_token_counts,
+                                   op9_contaminated_documents, op10_best_fit_packing)}
+ORACLE: dict[str, str] = {"op4_exact_dedup": stream_dedup.ORACLE_SQL, "op6_rendezvous_shards": sharding.oracle_sql(SHARDS),
+                          "op9_contaminated_documents": decontaminate.ORACLE_SQL}
