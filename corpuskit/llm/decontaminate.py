@@ -73,10 +73,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = benchmark.select("item_id", words(F.col("text")).alias("w"))
     texts = docs.select("doc_id", F.col("text").alias("text"))
     sketch = _maybe_broadcast(stored(sketches(items), "sketches"))
+    # explode_outer: for a plain explode the optimizer adds a filter on the
+    # array's size and pushes it below the projections, where the words would
+    # be split again for every shingle.  The joins drop the null of an empty array.
     # search: every shingle hash of every document against the sketches
     hashed = (texts.select("doc_id", words(F.col("text")).alias("w"))
                    .select("doc_id", shingle_hashes("w").alias("h"))
-                   .select("doc_id", F.size("h").alias("m"), F.explode("h").alias("hash")))
+                   .select("doc_id", F.size("h").alias("m"), F.explode_outer("h").alias("hash")))
     pairs = (hashed.join(sketch, "hash").where("m >= smallest")
                    .select("doc_id", "item_id").distinct())
     pairs = stored(pairs, "candidates")
@@ -84,9 +87,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ids = _maybe_broadcast(pairs.select(F.col("doc_id").alias("cand_id")).distinct())
     found = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("cand_id")), "left_semi")
     held = (found.select("doc_id", words(F.col("text")).alias("w"))
-                 .select("doc_id", F.explode(shingle_texts("w")).alias("shingle")))
+                 .select("doc_id", F.explode_outer(shingle_texts("w")).alias("shingle")))
     wanted = items.select("item_id", shingle_texts("w").alias("s")).withColumn("n_shingles", F.size("s"))
-    wanted = wanted.select("item_id", "n_shingles", F.explode("s").alias("shingle"))
+    wanted = wanted.select("item_id", "n_shingles", F.explode_outer("s").alias("shingle"))
     shared = (held.join(_maybe_broadcast(wanted), "shingle").distinct()
                   .groupBy("doc_id", "item_id", "n_shingles").agg(F.count(F.lit(1)).alias("n_shared")))
     both = pairs.select(F.col("doc_id").alias("cand_id"), F.col("item_id").alias("cand_item"))
