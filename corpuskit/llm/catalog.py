@@ -23,12 +23,26 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(manifest, with_ids=False)
 
 
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity categories of all documents."""
+    from .toxicity import toxicity_scores
+    docs = documents(spark, sf_dir)
+    return toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal documents from the stateful stream."""
     from .stream_dedup import dedup_table
     return dedup_table(documents(spark, sf_dir))
 
 
+def op5_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    from .quality import quality_scores
+    docs = documents(spark, sf_dir)
+    return quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents over 24 shards of equal weight."""
     from .sharding import shard_documents
@@ -55,7 +69,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), end_id=0, room=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_exact_dedup, op6_rendezvous_shards, op7_token_counts,
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity_chain, op4_exact_dedup, op5_quality_network, op6_rendezvous_shards, op7_token_counts,
                                    op9_contaminated_documents, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {"op4_exact_dedup": stream_dedup.ORACLE_SQL, "op6_rendezvous_shards": sharding.oracle_sql(SHARDS),
                           "op9_contaminated_documents": decontaminate.ORACLE_SQL}

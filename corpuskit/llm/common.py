@@ -112,11 +112,18 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0]:off[-1]], off - off[0]
 
 
-def hash_words(data: np.ndarray, off: np.ndarray, member: np.ndarray = NON_BLANK, lower: bool = True):
-    """``(hashes, first, starts, lens)`` of all words of the texts: 64-bit hashes
-    of the words (A-Z lower-cased), the index of each text's first word
-    (n + 1 entries), and each word's first byte and byte length."""
-    n_texts = len(off) - 1
+def _fold(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the runs of ``values`` that begin at ``starts``."""
+    lens = np.diff(np.append(starts, len(values)))
+    pos = np.arange(len(values)) - np.repeat(starts, lens)
+    with np.errstate(over="ignore"):
+        values = values * _power_table(int(pos.max()) + 1)[pos]
+        return mix(np.add.reduceat(values, starts) + lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def cut_words(data: np.ndarray, off: np.ndarray, member: np.ndarray = NON_BLANK):
+    """The bytes of all words of the texts, where each word starts among them,
+    and the index of each text's first word (n + 1 entries)."""
     inside = member[data]
     begin = inside.copy()
     if len(data):
@@ -124,23 +131,33 @@ def hash_words(data: np.ndarray, off: np.ndarray, member: np.ndarray = NON_BLANK
         cut = off[:-1][off[:-1] < len(data)]
         begin[cut] = inside[cut]
     starts = np.flatnonzero(begin)
-    first = np.zeros(n_texts + 1, np.int64)
-    first[:] = np.searchsorted(starts, off)
+    return data[inside], np.flatnonzero(begin[inside]), np.searchsorted(starts, off)
+
+
+def hash_words(data: np.ndarray, off: np.ndarray, member: np.ndarray = NON_BLANK, lower: bool = True):
+    """``(hashes, first)``: 64-bit hashes of all words (``lower``: A-Z as a-z) and
+    the index of each text's first word (n + 1 entries)."""
+    chars, starts, first = cut_words(data, off, member)
     if not len(starts):
-        return np.zeros(0, np.uint64), first, starts, starts
-    word = np.cumsum(begin, dtype=np.int32)
-    word -= 1
-    where = np.flatnonzero(inside)
-    pos = where - starts[word[where]]
-    power = _power_table(int(pos.max()) + 1)
-    values = (_LOWER_VALUES if lower else _BYTE_VALUES)[data[where]]
-    with np.errstate(over="ignore"):
-        values *= power[pos]
-        at = np.searchsorted(where, starts)
-        hashes = np.add.reduceat(values, at)
-        lens = np.diff(np.append(at, len(where)))
-        hashes += lens.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(hashes), first, starts, lens
+        return np.zeros(0, np.uint64), first
+    return _fold((_LOWER_VALUES if lower else _BYTE_VALUES)[chars], starts), first
+
+
+#: Classes of bytes: capital, small or non-ASCII letter, digit, else the byte itself.
+_CLASSES = np.arange(256, dtype=np.uint8)
+_CLASSES[65:91], _CLASSES[97:123], _CLASSES[128:], _CLASSES[48:58] = 1, 2, 2, 3
+
+
+def hash_shapes(data: np.ndarray, off: np.ndarray):
+    """As ``hash_words``, of the words' shapes: their byte classes, runs as one."""
+    chars, starts, first = cut_words(data, off)
+    if not len(starts):
+        return np.zeros(0, np.uint64), first
+    c = _CLASSES[chars]
+    keep = np.ones(len(c), bool)
+    keep[1:] = c[1:] != c[:-1]
+    keep[starts] = True
+    return _fold(_BYTE_VALUES[c[keep]], (np.cumsum(keep) - 1)[starts]), first
 
 
 def text_blocks(batches, columns, block_bytes: int = 1 << 20):

@@ -31,7 +31,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: All state stores of an executor share this much memory; the rest is on disk.
 STATE_CONF = {PROVIDER: ROCKSDB,
               "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-              "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256"}
+              "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+              # many small stores: do not set disk aside for logs in advance
+              "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 FEED = "row bigint, doc_id bigint, digest binary, n_chars int, locator string"
 
