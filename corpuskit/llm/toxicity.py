@@ -1,8 +1,8 @@
 """Toxicity by a classifier chain of linear models.
 
 The chain predicts the categories in order.  Each model is logistic over the
-hashed words of a text (letters, digits and non-ASCII characters, lower-cased;
-presence, weighted by the words' log-odds in its training rows) and over the
+hashed words of a text and their first letters (words of letters, digits and
+non-ASCII characters, A-Z lower-cased; presence, weighted by the words' log-odds in its training rows) and over the
 probabilities of all earlier categories.  In training those probabilities are
 out-of-fold (folds by a hash of the id), so a later model sees them as it
 will on new texts.
@@ -22,12 +22,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, hash_words, id_crc, id_text, prepare, text_blocks
+from .common import LETTERS, hash_beginnings, hash_words, id_crc, id_text, prepare, text_blocks
 
 BUCKETS = 1 << 17
 TRAIN_ROWS = 5_000
 FOLDS = 3
-ITERATIONS = 40
+ITERATIONS = 60
+#: Beginnings of words, in bytes, that count as features beside the words.
+BEGINNINGS = (4, 5)
 #: A word counts if its presence and the label are this far from independent
 #: (chi-squared); with 10^5 words, chance reaches it for almost none.
 LEAST_CHI2 = 40.0
@@ -39,11 +41,22 @@ CATEGORIES = {
 }
 
 
-def buckets(data: np.ndarray, off: np.ndarray):
-    """Distinct word buckets of each text, concatenated, and where each text's begin."""
+def _own(data: np.ndarray, off: np.ndarray):
+    """Bucket of each whole word, and the texts' first words."""
     hashes, first = hash_words(data, off, LETTERS)
-    text = np.repeat(np.arange(len(off) - 1), np.diff(first)).astype(np.int64)
-    key = np.unique(text * BUCKETS + (hashes % np.uint64(BUCKETS)).astype(np.int64))
+    return (hashes % np.uint64(BUCKETS)).astype(np.int64), first
+
+
+def buckets(data: np.ndarray, off: np.ndarray):
+    """Distinct buckets of each text's words and word beginnings, concatenated,
+    and where each text's begin."""
+    own, first = _own(data, off)
+    text = np.repeat(np.arange(len(off) - 1), np.diff(first)).astype(np.int64) * BUCKETS
+    keys = [text + own]
+    for n in BEGINNINGS:
+        h, _ = hash_beginnings(data, off, n, LETTERS)
+        keys.append(text + ((h ^ np.uint64(n)) % np.uint64(BUCKETS)).astype(np.int64))
+    key = np.unique(np.concatenate(keys))
     return key % BUCKETS, np.searchsorted(key, np.arange(len(off)) * BUCKETS)
 
 
@@ -79,18 +92,18 @@ class Linear:
         odds[n * (pos * (n - p1 - neg) - neg * (p1 - pos)) ** 2 / spread < LEAST_CHI2] = 0
         seen, local = np.unique(at, return_inverse=True)
         scale = odds[seen]
-        w, e, b = np.zeros(len(seen)), np.zeros(extra.shape[1]), self.bias
-        params = [w, e, np.array([b])]
+        # start at half the log-odds: words that are alike share the evidence
+        params = [np.full(len(seen), 0.5), np.zeros(extra.shape[1]), np.array([self.bias])]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         value = scale[local]
         for t in range(1, ITERATIONS + 1):
             z = _sums(params[0][local] * value, first) + extra @ params[1] + params[2]
             d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
-            grads = [np.bincount(local, d[text] * value, len(seen)) + 1e-5 * params[0], extra.T @ d + 1e-5 * params[1], d.sum(keepdims=True)]
+            grads = [np.bincount(local, d[text] * value, len(seen)) + 1e-4 * (params[0] - 0.5), extra.T @ d + 1e-4 * params[1], d.sum(keepdims=True)]
             for p, g, mm, vv in zip(params, grads, m, v):
                 mm += 0.1 * (g - mm)
                 vv += 0.001 * (g * g - vv)
-                p -= 0.2 * (mm / (1 - 0.9 ** t)) / (np.sqrt(vv / (1 - 0.999 ** t)) + 1e-8)
+                p -= 0.05 * (mm / (1 - 0.9 ** t)) / (np.sqrt(vv / (1 - 0.999 ** t)) + 1e-8)
         self.words = np.zeros(BUCKETS)
         self.words[seen] = params[0] * scale
         self.extra, self.bias = params[1], float(params[2][0])
@@ -139,7 +152,7 @@ def _features(batches):
 def _list_buckets(words: list[str]) -> np.ndarray:
     raw = [w.encode() for w in words]
     off = np.concatenate([[0], np.cumsum([len(w) for w in raw])])
-    return buckets(np.frombuffer(b"".join(raw), np.uint8), off)[0]
+    return np.unique(_own(np.frombuffer(b"".join(raw), np.uint8), off)[0])
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, list[str]], max_rows: int = TRAIN_ROWS) -> list[Linear]:
