@@ -56,6 +56,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_query(spark, docs, _tokenizer("byte_bpe_50k.json"))
 
 
+def op8_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hidden-Markov and unigram log probabilities of all documents."""
+    from .hmm_scoring import score_documents
+    return score_documents(documents(spark, sf_dir))
+
+
 def op9_contaminated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items held by documents."""
     from .decontaminate import contaminated
@@ -70,6 +76,6 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity_chain, op4_exact_dedup, op5_quality_network, op6_rendezvous_shards, op7_token_counts,
-                                   op9_contaminated_documents, op10_best_fit_packing)}
+                                   op8_hmm_scores, op9_contaminated_documents, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {"op4_exact_dedup": stream_dedup.ORACLE_SQL, "op6_rendezvous_shards": sharding.oracle_sql(SHARDS),
                           "op9_contaminated_documents": decontaminate.ORACLE_SQL}

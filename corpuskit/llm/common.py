@@ -153,6 +153,17 @@ def hash_beginnings(data: np.ndarray, off: np.ndarray, n_bytes: int, member: np.
     return _fold(_LOWER_VALUES[chars[keep]], (np.cumsum(keep) - 1)[starts]), first
 
 
+def hash_endings(data: np.ndarray, off: np.ndarray, n_bytes: int, member: np.ndarray = NON_BLANK):
+    """As ``hash_words``, of the last ``n_bytes`` bytes of the words."""
+    chars, starts, first = cut_words(data, off, member)
+    if not len(starts):
+        return np.zeros(0, np.uint64), first
+    lens = np.diff(np.append(starts, len(chars)))
+    keep = np.arange(len(chars)) >= np.repeat(starts + lens - n_bytes, lens)
+    begin = np.cumsum(np.minimum(lens, n_bytes)) - np.minimum(lens, n_bytes)
+    return _fold(_LOWER_VALUES[chars[keep]], begin), first
+
+
 #: Classes of bytes: capital, small or non-ASCII letter, digit, else the byte itself.
 _CLASSES = np.arange(256, dtype=np.uint8)
 _CLASSES[65:91], _CLASSES[97:123], _CLASSES[128:], _CLASSES[48:58] = 1, 2, 2, 3
