@@ -30,6 +30,12 @@ def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by their shingle sets."""
+    from .jaccard_join import similar_groups
+    return similar_groups(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal documents from the stateful stream."""
     from .stream_dedup import dedup_table
@@ -75,7 +81,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), end_id=0, room=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity_chain, op4_exact_dedup, op5_quality_network, op6_rendezvous_shards, op7_token_counts,
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity_chain, op3_jaccard_groups, op4_exact_dedup, op5_quality_network, op6_rendezvous_shards, op7_token_counts,
                                    op8_hmm_scores, op9_contaminated_documents, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {"op4_exact_dedup": stream_dedup.ORACLE_SQL, "op6_rendezvous_shards": sharding.oracle_sql(SHARDS),
                           "op9_contaminated_documents": decontaminate.ORACLE_SQL}
