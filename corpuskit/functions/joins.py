@@ -1,7 +1,7 @@
 """Joins whose strategy is chosen by a checked size, with a skew-safe fallback.
 
-* ``bounded_broadcast``: broadcast a side only after proving it has at most
-  ``max_rows`` rows (``limit(max_rows + 1).count()`` reads no more than that).
+* ``bounded_broadcast``: broadcast a side only after counting its rows and
+  estimating its bytes (a partial aggregate per partition; give it a stored table).
 * ``lookup_join``: join a large occurrence table to a table that is unique on
   its key (one row per distinct word).  Bounded tables are broadcast; larger
   ones are shuffle-joined with *hot keys salted*: keys holding at least
@@ -15,21 +15,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only below this many rows (checked, not guessed).
+# A side is broadcast only below this many rows and bytes (checked, not guessed).
 BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 128 << 20
+# What a row costs beside its strings and arrays.
+ROW_BYTES = 32
 # Keys with at least 1/HOT_KEY_SHARE of the occurrences are salted.
 HOT_KEY_SHARE = 1000
 DEFAULT_SALTS = 64
 
 
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+def _row_bytes(df: DataFrame):
+    """Estimated bytes of a row: strings by length, arrays by their entries."""
+    total = F.lit(ROW_BYTES)
+    for name, kind in df.dtypes:
+        if kind == "string":
+            total = total + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind == "array<string>":
+            total = total + F.coalesce(F.octet_length(F.array_join(name, "")) + 16 * F.size(name), F.lit(0))
+        elif kind.startswith("array"):
+            total = total + 16 * F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0))
+    return total.cast("bigint")
+
+
+def fits_broadcast(df: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> bool:
+    n, size = df.select(F.count(F.lit(1)), F.coalesce(F.sum(_row_bytes(df)), F.lit(0))).first()
+    return n <= max_rows and size <= max_bytes
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``(F.broadcast(df), True)`` if ``df`` has at most ``max_rows`` rows,
-    else ``(df, False)``."""
-    if row_count_at_most(df, max_rows):
+    """``(F.broadcast(df), True)`` if ``df`` is proven small, else ``(df, False)``."""
+    if fits_broadcast(df, max_rows):
         return F.broadcast(df), True
     return df, False
 

@@ -1,78 +1,105 @@
-"""Per-word lattice kernels as Arrow-batched pandas UDFs.
+"""Lattice kernels over Arrow batches.
 
 Spark builds and groups the lattices (explode, broadcast join, groupBy) and
-sums the results (groupBy); only the inner dynamic programme over one word's
-edges -- a few dozen numbers -- runs here, because Spark's higher-order
-functions evaluate it interpreted, an order of magnitude slower.  Edges arrive
-as three parallel arrays sorted by (end, start).
+sums the results (groupBy); the dynamic programme over a batch of words runs
+here.  The edges of all words of a batch are laid end to end and swept by
+position: one numpy step handles the edges of *all* words that end (or
+start) there, so the number of Python steps is the longest word's length, not
+the number of words or edges.  Edges arrive as three parallel arrays per word,
+sorted by (end, start).
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
-NEG_INF = float("-inf")
-
-
-def _logaddexp(a: float, b: float) -> float:
-    if a == NEG_INF:
-        return b
-    if b == NEG_INF:
-        return a
-    m = a if a > b else b
-    return m + math.log1p(math.exp(-abs(a - b)))
-
-
-def forward_backward(starts, ends, lps, n: int, f: float):
-    """Posterior expected count of every edge: f * P(edge | word)."""
-    alpha = [NEG_INF] * (n + 1)
-    alpha[0] = 0.0
-    for s, e, lp in zip(starts, ends, lps):
-        alpha[e] = _logaddexp(alpha[e], alpha[s] + lp)
-    beta = [NEG_INF] * (n + 1)
-    beta[n] = 0.0
-    for k in range(len(starts) - 1, -1, -1):  # ends descending
-        s, e, lp = starts[k], ends[k], lps[k]
-        beta[s] = _logaddexp(beta[s], beta[e] + lp)
-    z = alpha[n]
-    return [f * math.exp(alpha[s] + lp + beta[e] - z) for s, e, lp in zip(starts, ends, lps)]
-
-
-def best_path(starts, ends, lps, n: int):
-    """Indices of the edges of the best segmentation, in text order; on a tie
-    the edge seen first (the longer piece) wins."""
-    score = [NEG_INF] * (n + 1)
-    score[0] = 0.0
-    back = [-1] * (n + 1)
-    for k, (s, e, lp) in enumerate(zip(starts, ends, lps)):
-        cand = score[s] + lp
-        if cand > score[e]:
-            score[e] = cand
-            back[e] = k
-    path = []
-    pos = n
-    while pos > 0:
-        k = back[pos]
-        path.append(k)
-        pos = starts[k]
-    path.reverse()
-    return path
+
+class Edges:
+    """The edges of a batch of words: ``word``, ``start``, ``end``, ``lp``."""
+
+    def __init__(self, starts, ends, lps, n):
+        self.size = np.array([len(x) for x in starts], np.int64)
+        flat = lambda x, t: np.concatenate([np.asarray(v, t) for v in x]) if len(x) else np.zeros(0, t)
+        self.word = np.repeat(np.arange(len(self.size)), self.size)
+        self.start, self.end, self.lp = flat(starts, np.int64), flat(ends, np.int64), flat(lps, np.float64)
+        self.n = np.asarray(n, np.int64)
+        self.width = int(self.n.max()) + 1 if len(self.n) else 1
+        self.first = np.cumsum(self.size) - self.size
+
+    def by(self, position: np.ndarray):
+        """``(p, edges at p by word, first edge of each word there)`` for every
+        position that has edges, ascending."""
+        order = np.lexsort((np.arange(len(position)), self.word, position))
+        cut = np.searchsorted(position[order], np.arange(self.width + 1))
+        for p in range(self.width):
+            at = order[cut[p]:cut[p + 1]]
+            if len(at):
+                w = self.word[at]
+                yield p, at, np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+
+    def split(self, values: np.ndarray) -> list[np.ndarray]:
+        return np.split(values, self.first[1:]) if len(self.first) else []
+
+
+def _log_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    top = np.maximum.reduceat(values, first)
+    base = np.where(np.isfinite(top), top, 0.0)
+    spread = np.repeat(base, np.diff(np.append(first, len(values))))
+    with np.errstate(divide="ignore"):
+        return base + np.log(np.add.reduceat(np.exp(values - spread), first))
+
+
+def posteriors(x: Edges, f: np.ndarray) -> np.ndarray:
+    """Expected count of every edge, f * P(edge | word) (forward-backward)."""
+    alpha = np.full((len(x.n), x.width), -np.inf)
+    beta = alpha.copy()
+    words = np.arange(len(x.n))
+    alpha[:, 0] = 0.0
+    beta[words, x.n] = 0.0
+    for p, at, first in x.by(x.end):
+        w = x.word[at]
+        alpha[w[first], p] = _log_sum(alpha[w, x.start[at]] + x.lp[at], first)
+    for p, at, first in reversed(list(x.by(x.start))):
+        w = x.word[at]
+        beta[w[first], p] = _log_sum(beta[w, x.end[at]] + x.lp[at], first)
+    total = alpha[words, x.n]
+    return f[x.word] * np.exp(alpha[x.word, x.start] + x.lp + beta[x.word, x.end] - total[x.word])
+
+
+def best_paths(x: Edges) -> list[np.ndarray]:
+    """Per word the indices of the edges of its best segmentation, in text order;
+    on a tie the edge with the earliest start (the longer piece) wins."""
+    score = np.full((len(x.n), x.width), -np.inf)
+    back = np.zeros((len(x.n), x.width), np.int64)
+    score[:, 0] = 0.0
+    for p, at, first in x.by(x.end):
+        w = x.word[at]
+        values = score[w, x.start[at]] + x.lp[at]
+        top = np.maximum.reduceat(values, first)
+        count = np.diff(np.append(first, len(at)))
+        hit = np.flatnonzero(values == np.repeat(top, count))
+        _, one = np.unique(np.repeat(np.arange(len(first)), count)[hit], return_index=True)
+        score[w[first], p], back[w[first], p] = top, at[hit[one]]
+    pos, words, steps = x.n.copy(), np.arange(len(x.n)), []
+    while (pos > 0).any():
+        edge = np.where(pos > 0, back[words, pos], -1)
+        steps.append(edge)
+        pos = np.where(pos > 0, x.start[edge], 0)
+    if not steps:
+        return [np.zeros(0, np.int32) for _ in x.n]
+    table = np.array(steps[::-1]).T
+    return [(row[row >= 0] - at).astype(np.int32) for row, at in zip(table, x.first)]
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
 def edge_posteriors(starts: pd.Series, ends: pd.Series, lps: pd.Series, n: pd.Series, f: pd.Series) -> pd.Series:
-    out = [forward_backward(np.asarray(s).tolist(), np.asarray(e).tolist(), np.asarray(lp).tolist(), int(nn), float(ff))
-           for s, e, lp, nn, ff in zip(starts, ends, lps, n, f)]
-    return pd.Series(out)
+    x = Edges(starts, ends, lps, n)
+    return pd.Series(x.split(posteriors(x, f.to_numpy(np.float64))), index=n.index, dtype=object)
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
 def viterbi_path(starts: pd.Series, ends: pd.Series, lps: pd.Series, n: pd.Series) -> pd.Series:
-    out = [best_path(np.asarray(s).tolist(), np.asarray(e).tolist(), np.asarray(lp).tolist(), int(nn))
-           for s, e, lp, nn in zip(starts, ends, lps, n)]
-    return pd.Series(out)
+    return pd.Series(best_paths(Edges(starts, ends, lps, n)), index=n.index, dtype=object)

@@ -6,13 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def log_add_exp(a: Column, b: Column) -> Column:
-    """ln(e^a + e^b) without overflow; NULL acts as minus infinity."""
-    return (F.when(a.isNull(), b)
-            .when(b.isNull(), a)
-            .otherwise(F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))))
-
-
 def digamma(x: Column) -> Column:
     """Digamma for x > 0: shift x up to at least 7, then the asymptotic series."""
     shifted = F.aggregate(

@@ -31,8 +31,6 @@ MLM_MASK_SHARE = 0.8      # of the selected positions: replaced by <mask>
 MLM_RANDOM_SHARE = 0.1    # of the selected positions: replaced by a random id
 IGNORE_INDEX = -100
 EVAL_BATCH_SIZE = 8
-TRAIN_BATCH_SIZES = {128: 64, 512: 16}
-MAX_STEPS = {128: 900_000, 512: 100_000}
 
 # --- regular expressions -----------------------------------------------------
 # Line breaks as Python text mode reads them.
@@ -49,6 +47,12 @@ WORD_CLASS = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
 SPACE_CLASS = r"\p{Z}\t\n\x0B\f\r\x85"
 # A pre-token: a run of word characters, or a run of other non-space characters.
 TOKEN = "[" + WORD_CLASS + "]+|[^" + WORD_CLASS + SPACE_CLASS + "]+"
+# Characters that NFKC leaves as they are, alone and next to any other: ranges
+# that hold most text.  A line with any other character is sent through NFKC.
+NFKC_STABLE = (r"\x00-\x7F\xA1-\xA7\xA9\xAB-\xAE\xB0\xB1\xB6\xB7\xBB\xBF-\u0131\u0134-\u013E\u0141-\u0148"
+               r"\u014A-\u017E\u0386\u0388-\u038A\u038C\u038E-\u03A1\u03A3-\u03CE\u0400-\u0482\u048A-\u052F"
+               r"\u2010\u2012-\u2016\u2018-\u2023\u20AC\u4E00-\u9FFF")
+NFKC_CHANGES = "[^" + NFKC_STABLE + "]"
 # Special tokens are matched before anything else in raw text.
 SPECIAL_TOKEN = "|".join(SPECIAL_TOKENS)
 TOKEN_WITH_SPECIALS = SPECIAL_TOKEN + "|" + TOKEN
@@ -56,11 +60,28 @@ TOKEN_WITH_SPECIALS = SPECIAL_TOKEN + "|" + TOKEN
 LETTER_RUN = r"\p{L}+"
 
 # --- HTML to text (in this order) ---------------------------------------------
-HTML_DROP_BLOCKS = r"(?is)<(script|style|nav|head)\b.*?</(script|style|nav|head)\s*>"
+# Blocks without text, each up to the end tag of its own name; script and style
+# first, as their content may look like tags.
+HTML_DROP_BLOCKS = [rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>" for tag in ("script", "style", "nav", "head")]
 HTML_COMMENT = r"(?s)<!--.*?-->"
 HTML_BREAKS = r"(?i)<br\s*/?>|</(p|div|h[1-6]|li|tr|td|th|article|section|header|footer|ul|ol|table|title|blockquote|pre)\s*>"
 HTML_TAG = r"<[^>]*>"
-HTML_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+# An entity's name at the start of what follows a "&".
+HTML_ENTITY_HEAD = r"^(#?[0-9A-Za-z]{1,31});"
+# Names of the basic entities, of the Latin-1 letters and of
+# common punctuation, in the order of their characters.
+_LATIN1_ENTITIES = (
+    "nbsp iexcl cent pound curren yen brvbar sect uml copy ordf laquo not shy reg macr deg plusmn sup2 sup3 acute micro "
+    "para middot cedil sup1 ordm raquo frac14 frac12 frac34 iquest Agrave Aacute Acirc Atilde Auml Aring AElig Ccedil "
+    "Egrave Eacute Ecirc Euml Igrave Iacute Icirc Iuml ETH Ntilde Ograve Oacute Ocirc Otilde Ouml times Oslash Ugrave "
+    "Uacute Ucirc Uuml Yacute THORN szlig agrave aacute acirc atilde auml aring aelig ccedil egrave eacute ecirc euml "
+    "igrave iacute icirc iuml eth ntilde ograve oacute ocirc otilde ouml divide oslash ugrave uacute ucirc uuml yacute "
+    "thorn yuml").split()
+HTML_ENTITIES = ([("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")]
+                 + [(name, " " if name == "nbsp" else chr(0xA0 + i)) for i, name in enumerate(_LATIN1_ENTITIES)]
+                 + [("ndash", "\u2013"), ("mdash", "\u2014"), ("lsquo", "\u2018"), ("rsquo", "\u2019"), ("sbquo", "\u201a"),
+                    ("ldquo", "\u201c"), ("rdquo", "\u201d"), ("bdquo", "\u201e"), ("bull", "\u2022"), ("hellip", "\u2026"),
+                    ("lsaquo", "\u2039"), ("rsaquo", "\u203a"), ("euro", "\u20ac"), ("trade", "\u2122")])
 BLANK_RUN = r"[ \t\f\x0B]+"
 
 # --- hash draws ---------------------------------------------------------------

@@ -65,25 +65,40 @@ def sentences(documents: DataFrame) -> DataFrame:
 def sentence_text(documents: DataFrame, keep_empty: bool = False) -> DataFrame:
     """The reference's sentence file: per input line the kept sentences joined by
     newlines.  A line without kept sentences is dropped unless ``keep_empty``."""
-    lines = corpus_lines(documents)
-    sents = split_sentences(lines)
-    keys = [c for c in ("doc_id", "lang", "source", "line_no") if c in sents.columns]
-    kept = (sents.groupBy(*keys)
-                 .agg(F.array_sort(F.collect_list(F.when((F.col("sent") != "") & F.col("sent").contains(" "),
-                                                         F.struct("sent_no", "sent")))).alias("s"))
-                 .select(*keys, F.array_join(F.transform("s", lambda x: x["sent"]), "\n").alias("text")))
-    return kept if keep_empty else kept.where(F.col("text") != "")
+    marked = F.split(sentence_marks(F.col("text")), "\n", -1)
+    kept = F.filter(F.transform(marked, F.trim), lambda x: (x != "") & x.contains(" "))
+    lines = corpus_lines(documents).withColumn("text", F.array_join(kept, "\n"))
+    return lines if keep_empty else lines.where(F.col("text") != "")
+
+
+def decode_entities(text: Column) -> Column:
+    """Named entities from the fixed table and numeric ones (``&#8217;``,
+    ``&#x2019;``) as their characters, one pass over the pieces at each ``&``;
+    unknown ones stay.  Entities are decoded once: ``&amp;lt;`` gives ``&lt;``."""
+    named = F.create_map(*[F.lit(x) for pair in P.HTML_ENTITIES for x in pair])
+
+    def piece(x, i):
+        name = F.regexp_extract(x, P.HTML_ENTITY_HEAD, 1)
+        rest = F.substring(x, F.length(name) + 2, F.length(x))
+        code = (F.when(name.rlike("^#[0-9]{1,7}$"), F.substring(name, F.lit(2), F.length(name)).cast("int"))
+                 .when(name.rlike("^#[xX][0-9A-Fa-f]{1,6}$"),
+                       F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10).cast("int")))
+        valid = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
+        # a code point as UTF-32 bytes
+        char = F.coalesce(named[name], F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+        return F.when(i == 0, x).when((name != "") & char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), x))
+    return F.when(text.contains("&"), F.array_join(F.transform(F.split(text, "&", -1), piece), "")).otherwise(text)
 
 
 def html_text(html: Column) -> Column:
     """P1 re-aimed: markup -> plain text with a newline at block ends."""
-    t = F.regexp_replace(html, P.HTML_DROP_BLOCKS, " ")
+    t = html
+    for block in P.HTML_DROP_BLOCKS:
+        t = F.regexp_replace(t, block, " ")
     t = F.regexp_replace(t, P.HTML_COMMENT, " ")
     t = F.regexp_replace(t, P.HTML_BREAKS, "\n")
     t = F.regexp_replace(t, P.HTML_TAG, "")
-    for entity, char in P.HTML_ENTITIES:
-        t = F.regexp_replace(t, entity, char)
-    return F.regexp_replace(t, P.BLANK_RUN, " ")
+    return F.regexp_replace(decode_entities(t), P.BLANK_RUN, " ")
 
 
 def page_lines(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> DataFrame:

@@ -14,7 +14,7 @@ Spark plan, per *distinct* word (never per occurrence):
    small word) and a broadcast (size-checked) semi join;
 2. terminals ``t``: ``w[t:]`` is in the full list -- the same, with the full list;
 3. one ``groupBy(w)`` (words arrive hash-partitioned by ``w``, so it adds no
-   shuffle) and a dynamic programme in two ``aggregate`` folds: edges by start
+   shuffle) and a dynamic programme in one ``aggregate`` fold: edges by start
    descending, then cut ascending, accept an edge when its start has none yet
    and ``p + 1`` is a terminal or an accepted start; then follow from 0.
 """

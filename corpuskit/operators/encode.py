@@ -36,36 +36,36 @@ def word_ids_from_vocab(vocab: DataFrame) -> DataFrame:
 
 
 def word_ids_unigram(words: DataFrame, vocab: DataFrame, splits: DataFrame | None = None) -> DataFrame:
-    """``(w, ids)``: each distinct word -> NFKC fix -> compound parts ->
-    Viterbi ids of every part, concatenated (the reference's pre-tokeniser
-    sequence, then the Unigram model)."""
-    base = T.normalise_words(words.select("w"))
-    sub = base.select("w", F.posexplode(F.regexp_extract_all("norm", F.lit(P.TOKEN), 0)).alias("k", "t"))
+    """``(w, ids)``: each distinct (normalised) pre-token -> compound parts ->
+    Viterbi ids of every part, concatenated."""
+    base = words.select("w")
+    parts = F.array("w")
     if splits is not None:
-        sub = (sub.join(splits.select(F.col("w").alias("t"), "parts"), "t", "left")
-                  .select("w", "k", F.posexplode(F.coalesce("parts", F.array("t"))).alias("j", "t")))
-    else:
-        sub = sub.withColumn("j", F.lit(0))
+        base = base.join(splits.select("w", "parts"), "w", "left")
+        parts = F.coalesce("parts", parts)
+    sub = base.select("w", F.posexplode(parts).alias("j", "t"))
     enc = encode_words(sub.select(F.col("t").alias("w")).distinct(), vocab)
     return (sub.join(enc.select(F.col("w").alias("t"), "ids"), "t")
-               .groupBy("w").agg(F.array_sort(F.collect_list(F.struct("k", "j", "ids"))).alias("x"))
+               .groupBy("w").agg(F.array_sort(F.collect_list(F.struct("j", "ids"))).alias("x"))
                .select("w", F.flatten(F.transform("x", lambda e: e["ids"])).alias("ids")))
 
 
 def encode_sentences(sents: DataFrame, word_ids: DataFrame, keys, col: str = "sent",
-                     freq: DataFrame | None = None) -> DataFrame:
-    """E2 (+E3, K5): ``(keys..., ids)`` per sentence, special tokens in the
-    raw text mapped to their ids."""
-    keys = list(keys)
-    toks = T.pretokenise(sents.select(*keys, col), col, keep=keys, with_specials=True)
+                     freq: DataFrame | None = None, carry=()) -> DataFrame:
+    """E2 (+E3, K5): ``(keys..., carry..., ids)`` per sentence, special tokens in
+    the raw text mapped to their ids.  A sentence without a pre-token has no
+    ids and keeps its row.  ``carry``: columns that depend on the keys."""
+    keys = [*keys, *carry]
+    toks = T.pretokenise(sents.select(*keys, col), col, keep=keys, with_specials=True, keep_empty=True)
     specials = F.array_position(F.array(*[F.lit(t) for t in P.SPECIAL_TOKENS]), F.col("token"))
-    plain = toks.where(specials == 0)
-    spec = toks.where(specials > 0).withColumn("ids", F.array((specials - 1).cast("int")))
+    plain = toks.where(F.coalesce(specials == 0, F.lit(False)))
+    rest = toks.where(F.coalesce(specials > 0, F.lit(True))).withColumn(
+        "ids", F.when(specials > 0, F.array((specials - 1).cast("int"))).otherwise(F.array().cast("array<int>")))
     f = freq.select(F.col("w").alias("token"), "f") if freq is not None else None
     joined = lookup_join(plain, word_ids.select(F.col("w").alias("token"), "ids"), "token", "left", freq=f,
                          salt_cols=keys + ["tok_no"])
     joined = joined.withColumn("ids", F.coalesce("ids", F.array(F.lit(P.UNK_ID))))
-    occ = joined.select(*keys, "tok_no", "ids").unionByName(spec.select(*keys, "tok_no", "ids"))
+    occ = joined.select(*keys, "tok_no", "ids").unionByName(rest.select(*keys, "tok_no", "ids"))
     return (occ.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tok_no", "ids"))).alias("x"))
                .select(*keys, F.flatten(F.transform("x", lambda e: e["ids"])).alias("ids")))
 

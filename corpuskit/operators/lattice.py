@@ -7,7 +7,8 @@ every position is reachable.  Edges are grouped per word (the word table is
 hash-partitioned by word, so the grouping reuses that partitioning) and a
 fold over the edges sorted by end position computes, per position, either
 the log-sum-exp (forward / backward) or the maximum with a back pointer
-(Viterbi).  Only Spark higher-order functions are used: no Python per row.
+(Viterbi).  That fold is a numpy kernel over Arrow batches of words, with no
+Python step per word or edge.
 """
 
 from __future__ import annotations

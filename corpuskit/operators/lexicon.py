@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..operators.tokens import normalise_words
+from ..operators.tokens import normalise as nfkc_rows
 
 # --- fixed values: types used by the derived test lexicon, indexed by h % 6 ---
 DERIVED_TYPES = ["sb.", "vb.", "adj.,sb.", "adj., sb.", "sb. pl.", "talord"]
@@ -107,7 +107,7 @@ def dictionaries(lex: DataFrame, drop_longest_words: bool = True, normalise: boo
         if drop_longest_words:
             df = drop_longest(df)
         if normalise:
-            df = (normalise_words(df, "word").select(F.col("norm").alias("word"))
+            df = (nfkc_rows(df.select("word"), "word").select(F.lower("word").alias("word"))
                   .groupBy("word").agg(F.lit(1).alias("_one")).drop("_one")
                   .withColumn("length", F.length("word").cast("bigint")))
         out.append(df.select("word", "length", F.lit(kind).alias("kind")))

@@ -21,9 +21,11 @@ MASK_T = threshold(P.MLM_PROBABILITY * P.MLM_MASK_SHARE)
 RANDOM_T = threshold(P.MLM_PROBABILITY * (P.MLM_MASK_SHARE + P.MLM_RANDOM_SHARE))
 
 
-def mask(df: DataFrame, keys, vocab_size: int, ids: str = "input_ids", epoch: int = 0,
+def mask(df: DataFrame, keys, vocab_size: int, ids: str = "input_ids", epoch: int | str = 0,
          seed: int = P.SPLIT_SEED) -> DataFrame:
-    """M1/M2: replaces ``ids`` by the masked ids and adds ``labels``."""
+    """M1/M2: replaces ``ids`` by the masked ids and adds ``labels``.  ``epoch`` is
+    a number or the name of a column that holds it."""
+    epoch = F.col(epoch) if isinstance(epoch, str) else epoch
     keys = [F.col(k) for k in keys]
     specials = F.array(*[F.lit(i) for i in range(len(P.SPECIAL_TOKENS))])
 

@@ -48,12 +48,11 @@ def train_test_split(df: DataFrame, key_cols, train_size: float = P.TRAIN_SIZE,
     ``test``; membership depends only on the seed and the row keys, so the
     training and the evaluation job agree."""
     key_cols = list(key_cols)
-    n = df.count()
-    n_train = int(train_size * n)
     # rank the keys only (the checkpointed sort never holds the text), then
     # join the labels back on the keys
     keys = df.select(*key_cols).withColumn("_k", split_key(key_cols, seed))
     ranked = global_rank(keys, ["_k"] + key_cols, "_r")
+    n_train = int(train_size * ranked.count())
     labels = (ranked.withColumn("split", F.when(F.col("_r") <= n_train, F.lit("train")).otherwise(F.lit("test")))
                     .withColumn("row_idx", F.when(F.col("_r") <= n_train, F.col("_r") - 1)
                                 .otherwise(F.col("_r") - n_train - 1).cast("bigint"))

@@ -1,14 +1,15 @@
 """Normalisation and pre-tokenisation (K1-K5).
 
-Pre-tokens are runs of word characters or runs of other non-space characters
-of the lower-cased text, found by one JVM regex (``regexp_extract_all``).
-NFKC has no Spark built-in, so it runs as an Arrow UDF, and only on the
-*distinct* non-ASCII words (ASCII text is NFKC-invariant): the Python cost
-grows with the vocabulary, not with the corpus.
+A text is normalised first (NFKC, then lower case) and cut into pre-tokens
+after that: runs of word characters or runs of other non-space characters,
+found by one JVM regex (``regexp_extract_all``).  NFKC has no Spark built-in,
+so it runs as an Arrow UDF, on a branch that holds only the rows with a
+character that NFKC may change; all other rows never leave the JVM.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import patterns as P
 
-NON_ASCII = r"[^\x00-\x7F]"
+_SPECIAL = re.compile("(" + P.SPECIAL_TOKEN + ")")
 
 
 def token_array(text: Column, with_specials: bool = False) -> Column:
@@ -32,49 +33,59 @@ def token_array(text: Column, with_specials: bool = False) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(P.TOKEN), 0)
 
 
-def pretokenise(df: DataFrame, col: str = "text", keep=None, with_specials: bool = False) -> DataFrame:
-    """K2: one row per pre-token occurrence with its position ``tok_no``."""
+def pretokenise(df: DataFrame, col: str = "text", keep=None, with_specials: bool = False,
+                keep_empty: bool = False) -> DataFrame:
+    """K1 + K2: one row per pre-token occurrence of the normalised text with its
+    position ``tok_no``.  With ``keep_empty`` a text without pre-tokens gives one
+    row with a null token."""
     keep = [c for c in (keep if keep is not None else df.columns) if c != col]
-    return df.select(*keep, F.posexplode(token_array(F.col(col), with_specials)).alias("tok_no", "token"))
+    df = normalise(df.select(*keep, col), col, with_specials)
+    explode = F.posexplode_outer if keep_empty else F.posexplode
+    return df.select(*keep, explode(token_array(F.col(col), with_specials)).alias("tok_no", "token"))
+
+
+def nfkc(text: str, with_specials: bool = False) -> str:
+    """NFKC of a text.  With ``with_specials`` the special tokens that stand in
+    the raw text are left alone, and none that only NFKC makes can be read as
+    one (a blank parts its name from the marks, as the pre-tokeniser would)."""
+    if not with_specials:
+        return unicodedata.normalize("NFKC", text)
+    return "".join(x if i % 2 else _SPECIAL.sub(lambda m: re.sub(r"(\w+)", r" \1", m[0]), unicodedata.normalize("NFKC", x))
+                   for i, x in enumerate(_SPECIAL.split(text)))
 
 
 @F.pandas_udf(StringType())
-def nfkc_lower(s: pd.Series) -> pd.Series:
-    """NFKC, then lower case (the reference's normaliser sequence)."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).lower())
+def _nfkc(s: pd.Series) -> pd.Series:
+    return s.map(nfkc, na_action="ignore")
 
 
-def normalise_words(words: DataFrame, col: str = "w") -> DataFrame:
-    """K1 on a distinct-word table: adds ``norm`` (the word after NFKC + lower).
+@F.pandas_udf(StringType())
+def _nfkc_with_specials(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: nfkc(x, True), na_action="ignore")
 
-    The UDF input is the distinct word list, so its cost grows with the
-    vocabulary, not with the corpus; ASCII words (NFKC-invariant) keep
-    their value without a Python round trip result being used."""
-    c = F.col(col)
-    return words.withColumn("norm", F.when(c.rlike(NON_ASCII), nfkc_lower(c)).otherwise(c))
 
+def normalise(df: DataFrame, col: str = "text", with_specials: bool = False) -> DataFrame:
+    """K1, first half: the column after NFKC (lower-casing is the tokeniser's).
+    Only rows that hold a character outside the stable ranges take the branch
+    through Python; a conditional UDF would be evaluated on every row."""
+    changes = F.coalesce(F.col(col).rlike(P.NFKC_CHANGES), F.lit(False))
+    udf = _nfkc_with_specials if with_specials else _nfkc
+    return df.where(~changes).unionByName(df.where(changes).withColumn(col, udf(F.col(col))))
 
-def word_freq(tokens: DataFrame, col: str = "token", normalise: bool = True) -> DataFrame:
-    """K3: pre-token frequencies ``(w, f)``; special tokens are not counted.
 
-    Partial counts are combined map-side, so a hot word costs one row per
-    task before the shuffle.  With ``normalise`` the NFKC fix runs once over
-    the distinct words; a word it changes is re-tokenised and its count is
-    merged (a second, word-sized aggregation)."""
-    counts = (tokens.where(~F.col(col).isin(*P.SPECIAL_TOKENS))
-                    .groupBy(F.col(col).alias("w")).agg(F.count(F.lit(1)).alias("f")))
-    if not normalise:
-        return counts
-    normed = normalise_words(counts)
-    parts = F.when(F.col("norm") == F.col("w"), F.array("w")).otherwise(
-        F.regexp_extract_all("norm", F.lit(P.TOKEN), 0))
-    return (normed.select(F.explode(parts).alias("w"), "f")
-                  .groupBy("w").agg(F.sum("f").cast("bigint").alias("f")))
+def word_freq(tokens: DataFrame, col: str = "token") -> DataFrame:
+    """K3: pre-token frequencies ``(w, f)``; partial counts are combined
+    map-side, so a hot word costs one row per task before the shuffle."""
+    return tokens.groupBy(F.col(col).alias("w")).agg(F.count(F.lit(1)).alias("f"))
 
 
-def special_tokens(df: DataFrame, col: str = "text", keep=None) -> DataFrame:
-    """K5: special-token occurrences in raw text with their ids."""
+def special_tokens(df: DataFrame, col: str = "text", keep=None, single_word: bool = False) -> DataFrame:
+    """K5: special-token occurrences in raw text with their ids.  With
+    ``single_word`` one that touches a word character on either side (a letter,
+    mark, digit or joiner) is not counted."""
     keep = [c for c in (keep if keep is not None else df.columns) if c != col]
-    toks = pretokenise(df, col, keep, with_specials=True)
+    word = f"[{P.WORD_CLASS}]"
+    pattern = f"(?<!{word})(?:{P.SPECIAL_TOKEN})(?!{word})" if single_word else P.SPECIAL_TOKEN
+    found = df.select(*keep, F.posexplode(F.regexp_extract_all(F.col(col), F.lit(pattern), 0)).alias("tok_no", "token"))
     ids = F.array_position(F.array(*[F.lit(t) for t in P.SPECIAL_TOKENS]), F.col("token")) - 1
-    return toks.where(F.col("token").isin(*P.SPECIAL_TOKENS)).withColumn("token_id", ids.cast("int"))
+    return found.withColumn("token_id", ids.cast("int"))

@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.joins import lookup_join
 from ..functions.numeric import digamma
-from ..functions.ranking import global_rank
+from ..functions.ranking import global_rank, top_k
 from ..session import cut_lineage
 from .lattice import (MAX_PIECE_LENGTH, UNK_PENALTY, collect_edges, lattice_edges, substrings,
                       with_expected_counts, with_viterbi)
@@ -48,7 +49,7 @@ def seed_pieces(words: DataFrame, seed_size: int = SEED_SIZE, max_len: int = MAX
     longer = counted.where(F.length("piece") > 1)
     n_chars = chars.count()
     room = max(seed_size - n_chars, 0)
-    top = global_rank(longer, [F.col("score").desc(), F.col("piece")], "_r").where(F.col("_r") <= room).drop("_r")
+    top = top_k(longer, "score", ["piece"], room)
     seeds = chars.unionByName(top)
     total = seeds.select(F.sum("score")).scalar()
     return seeds.withColumn("lp", F.log(F.col("score")) - F.log(total))
@@ -111,8 +112,10 @@ def prune(words: DataFrame, pieces: DataFrame, desired_size: int,
            .select(F.col("w").alias("piece"), F.posexplode("best.path").alias("k", "x"))
            .select("piece", "k", F.col("x.piece").alias("alt_piece"), F.col("x.unk").alias("alt_unk")))
     mine = vfreq.select("piece", F.col("vf").alias("vf_i"))
-    alt = (alt.join(mine, "piece")
-              .join(vfreq.select(F.col("piece").alias("alt_piece"), F.col("vf").alias("vf_n")), "alt_piece", "left")
+    # single letters are in most alternatives: a lookup that splits hot keys
+    alt = lookup_join(alt.join(mine, "piece"), vfreq.select(F.col("piece").alias("alt_piece"), F.col("vf").alias("vf_n")),
+                      "alt_piece", "left", salt_cols=["piece", "k"])
+    alt = (alt
               .withColumn("vf_n", F.when(F.col("alt_unk"), F.lit(0.0)).otherwise(F.coalesce("vf_n", F.lit(0.0)))))
     loss = (alt.groupBy("piece", "vf_i")
                .agg(F.count(F.lit(1)).alias("n_alt"), F.sum(F.log(F.col("vf_n") + F.col("vf_i"))).alias("sum_ln"))
@@ -126,27 +129,28 @@ def prune(words: DataFrame, pieces: DataFrame, desired_size: int,
                    .join(loss, "piece", "inner"))
     chars = pieces.where(F.length("piece") == 1)
     room = max(pruned_size - chars.count(), 0)
-    ranked = global_rank(cands, [F.col("loss").desc(), F.col("piece")], "_r").where(F.col("_r") <= room).drop("_r", "loss")
-    return chars.unionByName(ranked.select(*pieces.columns))
+    # the losses feed a histogram and a selection: computed once
+    best = top_k(cut_lineage(cands.select(*pieces.columns, "loss")), "loss", ["piece"], room)
+    return chars.unionByName(best.select(*pieces.columns))
 
 
 def finalize(pieces: DataFrame, vocab_size: int = P.VOCAB_SIZE, chars: DataFrame | None = None) -> DataFrame:
     """V6: ``(id, token, lp, special)``: the five specials as ids 0-4, then
-    pieces by ``(lp desc, piece)``.  Required characters are kept first (a
-    missing one gets the lowest score), the best other pieces fill the rest
-    of ``vocab_size``."""
+    pieces by ``(lp desc, piece)``.  Required characters are always kept, even
+    if they alone exceed ``vocab_size`` (a missing one gets the lowest score);
+    the best other pieces fill the rest."""
     spark = pieces.sparkSession
     room = vocab_size - len(P.SPECIAL_TOKENS)
     p = pieces.select("piece", "lp")
     if chars is not None:
         low = p.select(F.min("lp") - F.lit(UNK_PENALTY)).scalar()
         required = (chars.select("piece").distinct().join(p, "piece", "left")
-                         .withColumn("lp", F.coalesce(F.col("lp"), low.cast("double"))))
+                         .withColumn("lp", F.coalesce(F.col("lp"), low.cast("double"), F.lit(-UNK_PENALTY))))
         others = p.join(chars.select("piece"), "piece", "left_anti")
-        n_req = required.count()
-        best = global_rank(others, [F.col("lp").desc(), F.col("piece")], "_r").where(F.col("_r") <= room - n_req)
-        p = required.unionByName(best.drop("_r"))
-    ranked = global_rank(p, [F.col("lp").desc(), F.col("piece")], "_r").where(F.col("_r") <= room)
+        p = required.unionByName(top_k(others, "lp", ["piece"], room - required.count()))
+    else:
+        p = top_k(p, "lp", ["piece"], room)
+    ranked = global_rank(p, [F.col("lp").desc(), F.col("piece")], "_r")
     body = ranked.select((F.col("_r") + len(P.SPECIAL_TOKENS) - 1).cast("int").alias("id"), F.col("piece").alias("token"),
                          "lp", F.lit(False).alias("special"))
     specials = spark.createDataFrame([(i, t, 0.0, True) for i, t in enumerate(P.SPECIAL_TOKENS)],
@@ -156,14 +160,17 @@ def finalize(pieces: DataFrame, vocab_size: int = P.VOCAB_SIZE, chars: DataFrame
 
 def train(words: DataFrame, vocab_size: int = P.VOCAB_SIZE, seed_size: int = SEED_SIZE,
           n_sub_iterations: int = N_SUB_ITERATIONS, shrinking_factor: float = SHRINKING_FACTOR,
-          max_rounds: int = 64, log=None) -> DataFrame:
-    """V1-V6 end to end on a ``(w, f)`` table; returns the vocabulary table."""
+          log=None) -> DataFrame:
+    """V1-V6 end to end on a ``(w, f)`` table; returns the vocabulary table.
+    Rounds go on until the size is reached, or no piece is left to remove (the
+    characters, which are all kept, may be more than the vocabulary)."""
     words = cut_lineage(words.select("w", "f"))
     seeds = cut_lineage(seed_pieces(words, seed_size))
     chars = seeds.where(F.length("piece") == 1).select("piece")
     pieces = seeds.select("piece", "lp")
     desired = int(vocab_size * DESIRED_SIZE_FACTOR)
-    for rnd in range(max_rounds):
+    rnd = 0
+    while True:
         for _ in range(n_sub_iterations):
             pieces = cut_lineage(m_step(e_step(words, pieces)).select("piece", "lp"))
         size = pieces.count()
@@ -172,6 +179,9 @@ def train(words: DataFrame, vocab_size: int = P.VOCAB_SIZE, seed_size: int = SEE
         if size <= desired:
             break
         pieces = cut_lineage(prune(words, pieces, desired, shrinking_factor))
+        if pieces.count() >= size:
+            break
+        rnd += 1
     return cut_lineage(finalize(pieces, vocab_size, chars))
 
 

@@ -7,6 +7,7 @@ Array results are also rendered as strings so the oracle can compare them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..operators import clean, compound, encode, evaluate, lexicon, mlm, sampling, tokens, unigram
 from ..functions.joins import lookup_join
-from ..session import cut_lineage, read_table
-from ..sources import jsonl
+from ..session import cut_lineage, ensure_checkpoint_dir, read_table
+from ..sources import csv, jsonl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -68,15 +69,15 @@ def _join_ints(c):
 @query("lang_stats")
 def lang_stats(spark, d):
     """Flagship: sentences, pre-tokens and distinct pre-tokens per language."""
-    # One pass over the text: every kept sentence has at least one pre-token,
-    # so its first token (tok_no 0) counts the sentence.  The (lang, token)
-    # aggregate is combined map-side; the per-language one is tiny.
-    t = tokens.pretokenise(kept_sentences(spark, d), "sent", keep=["lang"])
-    per_type = t.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"),
-                                              F.sum((F.col("tok_no") == 0).cast("long")).alias("firsts"))
+    # One pass: a sentence's first row (token 0, or the only row of a sentence
+    # without pre-tokens) counts the sentence.  The (lang, token) aggregate is
+    # combined map-side; the per-language one is tiny.
+    t = tokens.pretokenise(kept_sentences(spark, d), "sent", keep=["lang"], keep_empty=True)
+    per_type = t.groupBy("lang", "token").agg(F.count("token").alias("n"),
+                                              F.sum((F.coalesce("tok_no", F.lit(0)) == 0).cast("long")).alias("firsts"))
     return per_type.groupBy("lang").agg(F.sum("firsts").cast("bigint").alias("n_sentences"),
                                         F.sum("n").cast("bigint").alias("n_tokens"),
-                                        F.count(F.lit(1)).alias("n_types"))
+                                        F.count("token").alias("n_types"))
 
 
 @query("corpus_lines")
@@ -105,6 +106,14 @@ def sentence_text(spark, d):
         "doc_id", F.col("line_no").cast("bigint").alias("line_no"), "text")
 
 
+@query("normalise")
+def normalise(spark, d):
+    """K1: kept sentences after NFKC and lower-casing."""
+    s = tokens.normalise(kept_sentences(spark, d), "sent")
+    return s.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"),
+                    F.col("sent_no").cast("bigint").alias("sent_no"), F.lower("sent").alias("sent"))
+
+
 @query("pretokenise")
 def pretokenise(spark, d):
     return sentence_tokens(spark, d).select(
@@ -122,7 +131,8 @@ def special_token_scan(spark, d):
     """K5 over the raw text of all three text tables."""
     conv = read_table(spark, d, "conversations").select(F.col("conv_id").alias("rec_id"), "text")
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("rec_id"), "text")
-    both = docs.withColumn("origin", F.lit("documents")).unionByName(conv.withColumn("origin", F.lit("conversations")))
+    bench = read_table(spark, d, "benchmark").select(F.col("item_id").alias("rec_id"), "text")
+    both = sampling.concat_corpora({"documents": docs, "conversations": conv, "benchmark": bench})
     found = tokens.special_tokens(both, "text", keep=["origin", "rec_id"])
     return found.groupBy("origin", "token", "token_id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -221,7 +231,7 @@ def compound_parts(spark, d):
 @query("compound_tokens")
 def compound_tokens(spark, d):
     words = corpus_words(spark, d)
-    splits = compound.compound_splits(words.select("w"), dictionaries(spark, d))
+    splits = cut_lineage(compound.compound_splits(words.select("w"), dictionaries(spark, d)).select("w", "parts"))
     out = compound.compound_tokens(sentence_tokens(spark, d).drop("lang"), splits, "token", freq=words)
     return out.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"),
                       F.col("sent_no").cast("bigint").alias("sent_no"), F.col("tok_no").cast("bigint").alias("tok_no"),
@@ -234,9 +244,11 @@ SENT_KEY = ["doc_id", "line_no", "sent_no"]
 
 
 def split_sentences_table(spark, d):
+    """Kept sentences with their split, materialised once: words, vocabulary and
+    encoding read this table and never the documents again."""
     s = kept_sentences(spark, d).select(
         "doc_id", F.col("line_no").cast("bigint").alias("line_no"), F.col("sent_no").cast("bigint").alias("sent_no"), "sent")
-    return sampling.train_test_split(s, SENT_KEY)
+    return cut_lineage(sampling.train_test_split(s, SENT_KEY))
 
 
 @query("train_test_split")
@@ -261,40 +273,60 @@ def batch_assign(spark, d):
 # A word-level vocabulary (ids by frequency) makes every id exactly checkable in
 # SQL; the same functions take the Unigram ``(w, ids)`` table (``encode_docs``).
 
-def _word_vocab(spark, d):
-    return cut_lineage(encode.word_vocab(corpus_words(spark, d)))
+def _table_words(sents):
+    """Distinct pre-tokens of a sentence table, materialised once."""
+    return cut_lineage(tokens.word_freq(tokens.pretokenise(sents.select("sent"), "sent", keep=[])))
 
 
-def _sentence_ids(spark, d, vocab=None):
-    vocab = vocab if vocab is not None else _word_vocab(spark, d)
+def _sentence_ids(spark, d, split=None):
+    """``(keys, split, row_idx, ids)`` of the sentences (of one ``split``) and the
+    vocabulary, from one tokenisation for the words and one for the ids."""
     sents = split_sentences_table(spark, d)
-    ids = encode.encode_sentences(sents, encode.word_ids_from_vocab(vocab), SENT_KEY, "sent",
-                                  freq=corpus_words(spark, d))
-    return sents.select(*SENT_KEY, "split", "row_idx").join(ids, SENT_KEY)
+    words = _table_words(sents)
+    vocab = cut_lineage(encode.word_vocab(words))
+    wanted = sents if split is None else sents.where(F.col("split") == split)
+    ids = encode.encode_sentences(wanted, encode.word_ids_from_vocab(vocab), SENT_KEY, "sent", freq=words,
+                                  carry=["split", "row_idx"])
+    return ids, vocab
 
 
 @query("vocab_lookup")
 def vocab_lookup(spark, d):
-    return _word_vocab(spark, d).select("id", "token", "special")
+    """Every pre-token of the benchmark items looked up in the corpus vocabulary."""
+    vocab = cut_lineage(encode.word_vocab(corpus_words(spark, d)))
+    wanted = tokens.pretokenise(read_table(spark, d, "benchmark").select("text"), "text", keep=[]).select("token")
+    return encode.vocab_lookup(vocab, wanted)
+
+
+@query("word_vocab")
+def word_vocab(spark, d):
+    return encode.word_vocab(corpus_words(spark, d)).select("id", "token", "special")
 
 
 @query("token_ids")
 def token_ids(spark, d):
-    return _sentence_ids(spark, d).select(*SENT_KEY, F.size("ids").cast("bigint").alias("n_ids"),
+    return _sentence_ids(spark, d)[0].select(*SENT_KEY, F.size("ids").cast("bigint").alias("n_ids"),
                                           _join_ints(F.col("ids")).alias("ids"))
 
 
 @query("add_specials")
 def add_specials(spark, d):
-    s = _sentence_ids(spark, d)
+    s, _ = _sentence_ids(spark, d)
     wrapped = encode.add_specials(F.col("ids"), 128)
     return s.select(*SENT_KEY, F.size(wrapped).cast("bigint").alias("n_ids"), _join_ints(wrapped).alias("input_ids"))
 
 
+@query("truncate")
+def truncate(spark, d):
+    """E4 alone: ids cut to leave room for the two wrapping ids."""
+    s, _ = _sentence_ids(spark, d)
+    cut = F.slice(F.col("ids"), 1, 126)
+    return s.select(*SENT_KEY, F.size(cut).cast("bigint").alias("n_ids"), _join_ints(cut).alias("ids"))
+
+
 @query("pad_batch")
 def pad_batch(spark, d):
-    s = (_sentence_ids(spark, d).where(F.col("split") == "train")
-         .withColumn("input_ids", encode.add_specials(F.col("ids"), 128)))
+    s = _sentence_ids(spark, d, "train")[0].withColumn("input_ids", encode.add_specials(F.col("ids"), 128))
     p = encode.pad_batches(s)
     return p.select(*SENT_KEY, "row_idx", _join_ints(F.col("input_ids")).alias("input_ids"),
                     _join_ints(F.col("attention_mask")).alias("attention_mask"))
@@ -302,7 +334,7 @@ def pad_batch(spark, d):
 
 @query("pad_fixed")
 def pad_fixed(spark, d):
-    s = _sentence_ids(spark, d).where(F.col("split") == "test")
+    s, _ = _sentence_ids(spark, d, "test")
     ids = encode.add_specials(F.col("ids"), 512)
     return s.select(*SENT_KEY, _join_ints(encode.pad_to(ids, 512)).alias("input_ids"),
                     _join_ints(encode.attention_mask(ids, 512)).alias("attention_mask"))
@@ -310,67 +342,69 @@ def pad_fixed(spark, d):
 
 @query("length_views")
 def length_views(spark, d):
-    s = _sentence_ids(spark, d)
-    return s.select(*SENT_KEY, "split", F.size(encode.add_specials(F.col("ids"), 128)).cast("bigint").alias("len_128"),
-                    F.size(encode.add_specials(F.col("ids"), 512)).cast("bigint").alias("len_512"))
+    """M3: the padded 128-id view of all rows, and the 512-id view of the test rows."""
+    s, _ = _sentence_ids(spark, d)
+    a, b = (encode.add_specials(F.col("ids"), n) for n in (128, 512))
+    test = F.col("split") == "test"
+    return s.select(*SENT_KEY, "split", F.size(a).cast("bigint").alias("len_128"), F.size(b).cast("bigint").alias("len_512"),
+                    _join_ints(encode.pad_to(a, 128)).alias("view_128"),
+                    F.when(test, _join_ints(encode.pad_to(b, 512))).alias("view_512"))
 
 
 @query("mlm_mask")
 def mlm_mask(spark, d):
-    vocab = _word_vocab(spark, d)
-    n_vocab = vocab.count()
-    s = (_sentence_ids(spark, d, vocab).where(F.col("split") == "test")
-         .withColumn("input_ids", encode.pad_to(encode.add_specials(F.col("ids"), 512), 512)))
-    m = mlm.mask(s, SENT_KEY, n_vocab, epoch=0)
+    s, vocab = _sentence_ids(spark, d, "test")
+    s = s.withColumn("input_ids", encode.pad_to(encode.add_specials(F.col("ids"), 512), 512))
+    m = mlm.mask(s, SENT_KEY, vocab.count(), epoch=0)
     return m.select(*SENT_KEY, _join_ints(F.col("input_ids")).alias("input_ids"), _join_ints(F.col("labels")).alias("labels"))
 
 
 @query("mlm_epochs")
 def mlm_epochs(spark, d):
-    vocab = _word_vocab(spark, d)
-    n_vocab = vocab.count()
-    s = (_sentence_ids(spark, d, vocab).where(F.col("split") == "train")
-         .withColumn("input_ids", encode.add_specials(F.col("ids"), 128)))
-    out = None
-    for epoch in (0, 1):
-        m = mlm.mask(s, SENT_KEY, n_vocab, epoch=epoch).select(
-            *SENT_KEY, F.lit(epoch).cast("bigint").alias("epoch"),
-            F.size(F.filter("labels", lambda x: x != P.IGNORE_INDEX)).cast("bigint").alias("n_selected"),
-            F.size(F.filter("input_ids", lambda x: x == P.MASK_ID)).cast("bigint").alias("n_masked"))
-        out = m if out is None else out.unionByName(m)
-    return out
+    s, vocab = _sentence_ids(spark, d, "train")
+    s = s.withColumn("input_ids", encode.add_specials(F.col("ids"), 128))
+    s = s.select(*SENT_KEY, "input_ids", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("epoch"))
+    m = mlm.mask(s, SENT_KEY, vocab.count(), epoch="epoch")
+    return m.select(*SENT_KEY, "epoch",
+                    F.size(F.filter("labels", lambda x: x != P.IGNORE_INDEX)).cast("bigint").alias("n_selected"),
+                    F.size(F.filter("input_ids", lambda x: x == P.MASK_ID)).cast("bigint").alias("n_masked"))
 
 
 @query("decode_ids")
 def decode_ids(spark, d):
-    vocab = _word_vocab(spark, d)
-    s = _sentence_ids(spark, d, vocab).select(*SENT_KEY, encode.add_specials(F.col("ids"), 128).alias("ids"))
+    ids, vocab = _sentence_ids(spark, d)
+    s = ids.select(*SENT_KEY, encode.add_specials(F.col("ids"), 128).alias("ids"))
     dec = encode.decode(s, vocab, SENT_KEY, "ids")
     return dec.select(*SENT_KEY, F.array_join("tokens", " ").alias("text"))
 
 
 @query("tokeniser_compare")
 def tokeniser_compare(spark, d):
-    """E11 for the two checkable tokenisers: pre-tokens (whitespace) and
-    compound parts per language."""
-    words = corpus_words(spark, d)
-    toks = sentence_tokens(spark, d)
-    splits = compound.compound_splits(words.select("w"), dictionaries(spark, d))
-    parts = compound.compound_tokens(toks.drop("doc_id", "line_no", "sent_no").withColumn("i", F.monotonically_increasing_id()),
-                                     splits, "token", freq=words)
-    ws = toks.groupBy("lang").agg(F.count(F.lit(1)).alias("n_pretokens"))
-    cp = parts.groupBy("lang").agg(F.count(F.lit(1)).alias("n_compound_parts"))
-    return ws.join(cp, "lang")
+    """E11 for the two checkable tokenisers, whitespace and compound parts, per
+    language: tokens, share of pre-tokens that stay whole, vocabulary size."""
+    toks = sentence_tokens(spark, d).select("lang", F.col("token").alias("w"))
+    per = cut_lineage(toks.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("f")))
+    words = cut_lineage(per.select("w").distinct())
+    splits = cut_lineage(compound.compound_splits(words, dictionaries(spark, d)).select("w", "parts"))
+    joined = lookup_join(per, splits, "w", "left", salt_cols=["lang"]).withColumn("parts", F.coalesce("parts", F.array("w")))
+    counts = joined.groupBy("lang").agg(
+        F.sum("f").alias("n_pretokens"), F.count(F.lit(1)).alias("n_pretoken_types"),
+        F.sum(F.col("f") * F.size("parts")).cast("bigint").alias("n_compound_parts"),
+        F.round(F.sum(F.when(F.size("parts") == 1, F.col("f")).otherwise(0)) / F.sum("f"), 6).alias("share_unsplit"))
+    types = joined.select("lang", F.explode("parts").alias("part")).groupBy("lang").agg(
+        F.countDistinct("part").alias("n_part_types"))
+    return counts.join(types, "lang")
 
 
 # --- Q1-Q3: evaluation on the embeddings table (64 logits, label) -------------------------
 
 @query("mlm_eval")
 def mlm_eval(spark, d):
-    e = read_table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label"),
-                                                  F.col("embedding").alias("logits"))
+    # four positions a sequence
+    e = read_table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("seq_id"), (F.col("vec_id") % 4).alias("pos"),
+                                                  F.col("label"), F.col("embedding").alias("logits"))
     m = evaluate.mlm_metrics(e)
-    return m.select("n_rows", "n_scored", *[F.round(c, 6).alias(c) for c in ("perplexity", "perplexity_exact", "accuracy")])
+    return m.select("n_seqs", "n_scored", *[F.round(c, 6).alias(c) for c in ("perplexity", "perplexity_exact", "accuracy")])
 
 
 @query("row_loss")
@@ -392,6 +426,15 @@ def training_words(spark, d):
     return cut_lineage(parts.groupBy("w").agg(F.sum("f").cast("bigint").alias("f")))
 
 
+@query("lexicon_scan")
+def lexicon_scan(spark, d):
+    """S3: the derived dictionary through a delimited file and back."""
+    path = f"{ensure_checkpoint_dir(spark)}/lexicon-{uuid.uuid4().hex}"
+    (derived_lexicon(spark, d).select("base", "word", "type").write.option("sep", ";").option("quote", '"')
+     .option("escape", '"').csv(path))
+    return csv.read_dictionary(spark, path)
+
+
 @query("unigram_seed")
 def unigram_seed(spark, d):
     s = unigram.seed_pieces(training_words(spark, d))
@@ -443,13 +486,12 @@ def unigram_viterbi(spark, d):
 @query("encode_docs")
 def encode_docs(spark, d):
     vocab = _seed_vocab(spark, d)
-    words = corpus_words(spark, d)
+    sents = split_sentences_table(spark, d)
+    words = _table_words(sents)
     splits = compound.compound_splits(words.select("w"), dictionaries(spark, d))
     wid = cut_lineage(encode.word_ids_unigram(words, vocab, splits))
-    sents = split_sentences_table(spark, d)
-    ids = encode.encode_sentences(sents, wid, SENT_KEY, "sent", freq=words)
-    s = (sents.select(*SENT_KEY, "split", "row_idx").join(ids, SENT_KEY).where(F.col("split") == "train")
-              .withColumn("input_ids", encode.add_specials(F.col("ids"), 128)))
+    ids = encode.encode_sentences(sents.where(F.col("split") == "train"), wid, SENT_KEY, "sent", freq=words, carry=["split", "row_idx"])
+    s = ids.withColumn("input_ids", encode.add_specials(F.col("ids"), 128))
     p = encode.pad_batches(s)
     return p.select(*SENT_KEY, _join_ints(F.col("input_ids")).alias("input_ids"),
                     _join_ints(F.col("attention_mask")).alias("attention_mask"))
@@ -459,9 +501,9 @@ def encode_docs(spark, d):
 def corpus_perplexity(spark, d):
     vocab = _seed_vocab(spark, d)
     words = corpus_words(spark, d)
-    enc = unigram.encode_words(words.select("w"), vocab)
+    enc = cut_lineage(unigram.encode_words(words.select("w"), vocab).select("w", "score", F.size("ids").alias("n_pieces")))
     toks = sentence_tokens(spark, d).select("lang", "doc_id", "line_no", "sent_no", "tok_no", F.col("token").alias("w"))
-    scored = lookup_join(toks, enc.select("w", "score", F.size("ids").alias("n_pieces")), "w", "inner", freq=words,
+    scored = lookup_join(toks, enc, "w", "left", freq=words,
                          salt_cols=["doc_id", "line_no", "sent_no", "tok_no"])
     q = evaluate.corpus_perplexity(scored)
     return q.select("lang", F.col("n_words").cast("bigint").alias("n_words"), F.col("n_pieces").cast("bigint").alias("n_pieces"),

@@ -20,8 +20,12 @@ SENT_KEY = ["doc_id", "line_no", "sent_no"]
 
 
 def build_corpus(documents: DataFrame) -> DataFrame:
-    """Documents ``(doc_id, lang, text)`` -> one row per kept sentence."""
-    s = clean.sentences(documents)
+    """Documents ``(doc_id, lang, text)``, or lines ``(doc_id, lang, line_no,
+    text)`` of keyed files -> one row per kept sentence."""
+    if "line_no" in documents.columns:
+        s = clean.keep_sentences(clean.split_sentences(clean.clean_lines(documents)))
+    else:
+        s = clean.sentences(documents)
     return s.select("doc_id", "lang", F.col("line_no").cast("bigint").alias("line_no"),
                     F.col("sent_no").cast("bigint").alias("sent_no"), F.col("sent").alias("text"))
 
@@ -44,13 +48,11 @@ def build_tokeniser(corpus: DataFrame, dictionary: DataFrame, vocab_size: int =
 
 def build_mlm_data(corpus: DataFrame, tok: TokeniserTables, max_length: int = 128, epoch: int = 0) -> DataFrame:
     """Split 99/1, encode, wrap, truncate, pad per batch, mask (train rows)."""
-    split = sampling.train_test_split(corpus, SENT_KEY)
-    words = cut_lineage(tokens.word_freq(tokens.pretokenise(corpus, "text", keep=["doc_id"])))
-    dicts = tok.dictionaries()
-    splits = compound.compound_splits(words.select("w"), dicts, tok.interfixes)
+    sents = cut_lineage(sampling.train_test_split(corpus.select(*SENT_KEY, "text"), SENT_KEY))
+    words = cut_lineage(tokens.word_freq(tokens.pretokenise(sents, "text", keep=[])))
+    splits = compound.compound_splits(words.select("w"), tok.dictionaries(), tok.interfixes)
     wid = cut_lineage(encode.word_ids_unigram(words, tok.vocab, splits))
-    ids = encode.encode_sentences(split, wid, SENT_KEY, "text", freq=words)
-    rows = (split.select(*SENT_KEY, "split", "row_idx").join(ids, SENT_KEY)
-                 .withColumn("input_ids", encode.add_specials(F.col("ids"), max_length)).drop("ids"))
-    train = encode.pad_batches(rows.where(F.col("split") == "train"))
+    rows = encode.encode_sentences(sents.where(F.col("split") == "train"), wid, SENT_KEY, "text", freq=words,
+                                   carry=["split", "row_idx"])
+    train = encode.pad_batches(rows.withColumn("input_ids", encode.add_specials(F.col("ids"), max_length)).drop("ids"))
     return mlm.mask(train, SENT_KEY, tok.vocab.count(), epoch=epoch)

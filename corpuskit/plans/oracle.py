@@ -131,10 +131,20 @@ split_rows AS (
 
 
 def _entities_sql(col: str) -> str:
-    out = col
-    for entity, char in P.HTML_ENTITIES:
-        out = f"replace({out}, {lit(entity)}, {lit(char)})"
-    return out
+    names = ", ".join(f"{lit(n)}: {lit(c)}" for n, c in P.HTML_ENTITIES)
+    name = f"regexp_extract(x, {lit(P.HTML_ENTITY_HEAD)}, 1)"
+    code = (f"CASE WHEN regexp_matches({name}, '^#[0-9]{{1,7}}$') THEN substr({name}, 2)::INTEGER "
+            f"WHEN regexp_matches({name}, '^#[xX][0-9A-Fa-f]{{1,6}}$') THEN ('0x' || substr({name}, 3))::INTEGER END")
+    char = (f"coalesce(MAP {{{names}}}[{name}], CASE WHEN ({code}) BETWEEN 1 AND 55295 OR ({code}) BETWEEN 57344 AND 1114111 "
+            f"THEN chr({code}) END)")
+    return (f"array_to_string(list_transform(string_split({col}, '&'), lambda x, i: CASE WHEN i = 1 THEN x "
+            f"ELSE coalesce({char} || substr(x, length({name}) + 2), '&' || x) END), '')")
+
+
+def _drop_blocks_sql(col: str) -> str:
+    for block in P.HTML_DROP_BLOCKS:
+        col = f"regexp_replace({col}, {lit(block)}, ' ', 'g')"
+    return col
 
 
 def with_(ctes: str, body: str) -> str:
@@ -159,14 +169,15 @@ SELECT doc_id, line_no::BIGINT AS line_no, sent_no::BIGINT AS sent_no, tok_no::B
     "special_token_scan": f"""
 WITH src AS (
   SELECT 'documents' AS origin, doc_id AS rec_id, text FROM documents
-  UNION ALL SELECT 'conversations', conv_id, text FROM conversations),
+  UNION ALL SELECT 'conversations', conv_id, text FROM conversations
+  UNION ALL SELECT 'benchmark', item_id, text FROM benchmark),
 t AS (SELECT origin, unnest(regexp_extract_all(text, {lit(P.TOKEN_WITH_SPECIALS)})) AS token FROM src)
 SELECT origin, token, (list_position({'[' + ', '.join(lit(s) for s in P.SPECIAL_TOKENS) + ']'}, token) - 1)::INTEGER AS token_id,
        count(*)::BIGINT AS n
 FROM t WHERE token IN {in_list(P.SPECIAL_TOKENS)} GROUP BY ALL""",
     "json_field": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "page_text": f"""
-WITH t0 AS (SELECT page_id, regexp_replace(html, {lit(P.HTML_DROP_BLOCKS)}, ' ', 'g') AS t FROM pages),
+WITH t0 AS (SELECT page_id, """ + _drop_blocks_sql("html") + f""" AS t FROM pages),
 t1 AS (SELECT page_id, regexp_replace(t, {lit(P.HTML_COMMENT)}, ' ', 'g') AS t FROM t0),
 t2 AS (SELECT page_id, regexp_replace(t, {lit(P.HTML_BREAKS)}, chr(10), 'g') AS t FROM t1),
 t3 AS (SELECT page_id, regexp_replace(t, {lit(P.HTML_TAG)}, '', 'g') AS t FROM t2),
@@ -235,9 +246,10 @@ words AS (
 wv AS (SELECT w, (row_number() OVER (ORDER BY f DESC, w) + 4)::INTEGER AS id FROM words),
 n_vocab AS (SELECT count(*) + 5 AS n FROM words),
 sent_ids AS (
-  SELECT t.doc_id, t.line_no::BIGINT AS line_no, t.sent_no::BIGINT AS sent_no,
-         list(coalesce(wv.id, 3) ORDER BY t.tok_no) AS ids
-  FROM toks t LEFT JOIN wv ON wv.w = t.token GROUP BY t.doc_id, t.line_no, t.sent_no),
+  SELECT r.doc_id, r.line_no, r.sent_no,
+         coalesce(list(coalesce(wv.id, 3) ORDER BY t.tok_no) FILTER (WHERE t.token IS NOT NULL), []) AS ids
+  FROM split_rows r LEFT JOIN toks t USING (doc_id, line_no, sent_no) LEFT JOIN wv ON wv.w = t.token
+  GROUP BY r.doc_id, r.line_no, r.sent_no),
 seqs AS (
   SELECT s.doc_id, s.line_no, s.sent_no, r.split, r.row_idx, s.ids,
          list_concat([1], s.ids[1:126], [2]) AS ids128,
@@ -271,6 +283,11 @@ def _mask_bits(ids: str, n: str) -> str:
 
 ORACLE.update({
     "vocab_lookup": with_(IDS, f"""
+SELECT DISTINCT b.token, coalesce(wv.id, 3)::INTEGER AS id
+FROM (SELECT unnest(regexp_extract_all(lower(text), {TOKEN})) AS token FROM benchmark) b LEFT JOIN wv ON wv.w = b.token"""),
+    "truncate": with_(IDS, """
+SELECT doc_id, line_no, sent_no, len(ids[1:126])::BIGINT AS n_ids, array_to_string(ids[1:126], ',') AS ids FROM seqs"""),
+    "word_vocab": with_(IDS, f"""
 SELECT id, w AS token, false AS special FROM wv
 UNION ALL SELECT * FROM (VALUES {', '.join(f"({i}, {lit(t)}, true)" for i, t in enumerate(P.SPECIAL_TOKENS))}) v(id, token, special)"""),
     "token_ids": with_(IDS, """
@@ -287,8 +304,11 @@ SELECT doc_id, line_no, sent_no,
        array_to_string({_pad('ids512', '512')}, ',') AS input_ids,
        array_to_string({_mask_bits('ids512', '512')}, ',') AS attention_mask
 FROM seqs WHERE split = 'test'"""),
-    "length_views": with_(IDS, """
-SELECT doc_id, line_no, sent_no, split, len(ids128)::BIGINT AS len_128, len(ids512)::BIGINT AS len_512 FROM seqs"""),
+    "length_views": with_(IDS, f"""
+SELECT doc_id, line_no, sent_no, split, len(ids128)::BIGINT AS len_128, len(ids512)::BIGINT AS len_512,
+       array_to_string({_pad('ids128', '128')}, ',') AS view_128,
+       CASE WHEN split = 'test' THEN array_to_string({_pad('ids512', '512')}, ',') END AS view_512
+FROM seqs"""),
     "mlm_mask": with_(IDS, f"""
 SELECT doc_id, line_no, sent_no,
        array_to_string(list_transform(m, lambda x: x.id), ',') AS input_ids,
@@ -308,12 +328,16 @@ dec AS (
   SELECT q.doc_id, q.line_no, q.sent_no, unnest(q.ids128) AS id, generate_subscripts(q.ids128, 1) AS pos FROM seqs q)""", """
 SELECT dec.doc_id, dec.line_no, dec.sent_no, string_agg(vocab.token, ' ' ORDER BY dec.pos) AS text
 FROM dec JOIN vocab USING (id) GROUP BY dec.doc_id, dec.line_no, dec.sent_no"""),
-    "tokeniser_compare": with_(SPLITS, """
-SELECT t.lang, t.n_pretokens, c.n_compound_parts FROM
-  (SELECT lang, count(*)::BIGINT AS n_pretokens FROM toks GROUP BY lang) t
-JOIN
-  (SELECT toks.lang, sum(coalesce(len(s.parts), 1))::BIGINT AS n_compound_parts
-   FROM toks LEFT JOIN split_parts s ON s.w = toks.token GROUP BY toks.lang) c USING (lang)"""),
+    "tokeniser_compare": with_(SPLITS + """,
+per AS (
+  SELECT toks.lang, toks.token AS w, coalesce(any_value(s.parts), [toks.token]) AS parts, count(*) AS f
+  FROM toks LEFT JOIN split_parts s ON s.w = toks.token GROUP BY toks.lang, toks.token),
+types AS (SELECT lang, count(DISTINCT part) AS n_part_types FROM (SELECT lang, unnest(parts) AS part FROM per) GROUP BY lang)""", """
+SELECT per.lang, sum(f)::BIGINT AS n_pretokens, count(*)::BIGINT AS n_pretoken_types,
+       sum(f * len(parts))::BIGINT AS n_compound_parts,
+       round(sum(CASE WHEN len(parts) = 1 THEN f ELSE 0 END)::DOUBLE / sum(f), 6) AS share_unsplit,
+       any_value(n_part_types)::BIGINT AS n_part_types
+FROM per JOIN types USING (lang) GROUP BY per.lang"""),
     "row_loss": """
 WITH r AS (SELECT vec_id AS row_id, label, embedding AS x, list_max(embedding)::DOUBLE AS m FROM embeddings WHERE label >= 0)
 SELECT row_id,
@@ -321,28 +345,34 @@ SELECT row_id,
        (list_position(x, list_max(x)) - 1 = label)::BIGINT AS correct
 FROM r""",
     "mlm_eval": """
-WITH r AS (SELECT vec_id AS row_id, label, embedding AS x, list_max(embedding)::DOUBLE AS m FROM embeddings WHERE label >= 0),
-l AS (SELECT row_id, m + ln(list_sum(list_transform(x, lambda v: exp(v::DOUBLE - m)))) - x[label + 1]::DOUBLE AS loss,
-             (list_position(x, list_max(x)) - 1 = label)::INTEGER AS correct FROM r),
-b AS (SELECT row_id // 8 AS batch, avg(loss) AS bl, sum(loss) AS sl, count(*) AS nl, sum(correct) AS nc FROM l GROUP BY 1),
-n AS (SELECT count(*) AS n FROM embeddings)
-SELECT (SELECT n FROM n)::BIGINT AS n_rows, sum(nl)::BIGINT AS n_scored,
+WITH r AS (SELECT vec_id // 4 AS seq_id, label, embedding AS x, list_max(embedding)::DOUBLE AS m FROM embeddings),
+l AS (SELECT seq_id, CASE WHEN label >= 0 THEN m + ln(list_sum(list_transform(x, lambda v: exp(v::DOUBLE - m)))) - x[label + 1]::DOUBLE END AS loss,
+             CASE WHEN label >= 0 THEN (list_position(x, list_max(x)) - 1 = label)::INTEGER END AS correct FROM r),
+q AS (SELECT *, dense_rank() OVER (ORDER BY seq_id) - 1 AS seq FROM l),
+b AS (SELECT seq // 8 AS batch, avg(loss) AS bl, sum(loss) AS sl, count(loss) AS nl, sum(correct) AS nc FROM q GROUP BY 1),
+n AS (SELECT max(seq) + 1 AS n FROM q)
+SELECT (SELECT n FROM n)::BIGINT AS n_seqs, sum(nl)::BIGINT AS n_scored,
        round(CASE WHEN (SELECT n FROM n) // 8 > 0 THEN exp(sum(bl) / ((SELECT n FROM n) // 8)) END, 6) AS perplexity,
        round(exp(sum(sl) / sum(nl)), 6) AS perplexity_exact,
        round(sum(nc)::DOUBLE / sum(nl), 6) AS accuracy
 FROM b""",
+    "normalise": with_(SENTS, """
+SELECT doc_id, line_no::BIGINT AS line_no, sent_no::BIGINT AS sent_no, lower(sent) AS sent FROM sents"""),
+    "lexicon_scan": with_(LEX, "SELECT base, word, type FROM lex"),
 })
 
 # --- Unigram seeds -------------------------------------------------------------------------
 
-ORACLE["unigram_seed"] = with_(SPLITS + """,
-train_words AS (
-  SELECT part AS w, sum(f)::BIGINT AS f FROM (
+TRAIN_WORDS = SPLITS + """,
+train_words AS MATERIALIZED (
+  SELECT part AS w, sum(f)::BIGINT AS f, (row_number() OVER (ORDER BY part))::INTEGER AS wid FROM (
     SELECT unnest(coalesce(s.parts, [words.w])) AS part, words.f FROM words LEFT JOIN split_parts s ON s.w = words.w)
   GROUP BY part),
-subs AS (
-  SELECT substr(w, st + 1, ln) AS piece, f FROM train_words, unnest(range(0, length(w))) AS a(st), unnest(range(1, 17)) AS b(ln)
-  WHERE st + ln <= length(w)),
+subs AS MATERIALIZED (
+  SELECT wid, st, st + ln AS en, substr(w, st + 1, ln) AS piece, f
+  FROM train_words, unnest(range(0, length(w))) AS a(st), unnest(range(1, 17)) AS b(ln)
+  WHERE st + ln <= length(w))"""
+SEEDS = TRAIN_WORDS + """,
 counted AS (
   SELECT piece, sum(f)::BIGINT AS freq FROM subs GROUP BY piece),
 kept AS (
@@ -350,7 +380,111 @@ kept AS (
 ranked AS (
   SELECT *, CASE WHEN length(piece) = 1 THEN 0 ELSE row_number() OVER (PARTITION BY length(piece) = 1 ORDER BY score DESC, piece) END AS r
   FROM kept),
-seeds AS (
-  SELECT * FROM ranked WHERE length(piece) = 1
-     OR r <= 1000000 - (SELECT count(*) FROM kept WHERE length(piece) = 1))""", """
-SELECT piece, freq, score::BIGINT AS score, round(ln(score) - ln((SELECT sum(score) FROM seeds)), 6) AS lp FROM seeds""")
+seeds AS MATERIALIZED (
+  SELECT piece, freq, score FROM ranked WHERE length(piece) = 1
+     OR r <= 1000000 - (SELECT count(*) FROM kept WHERE length(piece) = 1)),
+seed_lp AS MATERIALIZED (
+  SELECT *, ln(score) - ln((SELECT sum(score) FROM seeds)) AS lp, (row_number() OVER (ORDER BY piece))::INTEGER AS pno FROM seeds)"""
+
+ORACLE["unigram_seed"] = with_(SEEDS, "SELECT piece, freq, score::BIGINT AS score, round(lp, 6) AS lp FROM seed_lp")
+
+# Forward and backward sums of every word, one position a recursion step: the
+# state of a word is the list of its sums so far.
+ESTEP = SEEDS + """,
+lat AS MATERIALIZED (SELECT wid, st::INTEGER AS st, en::INTEGER AS en, pno, lp FROM subs JOIN seed_lp USING (piece)),
+by_end AS MATERIALIZED (SELECT wid, en, list(struct_pack(k := st, lp := lp)) AS es FROM lat GROUP BY wid, en),
+by_start AS MATERIALIZED (SELECT l.wid, st, list(struct_pack(k := length(w) - en, lp := lp)) AS es
+  FROM lat l JOIN train_words USING (wid) GROUP BY l.wid, st),
+fwd(wid, n, p, a) AS (
+  SELECT wid, length(w)::INTEGER, 0, [0.0::DOUBLE] FROM train_words
+  UNION ALL
+  SELECT wid, n, p + 1, list_append(a, m + ln(list_sum(list_transform(v, lambda x: exp(x - m)))))
+  FROM (SELECT *, list_max(v) AS m FROM (
+    SELECT fwd.wid, n, p, a, list_transform(g.es, lambda x: a[x.k + 1] + x.lp) AS v
+    FROM fwd JOIN by_end g ON g.wid = fwd.wid AND g.en = p + 1))),
+bwd(wid, n, p, a) AS (
+  SELECT wid, length(w)::INTEGER, 0, [0.0::DOUBLE] FROM train_words
+  UNION ALL
+  SELECT wid, n, p + 1, list_append(a, m + ln(list_sum(list_transform(v, lambda x: exp(x - m)))))
+  FROM (SELECT *, list_max(v) AS m FROM (
+    SELECT bwd.wid, n, p, a, list_transform(g.es, lambda x: a[x.k + 1] + x.lp) AS v
+    FROM bwd JOIN by_start g ON g.wid = bwd.wid AND g.st = n - p - 1))),
+expected AS MATERIALIZED (
+  SELECT pno, sum(w.f * exp(f.a[l.st + 1] + l.lp + b.a[b.n - l.en + 1] - f.a[f.n + 1])) AS c
+  FROM lat l JOIN train_words w USING (wid) JOIN fwd f ON f.wid = l.wid AND f.p = f.n JOIN bwd b ON b.wid = l.wid AND b.p = b.n
+  GROUP BY pno)"""
+ORACLE["unigram_estep"] = with_(ESTEP, "SELECT piece, round(c, 4) AS c FROM expected JOIN seed_lp USING (pno)")
+
+
+def _digamma(x: str) -> str:
+    """digamma by the shift to x + 7 and its asymptotic series."""
+    shift = " + ".join(f"1.0 / ({x} + {k})" for k in range(7))
+    y = f"({x} + 7 - 0.5)"
+    return (f"(ln({y}) + 1.0 / (24 * {y} ** 2) - 7.0 / (960 * {y} ** 4) + 31.0 / (8064 * {y} ** 6) "
+            f"- 127.0 / (30720 * {y} ** 8) - ({shift}))")
+
+
+ORACLE["unigram_mstep"] = with_(ESTEP + """,
+kept_counts AS (SELECT piece, c FROM expected JOIN seed_lp USING (pno) WHERE c >= 0.5)""", f"""
+SELECT piece, round(c, 4) AS c, round({_digamma('c')} - (SELECT {_digamma('t')} FROM (SELECT sum(c) AS t FROM kept_counts)), 6) AS lp
+FROM kept_counts""")
+
+# Best segmentation: as the forward sums, with the maximum and its way; equal
+# scores go to the earlier start.
+SEED_VOCAB = """,
+vocab AS MATERIALIZED (
+  SELECT piece, lp, (r + 4)::INTEGER AS id FROM (SELECT piece, lp, row_number() OVER (ORDER BY lp DESC, piece) AS r FROM seed_lp)
+  WHERE r <= 49995)"""
+
+
+def _viterbi(words: str) -> str:
+    """Ways of all ``words (w, wid)`` over ``vocab``; 3 is an unknown character."""
+    return f""",
+vsubs AS (
+  SELECT wid, st, st + ln AS en, substr(w, st + 1, ln) AS piece
+  FROM {words}, unnest(range(0, length(w))) AS a(st), unnest(range(1, 17)) AS b(ln) WHERE st + ln <= length(w)),
+vlat AS (
+  SELECT wid, st, en, coalesce(id, 3) AS id, coalesce(lp, (SELECT min(lp) - 10 FROM vocab)) AS lp
+  FROM vsubs LEFT JOIN vocab USING (piece) WHERE id IS NOT NULL OR en - st = 1),
+vends AS MATERIALIZED (SELECT wid, en::INTEGER AS en, list(struct_pack(k := st::INTEGER, lp := lp, id := id)) AS es FROM vlat GROUP BY wid, en),
+vit(wid, n, p, a, way) AS (
+  SELECT wid, length(w)::INTEGER, 0, [0.0::DOUBLE], [[]::INTEGER[]] FROM {words}
+  UNION ALL
+  SELECT wid, n, p + 1, list_append(a, m.v), list_append(way, list_append(way[1 - m.nk], m.id))
+  FROM (SELECT vit.wid, n, p, a, way,
+               list_max(list_transform(g.es, lambda x: struct_pack(v := a[x.k + 1] + x.lp, nk := -x.k, id := x.id))) AS m
+        FROM vit JOIN vends g ON g.wid = vit.wid AND g.en = p + 1)),
+ways AS MATERIALIZED (
+  SELECT w, wid, a[n + 1] AS score,
+         list_filter(way[n + 1], lambda x, i: NOT (x = 3 AND i > 1 AND way[n + 1][greatest(i - 1, 1)] = 3)) AS ids
+  FROM vit JOIN {words} USING (wid) WHERE p = n)"""
+
+
+ORACLE["unigram_viterbi"] = with_(SEEDS + SEED_VOCAB + _viterbi("train_words") + """,
+named AS (SELECT id, piece FROM vocab UNION ALL SELECT 3, '<unk>'),
+spelled AS (
+  SELECT wid, string_agg(piece, ' ' ORDER BY pos) AS tokens
+  FROM (SELECT wid, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM ways) JOIN named USING (id) GROUP BY wid)""", """
+SELECT w, array_to_string(ids, ',') AS ids, tokens, round(score, 6) AS score FROM ways JOIN spelled USING (wid)""")
+
+ORACLE["corpus_perplexity"] = with_(SEEDS + SEED_VOCAB + """,
+all_words AS MATERIALIZED (SELECT w, f, (row_number() OVER (ORDER BY w))::INTEGER AS wid FROM words)""" + _viterbi("all_words"), """
+SELECT lang, count(*)::BIGINT AS n_words, sum(len(ids))::BIGINT AS n_pieces, round(exp(-sum(score) / sum(len(ids))), 4) AS perplexity
+FROM toks JOIN ways ON ways.w = toks.token GROUP BY lang""")
+
+ORACLE["encode_docs"] = with_(SEEDS + SEED_VOCAB + _viterbi("train_words") + SPLIT_ROWS[len(SENTS):] + """,
+word_parts AS (
+  SELECT w, unnest(parts) AS part, generate_subscripts(parts, 1) AS j
+  FROM (SELECT words.w, coalesce(s.parts, [words.w]) AS parts FROM words LEFT JOIN split_parts s ON s.w = words.w)),
+word_ids AS MATERIALIZED (
+  SELECT word_parts.w, flatten(list(ways.ids ORDER BY j)) AS ids FROM word_parts JOIN ways ON ways.w = part GROUP BY word_parts.w),
+seqs AS (
+  SELECT r.doc_id, r.line_no, r.sent_no, any_value(r.row_idx) AS row_idx,
+         list_concat([1], coalesce(flatten(list(word_ids.ids ORDER BY tok_no) FILTER (WHERE t.token IS NOT NULL)), [])[1:126], [2]) AS ids128
+  FROM split_rows r LEFT JOIN toks t ON t.doc_id = r.doc_id AND t.line_no = r.line_no AND t.sent_no = r.sent_no
+       LEFT JOIN word_ids ON word_ids.w = t.token
+  WHERE r.split = 'train' GROUP BY r.doc_id, r.line_no, r.sent_no)""", f"""
+SELECT doc_id, line_no, sent_no,
+       array_to_string({_pad('ids128', 'm')}, ',') AS input_ids,
+       array_to_string({_mask_bits('ids128', 'm')}, ',') AS attention_mask
+FROM (SELECT *, max(len(ids128)) OVER (PARTITION BY row_idx // 1000) AS m FROM seqs)""")

@@ -40,6 +40,7 @@ def get_spark(master: str | None = None, app: str = "corpuskit",
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 

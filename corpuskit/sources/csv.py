@@ -9,7 +9,7 @@ DICTIONARY_SCHEMA = "base string, word string, type string"
 
 def read_dictionary(spark: SparkSession, path, schema: str = DICTIONARY_SCHEMA) -> DataFrame:
     """Rows ``(base, word, type)``; fields may be quoted with ``"`` and quotes
-    doubled inside.  Only an empty field is missing (trap T4: the words
+    doubled inside; a row with a wrong number of fields raises.  Only an empty field is missing (trap T4: the words
     ``null``, ``nan`` and ``NA`` stay words)."""
     return (spark.read.option("sep", ";").option("header", "false").option("quote", '"')
-            .option("escape", '"').option("mode", "PERMISSIVE").schema(schema).csv(path))
+            .option("escape", '"').option("mode", "FAILFAST").schema(schema).csv(path))

@@ -4,18 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+
+PAGE_SCHEMA = "id bigint, title string, revision struct<text: struct<_VALUE: string>>"
 
 
 def read_dump_pages(spark: SparkSession, path, row_tag: str = "page") -> DataFrame:
-    """``(page_id, title, text)`` per page element; the body is the revision
-    text (the value of the element, whatever its attributes)."""
-    df = spark.read.format("xml").option("rowTag", row_tag).load(path)
-    rev = df.schema["revision"].dataType if "revision" in df.columns else None
-    text = F.lit(None).cast("string")
-    if isinstance(rev, StructType) and "text" in rev.fieldNames():
-        t = rev["text"].dataType
-        text = F.col("revision.text._VALUE") if isinstance(t, StructType) else F.col("revision.text")
-    pid = F.col("id").cast("bigint") if "id" in df.columns else F.lit(None).cast("bigint")
-    title = F.col("title").cast("string") if "title" in df.columns else F.lit(None).cast("string")
-    return df.select(pid.alias("page_id"), title.alias("title"), text.cast("string").alias("text"))
+    """``(page_id, title, text)`` per page element; the body is the revision text
+    (the value of the element, whatever its attributes).  The schema is given,
+    so the dump is read once and the columns' types do not depend on it."""
+    df = spark.read.format("xml").option("rowTag", row_tag).schema(PAGE_SCHEMA).load(path)
+    return df.select(F.col("id").alias("page_id"), "title", F.col("revision.text._VALUE").alias("text"))

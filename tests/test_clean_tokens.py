@@ -29,10 +29,64 @@ def test_special_tokens_in_raw_text(spark):
     assert [(r.token, r.token_id) for r in found] == [("<mask>", 4), ("</s>", 2)]
 
 
-def test_nfkc_runs_only_on_distinct_words(spark):
-    df = spark.createDataFrame([(1, "ﬁsk ﬁsk Ｋat")], "doc_id long, text string")
-    f = {r.w: r.f for r in tokens.word_freq(tokens.pretokenise(df, "text", keep=["doc_id"])).collect()}
-    assert f == {"fisk": 2, "kat": 1}
+def _tokens(spark, text, **kw):
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    return [r.token for r in tokens.pretokenise(df, "text", keep=["doc_id"], **kw).orderBy("tok_no").collect()]
+
+
+def test_text_is_normalised_before_it_is_cut(spark):
+    assert _tokens(spark, "20 m² Raum") == ["20", "m2", "raum"]
+    assert _tokens(spark, "№5 ﬁsch Ｋat") == ["no5", "fisch", "kat"]
+    assert _tokens(spark, "Cafe\u0301 \u1112\u1161") == ["caf\u00e9", "\ud558"]
+
+
+def test_special_tokens_come_before_nfkc(spark):
+    # one in the raw text counts; one that only NFKC makes is ordinary text
+    assert _tokens(spark, "m² <mask> ＜mask＞ ＜/s＞", with_specials=True) == ["m2", "<mask>", "<", "mask", ">", "</", "s", ">"]
+
+
+def test_stable_ranges_hold_no_character_that_nfkc_changes():
+    import re
+    import unicodedata
+    from corpuskit.functions import patterns as P
+    stable = re.compile("[" + P.NFKC_STABLE + "]")
+    for c in (chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000):
+        if stable.match(c):
+            assert unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c), hex(ord(c))
+
+
+def test_only_changing_rows_go_through_python(spark):
+    df = spark.createDataFrame([(1, "plain äöü"), (2, "m²"), (3, None)], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in tokens.normalise(df).collect()}
+    assert out == {1: "plain äöü", 2: "m2", 3: None}
+
+
+def test_single_word_specials(spark):
+    df = spark.createDataFrame([(1, "a<mask> <mask> <s>x (</s>)")], "doc_id long, text string")
+    found = tokens.special_tokens(df, "text", keep=["doc_id"], single_word=True).orderBy("tok_no").collect()
+    assert [r.token for r in found] == ["<mask>", "</s>"]
+
+
+def _page(spark, html):
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    return [r.text for r in clean.page_lines(df).orderBy("line_no").collect()]
+
+
+def test_html_blocks_end_at_their_own_tag(spark):
+    assert _page(spark, "<head><script>var a;</script><title>SECRET</title></head><p>shown</p>") == ["shown"]
+    assert _page(spark, "<header>Top</header><nav><style>x{}</style>menu</nav><p>shown</p>") == ["Top", "shown"]
+
+
+def test_html_entities(spark):
+    assert _page(spark, "<p>&uuml;ber &#8217;x&#x2019; &euro;5 &nope; AT&T &amp;lt; a &lt; b &#xD800; &</p>") == [
+        "über \u2019x\u2019 €5 &nope; AT&T &lt; a < b &#xD800; &"]
+
+
+def test_sentence_text_needs_no_shuffle(spark):
+    df = spark.createDataFrame([(1, "da", "s", "Ja. Det er en test!  Kom nu her. Hej\nNej")], "doc_id long, lang string, source string, text string")
+    out = clean.sentence_text(df)
+    assert [(r.line_no, r.text) for r in out.collect()] == [(0, "Det er en test!\nKom nu her.")]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_html_text(spark):

@@ -80,3 +80,42 @@ def test_sinks_and_artefacts(spark, tmp_out):
     assert back.interfixes == ["e", "n", "s"]
     assert sorted(map(tuple, back.vocab.collect())) == sorted(map(tuple, vocab.collect()))
     assert back.dictionaries().count() == 2   # no length tier lost on load
+
+
+def test_files_to_masked_rows(spark, tmp_path):
+    """From text files and a dictionary file to masked training rows."""
+    from corpuskit.plans import jobs
+    from corpuskit.sources import csv, text
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.txt").write_text("\n".join(
+            f'<doc id="{i}">\nDer Hund {name}{i} geht in den Garten. Die Katze bleibt im Haus {i % 7}.\n</doc>' for i in range(120)))
+    (tmp_path / "words.csv").write_text("Haus;Haus;sb.\nGarten;Garten;sb.\nTür;Türen;sb.\nHaustürschlüssel;x;sb.\n")
+    lines = text.read_keyed_lines(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")], lang="de")
+    rows = lines.collect()
+    by_doc = {}
+    for r in rows:
+        by_doc.setdefault(r.doc_id, []).append((r.line_no, r.text))
+    assert len(by_doc) == 2
+    for doc in by_doc.values():
+        assert [n for n, _ in sorted(doc)] == list(range(360)) and sorted(doc)[3][1] == '<doc id="1">'
+    corpus = jobs.build_corpus(lines)
+    assert corpus.count() == 480
+    tok = jobs.build_tokeniser(corpus, csv.read_dictionary(spark, str(tmp_path / "words.csv")), vocab_size=200)
+    out = jobs.build_mlm_data(corpus, tok, max_length=32)
+    got = out.collect()
+    assert len(got) == int(0.99 * 480) and all(len(r.input_ids) == len(r.labels) == len(r.attention_mask) for r in got)
+
+
+def test_wrong_number_of_fields_raises(spark, tmp_path):
+    import pytest
+    from corpuskit.sources import csv
+    (tmp_path / "bad.csv").write_text("a;b;c;d\n")
+    with pytest.raises(Exception):
+        csv.read_dictionary(spark, str(tmp_path / "bad.csv")).collect()
+
+
+def test_buckets_flatten_to_the_list(spark):
+    """A4: the words grouped by length, flattened again, are the list."""
+    words = spark.createDataFrame([(w,) for w in ("a", "bb", "cc", "ddd")], "word string").withColumn("length", F.length("word"))
+    grouped = words.groupBy("length").agg(F.collect_list("word").alias("ws"))
+    assert sorted(r.w for r in grouped.select(F.explode("ws").alias("w")).collect()) == ["a", "bb", "cc", "ddd"]

@@ -114,18 +114,88 @@ def test_mask_properties(spark):
     assert [r.labels for r in again] == [r.labels for r in first]
 
 
+def _gap(loss):
+    """Two logits whose loss for label 0 is ``loss``."""
+    return [0.0, math.log(math.exp(loss) - 1.0)]
+
+
 def test_perplexity_golden(spark):
-    # 20 rows, batches of 8: means 1 and 2, third (short) batch mean 3
-    rows = []
-    for i in range(20):
-        loss = 1.0 if i < 8 else 2.0 if i < 16 else 3.0
-        # two logits with the label's logit lower by a fixed gap gives the loss
-        gap = math.log(math.exp(loss) - 1.0)
-        rows.append((i, 0, [0.0, gap]))
-    df = spark.createDataFrame(rows, "row_id long, label int, logits array<float>")
+    # 20 sequences, batches of 8: means 1 and 2, third (short) batch mean 3
+    rows = [(100 + 3 * i, 0, 0, _gap(1.0 if i < 8 else 2.0 if i < 16 else 3.0)) for i in range(20)]
+    df = spark.createDataFrame(rows, "seq_id long, pos int, label int, logits array<float>")
     r = evaluate.mlm_metrics(df).first()
     assert abs(r.perplexity - math.exp((1 + 2 + 3) / 2)) < 1e-4
-    assert r.accuracy == 0.0
+    assert r.accuracy == 0.0 and r.n_seqs == 20
+
+
+def test_batches_are_of_sequences(spark):
+    # 16 sequences of 75 positions with one constant loss: its exponential
+    rows = [(s, p, 0, _gap(1.3133)) for s in range(16) for p in range(75)]
+    df = spark.createDataFrame(rows, "seq_id long, pos int, label int, logits array<float>")
+    r = evaluate.mlm_metrics(df).first()
+    assert abs(r.perplexity - 3.718) < 1e-3 and (r.n_seqs, r.n_scored) == (16, 1200)
+
+
+def test_vocabulary_keeps_all_required_characters(spark):
+    chars = spark.createDataFrame([(chr(0x4E00 + i),) for i in range(30)], "piece string")
+    pieces = chars.withColumn("lp", F.lit(-3.0)).unionByName(_pieces(spark))
+    vocab = {r.token for r in unigram.finalize(pieces, 12, chars).collect()}
+    assert {chr(0x4E00 + i) for i in range(30)} <= vocab and len(vocab) == 35
+
+
+def test_prune_keeps_the_costliest_pieces(spark):
+    words = _words(spark)
+
+    def best(w, without=None):
+        return max((s for s in segmentations(w) if without is None or s != [without]), key=lambda s: sum(PIECES[p] for p in s))
+    vf = {}
+    for w, f in WORDS.items():
+        for p in best(w):
+            vf[p] = vf.get(p, 0.0) + f
+    total, n = sum(vf.values()), sum(WORDS.values())
+    loss = {}
+    for p in PIECES:
+        if len(p) > 1 and p in vf and best(p) == [p]:
+            alt = best(p, p)
+            after = total + vf[p] * (len(alt) - 1)
+            loss[p] = vf[p] / n * (math.log(vf[p] / total) - sum(math.log((vf.get(a, 0.0) + vf[p]) / after) for a in alt))
+    for size in (4, 5, 6):
+        want = {"a", "b", "c", *sorted(loss, key=lambda p: (-loss[p], p))[:size - 3]}
+        assert {r.piece for r in unigram.prune(words, _pieces(spark), size, 0.0).collect()} == want
+
+
+def test_top_k_matches_a_sort(spark):
+    import random
+    from corpuskit.functions.ranking import top_k
+    rng = random.Random(3)
+    rows = [(i, rng.choice([0.0, 1.0, -1.0, rng.gauss(0, 100), rng.gauss(0, 1e-6), 5.0])) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, s double")
+    for k in (0, 1, 57, 200, 399, 400, 500):
+        want = {i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:k]}
+        assert {r.i for r in top_k(df, "s", ["i"], k).collect()} == want
+
+
+def test_sentence_without_tokens_keeps_its_row(spark):
+    sents = spark.createDataFrame([(1, "\u00a0 \u00a0"), (2, "a b")], "k long, sent string")
+    ids = spark.createDataFrame([("a", [7]), ("b", [8])], "w string, ids array<int>")
+    got = {r.k: r.ids for r in encode.encode_sentences(sents, ids, ["k"]).collect()}
+    assert got == {1: [], 2: [7, 8]}
+
+
+def test_compatibility_characters_find_their_word(spark):
+    sents = spark.createDataFrame([(1, "ﬁsch №5")], "k long, sent string")
+    ids = spark.createDataFrame([("fisch", [7]), ("no5", [8])], "w string, ids array<int>")
+    assert encode.encode_sentences(sents, ids, ["k"]).first().ids == [7, 8]
+
+
+def test_salted_lookup_equals_the_broadcast_one(spark):
+    from corpuskit.functions.joins import lookup_join
+    big = spark.createDataFrame([(i, "hot" if i % 3 else f"w{i}") for i in range(600)], "i long, w string")
+    table = spark.createDataFrame([("hot", 1), ("w3", 2), ("w9", 3)], "w string, v int")
+    rows = lambda df: sorted((r.i, r.w, r.v) for r in df.collect())
+    salted = lookup_join(big, table, "w", "left", max_broadcast_rows=0)
+    assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
+    assert rows(salted) == rows(lookup_join(big, table, "w", "left"))
 
 
 def test_decode_roundtrip(spark):
