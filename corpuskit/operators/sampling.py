@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.hashing import hash_key
+from ..functions.joins import bounded_broadcast
 from ..functions.ranking import global_rank, rank_within
 
 
@@ -34,7 +35,8 @@ def interleave(df: DataFrame, source_col: str, order_cols) -> DataFrame:
     smallest = df.groupBy(source_col).count().select(F.min("count")).scalar()
     kept = ranked.where(F.col("rank") <= smallest)
     src_rank = rank_within(df.select(source_col).distinct().withColumn("_one", F.lit(1)), ["_one"], [source_col], "_src")
-    return (kept.join(F.broadcast(src_rank.drop("_one")), source_col)
+    sources, _ = bounded_broadcast(src_rank.drop("_one"))
+    return (kept.join(sources, source_col)
                 .withColumn("position", ((F.col("rank") - 1) * n_sources + F.col("_src") - 1).cast("bigint"))
                 .drop("_src"))
 

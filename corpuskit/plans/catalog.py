@@ -472,6 +472,12 @@ def vocab_table(spark, d):
     return unigram.train(training_words(spark, d), vocab_size=P.VOCAB_SIZE)
 
 
+@query("vocab_pruned")
+def vocab_pruned(spark, d):
+    """V1-V6 to half the size, so that rounds of pruning take place."""
+    return unigram.train(training_words(spark, d), vocab_size=P.VOCAB_SIZE // 2)
+
+
 def _seed_vocab(spark, d):
     return cut_lineage(unigram.finalize(_seed_model(spark, d), P.VOCAB_SIZE))
 
