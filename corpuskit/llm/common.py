@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 
 #: Rows and bytes of one Arrow batch handed to Python; keeps a worker's memory flat.
 BATCH_ROWS = "2000"
@@ -23,8 +23,9 @@ _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Shared folder and Arrow batch size for the operators."""
+    """Shared folder, the package on the executors, and Arrow batch sizes."""
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark

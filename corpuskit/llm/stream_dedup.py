@@ -142,10 +142,14 @@ def dedup_table(docs: DataFrame) -> DataFrame:
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept."""
-    kept = deduplicate(docs).where("kept").select(F.col("doc_id").alias("kept_id"))
-    out = docs.join(kept.distinct().hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = deduplicate(docs).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest"))
+    keyed = docs.withColumn("_digest", sha256(normalised(F.col("text"))))
+    out = keyed.join(kept.distinct().hint("shuffle_hash"),
+                     F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")), "left_semi")
     ids = docs.select(F.count(F.lit(1)).alias("n"), F.countDistinct(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("d")).first()
-    return out.dropDuplicates(["doc_id"]) if ids["n"] > ids["d"] else out
+    if ids["n"] > ids["d"]:  # repeated rows of one id
+        out = out.dropDuplicates(["doc_id", "_digest"])
+    return out.drop("_digest")
 
 
 ORACLE_SQL = r"""

@@ -74,6 +74,13 @@ def test_odd_rows(spark, table, odd_rows):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(odd_rows)
 
 
+def test_one_id_with_several_texts(spark, table):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (5, a + " end"), (None, a + " x y"), (None, b + " z"), (7, "other text that stands alone here")]
+    got = jaccard_join.similar_groups(table(rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+
+
 def test_boundary_of_the_threshold():
     import numpy as np
     a = np.arange(7, dtype=np.uint64)

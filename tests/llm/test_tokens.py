@@ -141,7 +141,9 @@ def test_tree_of_nodes_packs_tightly(spark):
             assert o == at
             at += n
         assert at <= 100
-    assert len(used) <= 1.02 * -(-sum(sizes) // 100)
+    # leaves of a hundred items are far below the default; bins merge up the tree
+    assert len(used) <= 1.06 * -(-sum(sizes) // 100)
+    assert any(s >> 56 for s in used)
 
 
 def test_best_fit_prefers_the_fullest_bin():
