@@ -119,3 +119,22 @@ def test_buckets_flatten_to_the_list(spark):
     words = spark.createDataFrame([(w,) for w in ("a", "bb", "cc", "ddd")], "word string").withColumn("length", F.length("word"))
     grouped = words.groupBy("length").agg(F.collect_list("word").alias("ws"))
     assert sorted(r.w for r in grouped.select(F.explode("ws").alias("w")).collect()) == ["a", "bb", "cc", "ddd"]
+
+
+def test_streamed_files_equal_the_batch(spark, tmp_path):
+    from corpuskit.operators import clean
+    from corpuskit.streaming import sentences
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.txt").write_text("Ja. Det er en test! Kom nu her.\n\n<doc id=1>\n")
+    (src / "b.txt").write_text("Endnu en linje. Nej.\n")
+
+    def run():
+        stream = sentences.stream_sentences(spark, str(src), lang="da", max_files_per_trigger=1)
+        sentences.start_sentence_sink(stream, str(tmp_path / "out"), str(tmp_path / "check"), once=True).awaitTermination()
+        return sorted(r.sent for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    lines = spark.read.text(str(src)).withColumnRenamed("value", "text")
+    want = sorted(r.sent for r in clean.keep_sentences(clean.split_sentences(clean.clean_lines(lines))).collect())
+    assert run() == want and len(want) == 3
+    (src / "c.txt").write_text("Den tredje fil.\n")
+    assert run() == sorted([*want, "Den tredje fil."])
