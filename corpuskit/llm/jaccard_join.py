@@ -11,13 +11,13 @@ texts link when 100 * |intersection| >= 75 * |union|.
    order is; the frequent-last order keeps shared passages out of prefixes.
    Prefixes travel packed, by token, and only tokens of two or more classes stay.
 3. Similar classes are partitioned into groups: each goes to the class that
-   leads most of its prefix tokens, is checked against it, and the linked ones
-   form components, cut into groups of at most about ``GROUP`` classes.
+   leads most of its prefix tokens and is checked against it (linked ones form
+   components); such a family is cut into groups of about ``GROUP`` classes.
 4. The matrix of shared prefix tokens and groups gives, for each class, the
-   groups of other components that it could reach, with enough common prefix
-   tokens and fitting sizes.  For these the group's token union is built: a
+   groups with classes of other components that it could reach, with enough
+   common prefix tokens and fitting sizes.  For these the group's token union is built: a
    query is bounded by its overlap with the union, and only the groups that
-   qualify are opened and compared set by set, until a link is found.
+   qualify are opened and compared set by set, one link to a component.
    (A link inside a component changes nothing and is not looked for.)
 
 So near copies, however many, cost one comparison each with their leader and
@@ -206,8 +206,10 @@ def _shared_tokens(pdf: pd.DataFrame) -> pd.DataFrame:
 def _sets_of(batches):
     import pyarrow as pa
     for part, data, off in text_blocks(batches, "text"):
-        cells = [s.astype("<u8").tobytes() for s in token_sets(data, off)]
-        yield pa.RecordBatch.from_arrays([part.column("cls"), pa.array(cells, pa.binary())], names=["cls", "tokens"])
+        # rows of one id may have different texts: take those of the class
+        rows = [(k, s.astype("<u8").tobytes()) for k, s in zip(part.column("cls").to_pylist(), token_sets(data, off)) if set_id(s) == k]
+        yield pa.RecordBatch.from_pydict({"cls": pa.array([k for k, _ in rows], pa.int64()),
+                                          "tokens": pa.array([t for _, t in rows], pa.binary())})
 
 
 def _fetch(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -233,8 +235,9 @@ def _check_leader(pdf: pd.DataFrame) -> pd.DataFrame:
 LINKS = "a bigint, b bigint"
 
 
-def _leader_links(docs: DataFrame, classes: DataFrame, shared: DataFrame) -> DataFrame:
-    """Links of classes with the leader of most of their prefix tokens."""
+def _leader_links(docs: DataFrame, classes: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links of classes with the leader of most of their prefix tokens, and the
+    families: every class that has a leader, and the leaders, with theirs."""
     leaders = shared.groupBy("token").agg(F.min("cls").alias("leader"))
     pairs = (shared.join(leaders, "token").where("cls != leader")
                    .groupBy("cls", "n", "leader").agg(F.count(F.lit(1)).alias("c")))
@@ -246,22 +249,44 @@ def _leader_links(docs: DataFrame, classes: DataFrame, shared: DataFrame) -> Dat
     sets = _fetch(docs, classes, best.select("cls").unionByName(best.select(F.col("leader").alias("cls"))))
     heads = best.select("leader", "salt").distinct().withColumn("cls", F.col("leader"))
     rows = best.select("cls", "leader", "salt").unionByName(heads.select("cls", "leader", "salt")).join(sets.dropDuplicates(["cls"]), "cls")
-    return stored(rows.groupBy("leader", "salt").applyInPandas(lambda pdf: _check_leader(pdf), LINKS), "leader-links")
+    links = stored(rows.groupBy("leader", "salt").applyInPandas(lambda pdf: _check_leader(pdf), LINKS), "leader-links")
+    # a leader that follows another one takes its followers along, one step
+    up = best.select(F.col("cls").alias("leader"), F.col("leader").alias("far"))
+    families = best.select("cls", "leader").join(up, "leader", "left").select("cls", F.coalesce("far", "leader").alias("family"))
+    heads = families.select(F.col("family").alias("cls")).distinct().join(families, "cls", "left_anti")
+    return links, stored(families.unionByName(heads.select("cls", F.col("cls").alias("family"))), "families")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``cls, comp``: the least class reachable by links, for all linked classes;
-    smallest-neighbour rounds with pointer jumping, a stored table each."""
-    both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).withColumnRenamed("a", "cls"), "labels")
-    while True:
-        near = (both.join(labels.select(F.col("cls").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near")))
-        low = labels.join(near, labels["cls"] == near["a"]).select("cls", "comp", F.least("comp", "near").alias("low"))
-        jump = labels.select(F.col("cls").alias("at"), F.col("comp").alias("far"))
-        step = stored(low.join(jump, low["low"] == jump["at"]).select("cls", F.col("comp").alias("old"), F.least("low", "far").alias("comp")), "labels")
-        labels = step.select("cls", "comp")
-        if step.where("comp != old").isEmpty():
-            return labels
+    """``cls, comp``: the least class reachable by links, for all linked classes.
+    Every round each class takes its smallest neighbour's smallest neighbour, the
+    links are rewritten between the results, and those inside one go: what is
+    left shrinks from round to round (a stored table each)."""
+    ends = lambda e: e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    labels = ends(edges).select(F.col("a").alias("cls"), F.col("a").alias("comp")).distinct()
+    while not edges.isEmpty():
+        near = stored(ends(edges).groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")), "near")
+        jump = stored(near.join(near.select(F.col("a").alias("to"), F.col("to").alias("root")), "to").select("a", "root"), "jump")
+        left = jump.withColumnRenamed("root", "x")
+        right = jump.select(F.col("a").alias("b"), F.col("root").alias("y"))
+        edges = stored(edges.join(left, "a").join(right, "b").where("x != y")
+                            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        labels = stored(labels.join(jump.withColumnRenamed("a", "comp"), "comp", "left")
+                              .select("cls", F.coalesce("root", "comp").alias("comp")), "labels")
+    return labels
+
+
+def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """``comps`` after further links: only the components that these touch are
+    worked on again."""
+    at = comps.select(F.col("cls").alias("a"), F.col("comp").alias("x")), comps.select(F.col("cls").alias("b"), F.col("comp").alias("y"))
+    between = stored(links.join(at[0], "a", "left").join(at[1], "b", "left")
+                          .select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")), "links")
+    roots = components(between).select(F.col("cls").alias("comp"), F.col("comp").alias("root"))
+    moved = comps.join(roots, "comp", "left").select("cls", F.coalesce("root", "comp").alias("comp"))
+    new = roots.join(comps, roots["comp"] == comps["cls"], "left_anti").select(F.col("comp").alias("cls"), F.col("root").alias("comp"))
+    return stored(moved.unionByName(new), "components")
 
 
 # --- 4: the token-group matrix -----------------------------------------------------------
@@ -270,58 +295,64 @@ def _open_group(pdf: pd.DataFrame) -> pd.DataFrame:
     """Queries against one group: bound by the union, then open."""
     member = pdf["member"].to_numpy(bool)
     sets = [np.frombuffer(t, "<u8") for t in pdf["tokens"]]
-    cls = pdf["cls"].to_numpy()
-    inside = sorted(np.flatnonzero(member), key=lambda i: len(sets[i]))
-    union = np.unique(np.concatenate([sets[i] for i in inside])) if inside else np.zeros(0, np.uint64)
+    cls, comp = pdf["cls"].to_numpy(), pdf["comp"].to_numpy()
+    inside = np.flatnonzero(member)
+    union = np.unique(np.concatenate([sets[i] for i in inside])) if len(inside) else np.zeros(0, np.uint64)
     out = []
     for q in np.flatnonzero(~member):
         s = sets[q]
         if overlap(s, union) < needed(len(s)):
             continue
+        known = {comp[q]}  # components that need no more links
         for i in sorted(inside, key=lambda i: abs(len(sets[i]) - len(s))):
-            if linked(s, sets[i]):
+            if comp[i] not in known and linked(s, sets[i]):
                 out.append((cls[q], cls[i]))
-                break
+                known.add(comp[i])
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _group_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, comps: DataFrame) -> DataFrame:
-    """Links between classes of different components."""
-    size = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("comp_size"))
-    place = comps.join(size, "comp").withColumn(
-        "chunk", F.pmod(F.xxhash64("cls"), F.ceil(F.col("comp_size") / GROUP)))
+def _group_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, comps: DataFrame, families: DataFrame) -> DataFrame:
+    """Links between classes of different components.  Groups are chunks of a
+    family, whatever the components of its classes."""
+    size = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    place = (families.join(size, "family").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / GROUP)))
+                     .join(comps, "cls", "left").select("cls", "family", "size", "chunk", F.coalesce("comp", "cls").alias("comp")))
+    place = stored(place, "places")
+    alone = {"family": F.col("cls"), "size": F.lit(1), "chunk": F.lit(0), "comp": F.col("cls")}
     rows = (shared.join(place, "cls", "left")
-                  .select("token", "cls", "n", F.coalesce("comp", "cls").alias("comp"), F.coalesce("comp_size", F.lit(1)).alias("comp_size"),
-                          F.coalesce("chunk", F.lit(0)).alias("chunk")))
+                  .select("token", "cls", "n", *[F.coalesce(F.col(k), v).cast("bigint").alias(k) for k, v in alone.items()]))
     mixed = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
     rows = stored(rows.join(mixed, "token"), "mixed-tokens")
-    matrix = rows.groupBy("token", "comp", "comp_size", "chunk").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"))
-    g = matrix.select("token", F.col("comp").alias("g"), F.col("comp_size").alias("g_size"), F.col("chunk").alias("g_chunk"), "n_min", "n_max")
-    pairs = (rows.join(g, "token")
-                 # one direction: the query is of the smaller component
-                 .where("comp != g AND (comp_size < g_size OR comp_size = g_size AND comp < g)")
+    matrix = rows.groupBy("token", "size", "family", "chunk").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"),
+                                                                  F.min("comp").alias("low"), F.max("comp").alias("high"))
+    g = matrix.select("token", F.struct("size", "family", "chunk").alias("g"), "n_min", "n_max", "low", "high")
+    pairs = (rows.withColumn("own", F.struct("size", "family", "chunk")).join(g, "token")
+                 # one direction between two groups: the query is of the smaller family
+                 .where("own <= g AND NOT (low = comp AND high = comp)")
                  .where("100 * n >= 75 * n_min AND 100 * n_max >= 75 * n")
-                 .groupBy("cls", "n", "g", "g_chunk")
+                 .groupBy("cls", "n", "comp", "g")
                  .agg(F.count(F.lit(1)).alias("c"), F.min("n_min").alias("n_min"), F.max("n_max").alias("n_max")))
     # common prefix tokens that a member of size y needs: the overlap of linked
     # sets less what can lie behind the prefixes; least at an end of the range
     least = "({y} + n) * 3 / 7 - 0.75 * greatest({y}, n) - 1"
     low, high = least.format(y="greatest(n_min, 0.75 * n)"), least.format(y="least(n_max, n / 0.75)")
-    pairs = stored(pairs.where(f"c >= least({low}, {high})").select("cls", "g", "g_chunk"), "query-groups")
+    pairs = stored(pairs.where(f"c >= least({low}, {high})")
+                        .select("cls", "comp", F.col("g.family").alias("family"), F.col("g.chunk").alias("chunk")), "query-groups")
     if pairs.isEmpty():
         return docs.sparkSession.createDataFrame([], LINKS)
-    salts = pairs.groupBy("g", "g_chunk").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("salts"))
-    queries = (pairs.join(salts, ["g", "g_chunk"]).withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")))
-                    .select("cls", "g", "g_chunk", "salt", F.lit(False).alias("member")))
-    # members of a group: its component's classes in that chunk, or the class alone
-    alone = pairs.join(comps, pairs["g"] == comps["comp"], "left_anti").select(F.col("g").alias("cls"), F.col("g").alias("comp"), F.lit(0).alias("chunk"))
-    inside = place.select("cls", "comp", "chunk").unionByName(alone.distinct())
-    members = (inside.join(salts, (inside["comp"] == salts["g"]) & (inside["chunk"] == salts["g_chunk"]))
+    salts = pairs.groupBy("family", "chunk").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("salts"))
+    queries = (pairs.join(salts, ["family", "chunk"]).withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")))
+                    .select("cls", "comp", "family", "chunk", "salt", F.lit(False).alias("member")))
+    # a class without a family is a group of its own
+    single = (pairs.select("family").distinct().join(families.select("family").distinct(), "family", "left_anti")
+                   .select(F.col("family").alias("cls"), "family", F.lit(0).cast("bigint").alias("chunk"), F.col("family").alias("comp")))
+    inside = place.select("cls", "family", F.col("chunk").cast("bigint").alias("chunk"), "comp").unionByName(single)
+    members = (inside.join(salts, ["family", "chunk"])
                      .withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)")))
-                     .select("cls", "g", "g_chunk", F.col("salt").cast("bigint").alias("salt"), F.lit(True).alias("member")))
+                     .select("cls", "comp", "family", "chunk", F.col("salt").cast("bigint").alias("salt"), F.lit(True).alias("member")))
     meet = stored(queries.unionByName(members), "group-meetings")
     sets = _fetch(docs, classes, meet.select("cls"))
-    return (meet.join(sets.dropDuplicates(["cls"]), "cls").groupBy("g", "g_chunk", "salt")
+    return (meet.join(sets.dropDuplicates(["cls"]), "cls").groupBy("family", "chunk", "salt")
                 .applyInPandas(lambda pdf: _open_group(pdf), LINKS))
 
 
@@ -340,9 +371,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     parts = int(min(max(16, -(-total // PART_TOKENS)), 1 << 16))
     packed = id_text(docs).select("text").mapInArrow(_prefixes(shared_counts, parts), "part int, token binary, cls binary, n binary")
     shared = stored(packed.groupBy("part").applyInPandas(lambda pdf: _shared_tokens(pdf), SHARED), "shared-tokens")
-    first = _leader_links(docs, classes, shared)
-    second = _group_links(docs, classes, shared, components(first))
-    comps = components(stored(first.unionByName(second), "links"))
+    first, families = _leader_links(docs, classes, shared)
+    comps = components(first)
+    comps = merged(comps, stored(_group_links(docs, classes, shared, comps, families), "group-links"))
     # smallest id of each component, and of each class outside of them
     home = classes.join(comps, "cls", "left").select("cls", "first_id", F.coalesce("comp", "cls").alias("comp"))
     least = home.groupBy("comp").agg(F.min("first_id").alias("component_id"))
