@@ -90,14 +90,16 @@ class Linear:
         n, p1, seen_in = len(y), y.sum(), pos + neg
         spread = np.maximum(seen_in * (n - seen_in) * p1 * (n - p1), 1e-9)
         odds[n * (pos * (n - p1 - neg) - neg * (p1 - pos)) ** 2 / spread < LEAST_CHI2] = 0
-        seen, local = np.unique(at, return_inverse=True)
+        # only words that count take part in the rounds
+        told = odds[at] != 0
+        text, (seen, local) = text[told], np.unique(at[told], return_inverse=True)
         scale = odds[seen]
         # start at half the log-odds: words that are alike share the evidence
         params = [np.full(len(seen), 0.5), np.zeros(extra.shape[1]), np.array([self.bias])]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         value = scale[local]
         for t in range(1, ITERATIONS + 1):
-            z = _sums(params[0][local] * value, first) + extra @ params[1] + params[2]
+            z = np.bincount(text, params[0][local] * value, n) + extra @ params[1] + params[2]
             d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / len(y)
             grads = [np.bincount(local, d[text] * value, len(seen)) + 1e-4 * (params[0] - 0.5), extra.T @ d + 1e-4 * params[1], d.sum(keepdims=True)]
             for p, g, mm, vv in zip(params, grads, m, v):
