@@ -42,6 +42,17 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def text_digest(col: str = "text") -> Column:
+    """64-bit digest of a text (null: of the empty text); with the id it names a row,
+    as rows may share an id or have none."""
+    return F.xxhash64(F.coalesce(F.col(col), F.lit("")))
+
+
+def keyed_text(docs: DataFrame) -> DataFrame:
+    """As ``id_text``, with the text's ``digest``."""
+    return id_text(docs).withColumn("digest", text_digest())
+
+
 def id_crc(col: str = "doc_id") -> Column:
     """crc32 of the id as text (null: of the empty text)."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))

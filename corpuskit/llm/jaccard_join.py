@@ -24,8 +24,9 @@ So near copies, however many, cost one comparison each with their leader and
 their tokens lead to no pairs among themselves.  Nothing is capped: groups and
 queries of a group are only split.  Tokens and classes are told apart by
 64-bit hashes.  Null text counts as empty; empty texts link with nothing, also
-not with each other.  Repeated rows share a class.  An empty table gives an
-empty result.
+not with each other.  Repeated rows share a class.  A row is known by its id
+and a digest of its text, so rows may share an id or have none.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, id_text, mix, prepare, stored, text_blocks
+from .common import hash_words, id_text, keyed_text, mix, prepare, stored, text_blocks, text_digest
 
 WORDS = 5
 #: Classes in a group and queries that meet it in one task, on average.
@@ -104,7 +105,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 # --- 1, 2: classes, frequent tokens, prefixes -------------------------------------
 
-SEEN = "kind int, doc_id bigint, n int, number bigint"
+SEEN = "kind int, doc_id bigint, digest bigint, n int, number bigint"
 
 
 def _classes(batches):
@@ -116,10 +117,11 @@ def _classes(batches):
             return None
         tokens, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
         many = counts >= LOCAL_COUNT
-        return rows(1, pa.nulls(int(many.sum()), pa.int64()), counts[many], tokens[many].view(np.int64))
+        none = pa.nulls(int(many.sum()), pa.int64())
+        return rows(1, none, none, counts[many], tokens[many].view(np.int64))
 
-    def rows(kind, ids, n, number):
-        return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(n), pa.int32()), "doc_id": ids,
+    def rows(kind, ids, digests, n, number):
+        return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(n), pa.int32()), "doc_id": ids, "digest": digests,
                                            "n": pa.array(n, pa.int32()), "number": pa.array(number, pa.int64())})
     sets, texts = {}, 0
     for part, data, off in text_blocks(batches, "text"):
@@ -130,7 +132,7 @@ def _classes(batches):
             ids.append(k)
             if len(s):
                 sets[k] = s
-        yield rows(0, part.column("doc_id"), n, ids)
+        yield rows(0, part.column("doc_id"), part.column("digest"), n, ids)
         texts += len(n)
         if texts >= BATCH_TEXTS:
             if (got := frequent(sets)) is not None:
@@ -206,7 +208,7 @@ def _shared_tokens(pdf: pd.DataFrame) -> pd.DataFrame:
 def _sets_of(batches):
     import pyarrow as pa
     for part, data, off in text_blocks(batches, "text"):
-        # rows of one id may have different texts: take those of the class
+        # two texts of one id with one digest: take that of the class
         rows = [(k, s.astype("<u8").tobytes()) for k, s in zip(part.column("cls").to_pylist(), token_sets(data, off)) if set_id(s) == k]
         yield pa.RecordBatch.from_pydict({"cls": pa.array([k for k, _ in rows], pa.int64()),
                                           "tokens": pa.array([t for _, t in rows], pa.binary())})
@@ -214,9 +216,10 @@ def _sets_of(batches):
 
 def _fetch(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
     """``cls, tokens`` of the wanted classes, from one text of each, stored."""
-    chosen = classes.join(wanted.distinct(), "cls", "left_semi").select("cls", F.col("first_id").alias("chosen_id"))
-    # one text per class, ids spread evenly; the narrow side is held in memory
-    texts = id_text(docs).join(chosen.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("chosen_id"))).select("cls", "text")
+    chosen = classes.join(wanted.distinct(), "cls", "left_semi").select("cls", F.col("first.doc_id").alias("chosen_id"), F.col("first.digest").alias("chosen_digest"))
+    # one text per class, rows spread evenly; the narrow side is held in memory
+    own = F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("digest") == F.col("chosen_digest"))
+    texts = keyed_text(docs).join(chosen.hint("shuffle_hash"), own).select("cls", "text")
     got = texts.mapInArrow(_sets_of, "cls bigint, tokens binary")
     return stored(got, "token-sets")
 
@@ -356,12 +359,15 @@ def _group_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, comps:
                 .applyInPandas(lambda pdf: _open_group(pdf), LINKS))
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
+def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, digest, n, cls`` of every row, and ``cls, comp, first`` of every
+    class with shingles.  ``first`` is the class's row with the smallest id (none
+    only if all have none), of equal ids the one with the smallest digest."""
     spark = prepare(docs.sparkSession)
-    seen = stored(id_text(docs).mapInArrow(_classes, SEEN), "text-classes")
-    texts = seen.where("kind = 0").select("doc_id", "n", F.col("number").alias("cls"))
-    classes = texts.where("n > 0").groupBy("cls", "n").agg(F.min("doc_id").alias("first_id"))
+    seen = stored(keyed_text(docs).mapInArrow(_classes, SEEN), "text-classes")
+    texts = seen.where("kind = 0").select("doc_id", "digest", "n", F.col("number").alias("cls"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")
+    classes = texts.where("n > 0").groupBy("cls", "n").agg(F.min(row).alias("first"))
     frequent = (seen.where("kind = 1").groupBy("number").agg(F.sum("n").alias("c"))
                     .orderBy(F.desc("c"), "number").limit(FREQUENT).toPandas())  # bounded by FREQUENT
     known = frequent["number"].to_numpy(np.int64).view(np.uint64)
@@ -374,8 +380,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     first, families = _leader_links(docs, classes, shared)
     comps = components(first)
     comps = merged(comps, stored(_group_links(docs, classes, shared, comps, families), "group-links"))
+    return texts, classes.join(comps, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "first")
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``docs``."""
+    texts, home = _components_of(docs)
     # smallest id of each component, and of each class outside of them
-    home = classes.join(comps, "cls", "left").select("cls", "first_id", F.coalesce("comp", "cls").alias("comp"))
+    home = home.select("cls", "comp", F.col("first.doc_id").alias("first_id"))
     least = home.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     home = home.join(least, "comp").select("cls", "component_id")
     return (texts.join(home, "cls", "left")
@@ -384,12 +396,22 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest id of each group of linked texts, all columns kept."""
-    groups = stored(similar_groups(docs), "similar-groups")
-    dropped = groups.where("doc_id != component_id").select(F.col("doc_id").alias("near_id")).distinct()
-    out = docs.join(dropped.hint("shuffle_hash"), docs["doc_id"] == F.col("near_id"), "left_anti")
-    ids = groups.select(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("d")).first()
-    return out.dropDuplicates(["doc_id"]) if ids["n"] > ids["d"] else out
+    """``docs`` with one row of each group of linked texts, all columns kept: the
+    one with the smallest id (a null id counts as larger than any other), of equal
+    ids the one with the smallest digest.  Rows are told apart by id and digest,
+    so other texts under the same id or under none are judged on their own.
+    A text without shingles links with nothing and stays."""
+    texts, home = _components_of(docs)
+    chosen = home.groupBy("comp").agg(F.min("first").alias("first")).select("first.doc_id", "first.digest")
+    empty = texts.where("n = 0").select("doc_id", "digest").distinct()
+    kept = stored(chosen.unionByName(empty).select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")), "kept-rows")
+    own = F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest"))
+    out = docs.withColumn("_digest", text_digest()).join(kept.hint("shuffle_hash"), own, "left_semi")
+    if not texts.where("n > 0").groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        # repeated rows of one id and text
+        full = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        out = out.where(~full).unionByName(out.where(full).dropDuplicates(["doc_id", "_digest"]))
+    return out.drop("_digest")
 
 
 ORACLE_SQL = None

@@ -95,5 +95,33 @@ def test_one_per_group(spark, table, corpus):
     assert sorted(r.doc_id for r in out.collect()) == sorted(want) and out.columns == table([]).columns
 
 
+def test_one_per_group_tells_rows_of_one_id_apart(spark, table, odd_rows):
+    """One row of each component of texts, whatever ids the rows have."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    rows = odd_rows + [(105, a), (108, a + " end"), (103, b), (105, b + " end"),  # 105 is not the least of b's group
+                       (None, c), (None, c + " end"), (None, d), (None, "other text that stands alone here"),
+                       (120, "one text of an id told twice"), (120, "and quite another text of it"), (120, "and quite another text of it")]
+    got = sorted(((r.doc_id, r.text) for r in jaccard_join.one_per_group(table(rows).repartition(3)).collect()), key=str)
+    # by row number, no two rows share an id: the components as rows
+    numbers = list(brute([(k, t) for k, (_, t) in enumerate(rows)]).elements())
+    groups = {}
+    for k, n, comp in numbers:
+        groups.setdefault(comp if n else ("empty", k), []).append(rows[k])
+    want = {key: min(g, key=lambda r: (r[0] is None, r[0] or 0))[0] for key, g in groups.items()}
+    assert len(got) == len(groups)
+    left = list(got)
+    for key, g in groups.items():  # each group has one row left, of its smallest id
+        mine = [r for r in left if r in g]
+        assert len(mine) >= 1 and mine[0][0] == want[key]
+        left.remove(mine[0])
+    assert not left and {(105, a), (103, b), (None, d)} <= set(got)
+
+
+def test_one_per_group_without_repeated_ids_but_nulls(spark, table):
+    a = " ".join(f"a{i}" for i in range(60))
+    got = jaccard_join.one_per_group(table([(None, a), (None, a + " end"), (4, "other text that stands alone here")])).collect()
+    assert len(got) == 2 and {r.doc_id for r in got} == {None, 4}
+
+
 def test_empty_table(spark, table):
     assert jaccard_join.similar_groups(table([])).count() == 0
