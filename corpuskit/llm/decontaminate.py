@@ -13,8 +13,9 @@ then verified on the shingles themselves.
 
 The items' tables are broadcast up to a checked number of rows and
 shuffle-joined beyond it.  Empty and null texts hold no shingle and match
-nothing.  Rows with one id count as one document.  Empty tables give an empty
-result.
+nothing.  Rows with one id (also a null one) count as one document in the
+operator's table; the pipeline's stage judges each row by its own text.  Empty
+tables give an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stored
+from .common import keyed_text, prepare, stored, text_digest
 
 WORDS = 5
 PERCENT = 75
@@ -67,42 +68,61 @@ def sketches(items: DataFrame) -> DataFrame:
                         F.explode(F.slice(F.sort_array("h"), F.lit(1), k)).alias("hash"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, item_id, n_shingles, n_shared, containment`` of every match."""
-    prepare(docs.sparkSession)
+def _same(keys: list[str], others: list[str]) -> Column:
+    """Equal keys on both sides of a join, null equal to null."""
+    out = F.lit(True)
+    for a, b in zip(keys, others):
+        out = out & F.col(a).eqNullSafe(F.col(b))
+    return out
+
+
+def _matches(texts: DataFrame, keys: list[str], benchmark: DataFrame) -> DataFrame:
+    """``*keys, item_id, n_shingles, n_shared`` of every match; rows of ``texts``
+    with the same keys count as one document."""
     items = benchmark.select("item_id", words(F.col("text")).alias("w"))
-    texts = docs.select("doc_id", F.col("text").alias("text"))
     sketch = _maybe_broadcast(stored(sketches(items), "sketches"))
     # explode_outer: for a plain explode the optimizer adds a filter on the
     # array's size and pushes it below the projections, where the words would
     # be split again for every shingle.  The joins drop the null of an empty array.
     # search: every shingle hash of every document against the sketches
-    hashed = (texts.select("doc_id", words(F.col("text")).alias("w"))
-                   .select("doc_id", shingle_hashes("w").alias("h"))
-                   .select("doc_id", F.size("h").alias("m"), F.explode_outer("h").alias("hash")))
+    hashed = (texts.select(*keys, words(F.col("text")).alias("w"))
+                   .select(*keys, shingle_hashes("w").alias("h"))
+                   .select(*keys, F.size("h").alias("m"), F.explode_outer("h").alias("hash")))
     pairs = (hashed.join(sketch, "hash").where("m >= smallest")
-                   .select("doc_id", "item_id").distinct())
+                   .select(*keys, "item_id").distinct())
     pairs = stored(pairs, "candidates")
     # verify: the candidates' texts only
-    ids = _maybe_broadcast(pairs.select(F.col("doc_id").alias("cand_id")).distinct())
-    found = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("cand_id")), "left_semi")
-    held = (found.select("doc_id", words(F.col("text")).alias("w"))
-                 .select("doc_id", F.explode_outer(shingle_texts("w")).alias("shingle")))
+    cand = [f"cand_{k}" for k in keys]
+    renamed = [F.col(k).alias(c) for k, c in zip(keys, cand)]
+    ids = _maybe_broadcast(pairs.select(*renamed).distinct())
+    found = texts.join(ids, _same(keys, cand), "left_semi")
+    held = (found.select(*keys, words(F.col("text")).alias("w"))
+                 .select(*keys, F.explode_outer(shingle_texts("w")).alias("shingle")))
     wanted = items.select("item_id", shingle_texts("w").alias("s")).withColumn("n_shingles", F.size("s"))
     wanted = wanted.select("item_id", "n_shingles", F.explode_outer("s").alias("shingle"))
     shared = (held.join(_maybe_broadcast(wanted), "shingle").distinct()
-                  .groupBy("doc_id", "item_id", "n_shingles").agg(F.count(F.lit(1)).alias("n_shared")))
-    both = pairs.select(F.col("doc_id").alias("cand_id"), F.col("item_id").alias("cand_item"))
+                  .groupBy(*keys, "item_id", "n_shingles").agg(F.count(F.lit(1)).alias("n_shared")))
+    both = pairs.select(*renamed, F.col("item_id").alias("cand_item"))
     return (shared.where(F.col("n_shared") * 100 >= F.col("n_shingles") * PERCENT)
-                  .join(both, F.col("doc_id").eqNullSafe(F.col("cand_id")) & F.col("item_id").eqNullSafe(F.col("cand_item")), "left_semi")
-                  .select("doc_id", "item_id", F.col("n_shingles").cast("bigint").alias("n_shingles"), "n_shared",
-                          (F.col("n_shared") / F.col("n_shingles")).alias("containment")))
+                  .join(both, _same([*keys, "item_id"], [*cand, "cand_item"]), "left_semi"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id, item_id, n_shingles, n_shared, containment`` of every match."""
+    prepare(docs.sparkSession)
+    return (_matches(docs.select("doc_id", "text"), ["doc_id"], benchmark)
+            .select("doc_id", "item_id", F.col("n_shingles").cast("bigint").alias("n_shingles"), "n_shared",
+                    (F.col("n_shared") / F.col("n_shingles")).alias("containment")))
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold an item."""
-    ids = contaminated(docs, benchmark).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """``docs`` without the rows whose text holds an item.  Each row is judged by
+    its own text, known by id and digest, whatever other rows have its id or none."""
+    prepare(docs.sparkSession)
+    bad = (_matches(keyed_text(docs), ["doc_id", "digest"], benchmark)
+           .select(F.col("doc_id").alias("_bad_id"), F.col("digest").alias("_bad_digest")).distinct())
+    return (docs.withColumn("_digest", text_digest())
+                .join(bad.hint("shuffle_hash"), _same(["doc_id", "_digest"], ["_bad_id", "_bad_digest"]), "left_anti").drop("_digest"))
 
 
 ORACLE_SQL = r"""

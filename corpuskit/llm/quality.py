@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_shapes, hash_words, id_crc, id_text, prepare, stored, text_blocks
+from .common import hash_shapes, hash_words, id_crc, id_text, keyed_text, prepare, stored, text_blocks, text_digest
 
 UNITS = 1 << 13
 DIMS = 64
@@ -205,27 +205,35 @@ def _score(shared):
         import pyarrow as pa
         table, net = shared.value
         for rows, data, off in text_blocks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(net.score(pooled(data, off, table)), pa.float64())],
-                                             names=["doc_id", "score"])
+            keys = [k for k in rows.schema.names if k != "text"]
+            yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keys), pa.array(net.score(pooled(data, off, table)), pa.float64())],
+                                             names=[*keys, "score"])
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row of ``docs``.  Labels
-    are learnt only where crc32(id as text) mod 5 is not 0."""
+def _scorer(docs: DataFrame, labels: DataFrame):
+    """Table and network of ``docs``, broadcast.  Labels are learnt only where
+    crc32(id as text) mod 5 is not 0."""
     spark = prepare(docs.sparkSession)
     table = context_vectors(docs)
     learn = labels.where(id_crc() % 5 != 0).select("doc_id", F.col("quality").alias("label"))
-    net = fit(docs, learn, table)
-    shared = spark.sparkContext.broadcast((table, net))
-    scored = id_text(docs).mapInArrow(_score(shared), "doc_id bigint, score double")
+    return spark.sparkContext.broadcast((table, fit(docs, learn, table)))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every row of ``docs``.  Labels
+    are learnt only where crc32(id as text) mod 5 is not 0."""
+    scored = id_text(docs).mapInArrow(_score(_scorer(docs, labels)), "doc_id bigint, score double")
     return scored.select("doc_id", (id_crc() % 5 == 0).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``docs`` whose quality score reaches the threshold, all columns kept."""
-    scores = stored(quality_scores(docs, labels, threshold), "quality")
-    # repeated rows of one id may differ in text; each id follows its best row
-    rejected = scores.groupBy("doc_id").agg(F.max("predicted").alias("p")).where("p = 0").select(F.col("doc_id").alias("bad_id"))
-    return docs.join(rejected.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """``docs`` whose quality score reaches the threshold, all columns kept.  Each
+    row is judged by its own text, known by id and digest."""
+    scored = keyed_text(docs).mapInArrow(_score(_scorer(docs, labels)), "doc_id bigint, digest bigint, score double")
+    # copies of one row stay or go together, though their last bits may differ by batch
+    rejected = (stored(scored, "quality").groupBy("doc_id", "digest").agg(F.max("score").alias("best")).where(F.col("best") < threshold)
+                .select(F.col("doc_id").alias("_bad_id"), F.col("digest").alias("_bad_digest")))
+    own = F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.col("_digest") == F.col("_bad_digest"))
+    return docs.withColumn("_digest", text_digest()).join(rejected.hint("shuffle_hash"), own, "left_anti").drop("_digest")

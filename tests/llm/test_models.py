@@ -62,6 +62,19 @@ def test_quality_odd_rows_and_no_labels(spark, table, odd_rows):
     assert quality.quality_scores(table([]), labels).count() == 0
 
 
+def test_good_documents_judges_each_row_by_its_own_text(spark, table):
+    rng = np.random.default_rng(3)
+    good = lambda: " ".join(rng.choice(["the", "river", "flows", "past", "green", "hills"], 30))
+    bad = lambda: " ".join(rng.choice(["$$$", "!!!", "click99", "###", "@@x", "%%7"], 30))
+    rows = [(i, good() if i % 2 else bad()) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, quality int")
+    keep = [(None, good()), (None, good()), (1000, good())]
+    drop = [(None, bad()), (None, bad()), (1000, bad())]
+    out = quality.good_documents(table(rows + keep + drop), labels)
+    got = {(r.doc_id, r.text) for r in out.where("doc_id is null or doc_id = 1000").collect()}
+    assert got == set(keep) and out.columns == table([]).columns
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet("/root/testdata/sf0.1/" + t + ".parquet") for t in ("documents", "labels"))
     got = toxicity.toxicity_scores(docs, labels).collect()

@@ -113,6 +113,23 @@ def test_contamination_matches_brute_force(spark, table, odd_rows, bench):
     assert clean == {d for d, _ in rows} - {d for d, _ in want}
 
 
+def test_stage_judges_each_row_by_its_own_text(spark, table, odd_rows, bench):
+    """Rows without an id, or of one id, neither fall with another row nor add up to a match."""
+    w = ITEM.split()
+    rows = odd_rows + [(None, "y " + ITEM), (None, " ".join(w[:12]) + " p"), (None, "q " + " ".join(w[7:])), (None, "clean without an id"), (None, None),
+                       (30, ITEM + " z"), (30, "a clean text under the same id"), (30, " ".join(w[:12])), (31, " ".join(w[:12])), (31, " ".join(w[7:]))]
+    items = [s for r in bench.collect() if (s := shingles_lower(r.text))]
+    want = [(d, t) for d, t in rows if not any(100 * len(i & shingles_lower(t)) >= 75 * len(i) for i in items)]
+    assert len(want) == len(rows) - 2
+    old = decontaminate.BROADCAST_ROWS
+    try:
+        for decontaminate.BROADCAST_ROWS in (old, -1):
+            out = decontaminate.without_benchmark(table(rows), bench)
+            assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(want) and out.columns == table([]).columns
+    finally:
+        decontaminate.BROADCAST_ROWS = old
+
+
 def test_native_plans_have_no_python(spark, table, odd_rows, bench):
     for df in (sharding.shard_documents(table(odd_rows), [1.0] * 3), stream_dedup.dedup_table(table(odd_rows)),
                decontaminate.contaminated(table(odd_rows), bench)):
