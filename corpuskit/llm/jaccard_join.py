@@ -9,7 +9,8 @@ texts link when 100 * |intersection| >= 75 * |union|.
    texts, counted over all of them), then by hash.  Two linked sets share one
    of the first n - ceil(0.75 n) + 1 tokens of each (the prefix), whatever the
    order is; the frequent-last order keeps shared passages out of prefixes.
-   Prefixes travel packed, by token, and only tokens of two or more classes stay.
+   Prefixes travel packed, by token, and only tokens of two or more classes stay;
+   a known frequent token has several, so its classes are spread over all tasks.
 3. Similar classes are partitioned into groups: each goes to the class that
    leads most of its prefix tokens and is checked against it (linked ones form
    components); such a family is cut into groups of about ``GROUP`` classes.
@@ -142,6 +143,15 @@ def _classes(batches):
         yield got
 
 
+def _known(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which tokens are among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(tokens), bool)
+    at = np.searchsorted(known, tokens)
+    at[at == len(known)] = 0
+    return known[at] == tokens
+
+
 def _ordered(tokens: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Tokens, rare ones first; equal counts by hash."""
     if not len(known) or not len(tokens):
@@ -165,12 +175,15 @@ def _prefixes(shared, parts: int):
             size = [len(t) for t in tokens]
             token, cls = np.concatenate(tokens), np.repeat(np.array(ids, np.int64), size)
             n = np.repeat(np.array(sizes, np.int32), size)
-            part = (mix(token) % np.uint64(parts)).astype(np.int32)
+            # a known token was in LOCAL_COUNT classes of one batch: its classes
+            # need not meet to be counted
+            hot = _known(token, known)
+            part = (mix(np.where(hot, token ^ mix(cls.view(np.uint64)), token)) % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(parts + 1))
             used = np.flatnonzero(np.diff(cut))
             cell = lambda x: pa.array([x[order[cut[p]:cut[p + 1]]].tobytes() for p in used], pa.binary())
-            return pa.RecordBatch.from_pydict({"part": pa.array(used, pa.int32()), "token": cell(token), "cls": cell(cls), "n": cell(n)})
+            return pa.RecordBatch.from_pydict({"part": pa.array(used, pa.int32()), "token": cell(token), "cls": cell(cls), "n": cell(n), "hot": cell(hot)})
         pending, held = {}, 0
         for _, data, off in text_blocks(batches, "text"):
             for s in token_sets(data, off):
@@ -185,21 +198,24 @@ def _prefixes(shared, parts: int):
     return run
 
 
+PACKED = "part int, token binary, cls binary, n binary, hot binary"
 SHARED = "token bigint, cls bigint, n int"
 
 
 def _shared_tokens(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Distinct (token, class) of a part, tokens of one class left out."""
+    """Distinct (token, class) of a part, tokens of one class left out (a known
+    token has other classes in other parts)."""
     token = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["token"]])
     cls = np.concatenate([np.frombuffer(x, "<i8") for x in pdf["cls"]])
     n = np.concatenate([np.frombuffer(x, "<i4") for x in pdf["n"]])
+    hot = np.concatenate([np.frombuffer(x, bool) for x in pdf["hot"]])
     order = np.lexsort((cls, token))
-    token, cls, n = token[order], cls[order], n[order]
+    token, cls, n, hot = token[order], cls[order], n[order], hot[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
-    token, cls, n = token[new], cls[new], n[new]
+    token, cls, n, hot = token[new], cls[new], n[new], hot[new]
     _, at, count = np.unique(token, return_inverse=True, return_counts=True)
-    many = count[at] > 1
+    many = hot | (count[at] > 1)
     return pd.DataFrame({"token": token[many], "cls": cls[many], "n": n[many]})
 
 
@@ -375,7 +391,7 @@ def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared_counts = spark.sparkContext.broadcast((known[order], frequent["c"].to_numpy(np.int64)[order]))
     total = classes.select(F.sum(F.col("n") - F.ceil(F.col("n") * 0.75) + 1)).first()[0] or 0
     parts = int(min(max(16, -(-total // PART_TOKENS)), 1 << 16))
-    packed = id_text(docs).select("text").mapInArrow(_prefixes(shared_counts, parts), "part int, token binary, cls binary, n binary")
+    packed = id_text(docs).select("text").mapInArrow(_prefixes(shared_counts, parts), PACKED)
     shared = stored(packed.groupBy("part").applyInPandas(lambda pdf: _shared_tokens(pdf), SHARED), "shared-tokens")
     first, families = _leader_links(docs, classes, shared)
     comps = components(first)

@@ -123,5 +123,30 @@ def test_one_per_group_without_repeated_ids_but_nulls(spark, table):
     assert len(got) == 2 and {r.doc_id for r in got} == {None, 4}
 
 
+def test_classes_of_a_frequent_token_are_spread():
+    """No task gets all classes of a token of many near copies, and none is lost."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+    base = " ".join(f"w{i}" for i in range(40))
+    texts = [f"{base} own{k}" for k in range(400)] + ["a text with words of its own alone"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(401)), "digest": pa.array(range(401)), "text": texts})
+    seen = pa.Table.from_batches(list(jaccard_join._classes([batch]))).to_pandas()
+    known = np.sort(seen.loc[seen["kind"] == 1, "number"].to_numpy(np.int64).view(np.uint64))
+    run = lambda known: pa.Table.from_batches(list(jaccard_join._prefixes(
+        SimpleNamespace(value=(known, np.full(len(known), 400))), 16)([batch, batch]))).to_pandas()
+    parts = {p: jaccard_join._shared_tokens(pdf) for p, pdf in run(known).groupby("part")}
+    sizes = [pdf.groupby("token").size().max() for pdf in parts.values() if len(pdf)]
+    assert len(sizes) == 16 and max(sizes) < 100
+    rows = lambda parts: sorted(map(tuple, pd.concat(parts).to_numpy().tolist()))
+    got = rows(parts.values())
+    assert len(got) == len(set(got)) and {t for t, _, _ in got} <= set(known.view(np.int64).tolist())
+    # the same rows as by counting the classes of each token in one place
+    order = run(known).groupby(lambda _: 0)
+    assert got == rows([jaccard_join._shared_tokens(pdf.assign(hot=[bytes(len(x)) for x in pdf["hot"]])) for _, pdf in order])
+
+
 def test_empty_table(spark, table):
     assert jaccard_join.similar_groups(table([])).count() == 0
