@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sharding, stream_dedup
-from .common import documents, shared_path
+from . import decontaminate, sharding, stream_dedup, url_filter
+from .common import documents, prepare, shared_path
 
 SHARDS = 24
 
@@ -81,7 +81,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), end_id=0, room=2048)
 
 
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of the filter list on all pages."""
+    from .url_filter import judge_pages
+    prepare(spark)
+    return judge_pages(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity_chain, op3_jaccard_groups, op4_exact_dedup, op5_quality_network, op6_rendezvous_shards, op7_token_counts,
-                                   op8_hmm_scores, op9_contaminated_documents, op10_best_fit_packing)}
+                                   op8_hmm_scores, op9_contaminated_documents, op10_best_fit_packing, op12_url_filter)}
 ORACLE: dict[str, str] = {"op4_exact_dedup": stream_dedup.ORACLE_SQL, "op6_rendezvous_shards": sharding.oracle_sql(SHARDS),
-                          "op9_contaminated_documents": decontaminate.ORACLE_SQL}
+                          "op9_contaminated_documents": decontaminate.ORACLE_SQL, "op12_url_filter": url_filter.ORACLE_SQL}
