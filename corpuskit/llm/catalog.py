@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sharding, stream_dedup, url_filter
+from . import decontaminate, phrases, sharding, stream_dedup, url_filter
 from .common import documents, prepare, shared_path
 
 SHARDS = 24
@@ -88,7 +88,13 @@ def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(spark, spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two or three words of each language."""
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity_chain, op3_jaccard_groups, op4_exact_dedup, op5_quality_network, op6_rendezvous_shards, op7_token_counts,
-                                   op8_hmm_scores, op9_contaminated_documents, op10_best_fit_packing, op12_url_filter)}
+                                   op8_hmm_scores, op9_contaminated_documents, op10_best_fit_packing, op12_url_filter, op13_phrases)}
 ORACLE: dict[str, str] = {"op4_exact_dedup": stream_dedup.ORACLE_SQL, "op6_rendezvous_shards": sharding.oracle_sql(SHARDS),
-                          "op9_contaminated_documents": decontaminate.ORACLE_SQL, "op12_url_filter": url_filter.ORACLE_SQL}
+                          "op9_contaminated_documents": decontaminate.ORACLE_SQL, "op12_url_filter": url_filter.ORACLE_SQL,
+                          "op13_phrases": phrases.ORACLE_SQL}
