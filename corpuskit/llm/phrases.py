@@ -13,12 +13,12 @@ into words ``[^\\x20\\x09]+``.  All counts are per language (null: ``und``).
    phrases that a longer candidate explains go; ranks are per language.
 
 Most windows are unique, and no phrase of theirs can be a candidate.  So a first
-pass adds up the counts of word pairs in 2^``SKETCH_BITS`` hashed slots.  A pair in a
-slot below ``least`` is certainly rarer than ``least``, and so is every phrase with
-it: the second pass pads its windows before such a pair.  This leaves all counts
-of words and of phrases that reach ``least`` unchanged.  Slots are shared by
-chance only upwards, so a full sketch (many more pairs than slots) pads less
-and costs shuffle, never a phrase.
+pass adds up the counts of phrases in 2^``SKETCH_BITS`` hashed slots.  A phrase in a
+slot below ``least`` is certainly rarer than ``least``, and so is every longer one that
+begins with it: the second pass pads a window where it becomes such a phrase.
+This leaves all counts of words and of phrases that reach ``least`` unchanged.
+Slots are shared by chance only upwards, so a full sketch (many more phrases
+than slots) pads less and costs shuffle, never a phrase.
 
 Null, empty or blank texts have no words; repeated rows count each time; an empty
 table has no phrases; other columns are not read.
@@ -34,20 +34,22 @@ from pyspark.sql import functions as F
 
 from .common import _fold, _LOWER, _LOWER_VALUES, mix, prepare, shared_path, stored, text_blocks
 
-#: Slots of the pair sketch; its bit map of 2^28 / 8 bytes = 32 MB goes to the workers.
+#: Slots of the phrase sketch; its bit map of 2^28 / 8 bytes = 32 MB goes to the workers.
 SKETCH_BITS = 28
 #: Slices of the sketch that are summed apart.
 SLICES = 64
-#: Pairs of one task that are counted before they are handed on.
+#: Phrases of one task that are counted before they are handed on.
 FLUSH = 1 << 22
 #: Cells of a slice summed by one task before the tasks' sums are.
 FAN = 256
+#: Parts of a language that are cut to the best before the whole is.
+RANK_PARTS = 64
 
 _BREAKS = np.zeros(256, bool)
 _BREAKS[[ord(c) for c in ".,;:!?\n\x0b\f\r"]] = True
 _WORD = ~_BREAKS
 _WORD[[32, 9]] = False
-_PAIR = np.random.default_rng(13).integers(1, 2 ** 62, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTS = np.random.default_rng(13).integers(1, 2 ** 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def piece_words(data: np.ndarray, off: np.ndarray):
@@ -94,7 +96,7 @@ def _hashes(strings) -> np.ndarray:
 
 
 class Words:
-    """The words of a block of texts, by index, with the slots of their pairs."""
+    """The words of a block of texts, by index, with the slots of their phrases."""
 
     def __init__(self, part, data, off, bits: int):
         chars, begin, self.piece, at = piece_words(data, off)
@@ -103,23 +105,28 @@ class Words:
         self.lang = np.repeat(lang, np.diff(np.searchsorted(at, off)))
         self.bits = bits
 
-    def pairs(self):
-        """Whether each word has a next one in its piece, and their slot."""
-        follows = np.append(self.piece[1:] == self.piece[:-1], False) if len(self.piece) else np.zeros(0, bool)
-        h, g = _hashes(self.words), _hashes(self.langs)
+    def phrases(self, order: int):
+        """For each length from 1 on: whether a phrase of that length begins at
+        each word, and its slot."""
+        n = len(self.ids)
+        h, g = _hashes(self.words)[self.ids], _hashes(self.langs)
         with np.errstate(over="ignore"):
-            first, second = (h * _PAIR[0])[self.ids], (h * _PAIR[1])[self.ids]
-            slot = mix(first + np.append(second[1:], np.uint64(0)) + (g * _PAIR[2])[self.lang]) >> np.uint64(64 - self.bits)
-        return follows, slot
+            total = (h + (g * _MULTS[0])[self.lang]) if n else h
+            yield np.ones(n, bool), mix(total) >> np.uint64(64 - self.bits)
+            for k in range(1, order):
+                total, inside, m = mix(total * _MULTS[k % len(_MULTS)]), np.zeros(n, bool), max(n - k, 0)
+                total[:m] += h[k:]
+                inside[:m] = self.piece[k:] == self.piece[:m]
+                yield inside, mix(total) >> np.uint64(64 - self.bits)
 
 
-# --- the sketch of pair counts -----------------------------------------------------
+# --- the sketch of phrase counts -----------------------------------------------------
 
 CELL = "slice int, slots binary, counts binary"
 
 
-def _pair_cells(bits: int, least: int):
-    """Slots of the pairs of a task with their counts (``least`` stands for more),
+def _phrase_cells(order: int, bits: int, least: int):
+    """Slots of the phrases of a task with their counts (``least`` stands for more),
     packed by slice."""
     def run(batches):
         import pyarrow as pa
@@ -138,9 +145,9 @@ def _pair_cells(bits: int, least: int):
             yield pa.RecordBatch.from_pydict({"slice": pa.array(used, pa.int32()), "slots": pack(gaps), "counts": pack(counts)})
         held, size = [], 0
         for part, data, off in text_blocks(batches, "text"):
-            follows, slot = Words(part, data, off, bits).pairs()
-            held.append(slot[follows])
-            size += len(held[-1])
+            for inside, slot in Words(part, data, off, bits).phrases(order):
+                held.append(slot[inside])
+                size += len(held[-1])
             if size >= FLUSH:
                 yield from cells(held)
                 held, size = [], 0
@@ -178,21 +185,19 @@ def _sum_cells(bits: int, least: int, final: bool):
     return run
 
 
-def frequent_slots(docs: DataFrame, least: int, bits: int) -> np.ndarray:
-    """The bit map of the slots whose pairs occur ``least`` times together
+def frequent_slots(docs: DataFrame, order: int, least: int, bits: int) -> np.ndarray:
+    """The bit map of the slots whose phrases occur ``least`` times together
     (2^``bits`` bits whatever the input)."""
     if bits < SLICES.bit_length() + 2:
         raise ValueError("a slice of the sketch has at least 8 slots")
-    cells = stored(docs.mapInArrow(_pair_cells(bits, least), CELL).withColumn("sub", F.spark_partition_id()), "pair-cells")
-    while True:
-        most = cells.groupBy("slice").count().agg(F.max("count")).first()[0] or 0
-        final = most <= FAN
-        groups = cells.withColumn("sub", F.lit(0) if final else F.pmod(F.xxhash64("sub", "slots"), F.lit(-(-most // FAN))).cast("int"))
-        groups = groups.repartition("slice", "sub").sortWithinPartitions("slice", "sub")
-        if final:
-            rows = groups.mapInArrow(_sum_cells(bits, least, True), "slice int, rare binary").collect()  # 2^bits bits in all
-            break
-        cells = stored(groups.mapInArrow(_sum_cells(bits, least, False), CELL).withColumn("sub", F.spark_partition_id()), "pair-cells")
+    cells = docs.mapInArrow(_phrase_cells(order, bits, least), CELL)
+    tasks = docs.rdd.getNumPartitions()
+    while tasks > FAN:  # so many cells of a slice are first summed in groups
+        tasks = -(-tasks // FAN)
+        groups = cells.withColumn("sub", F.pmod(F.spark_partition_id(), F.lit(tasks))).repartition("slice", "sub").sortWithinPartitions("slice", "sub")
+        cells = stored(groups.mapInArrow(_sum_cells(bits, least, False), CELL), "phrase-cells")
+    groups = cells.select("slice", F.lit(0).alias("sub"), "slots", "counts").repartition("slice").sortWithinPartitions("slice")
+    rows = groups.mapInArrow(_sum_cells(bits, least, True), "slice int, rare binary").collect()  # 2^bits bits in all
     table = np.zeros((SLICES, (1 << bits) // 8 // SLICES), np.uint8)
     for r in rows:
         table[r["slice"]] = np.frombuffer(r["rare"], np.uint8)
@@ -205,41 +210,43 @@ def _windows(frequent, order: int, bits: int):
     """Padded longest windows with their counts in a block of texts."""
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         bitmap = frequent.value
         names = [f"w{k}" for k in range(1, order + 1)]
-        for part, data, off in text_blocks(batches, "text", 8 << 20):
+        for part, data, off in text_blocks(batches, "text", 4 << 20):
             block = Words(part, data, off, bits)
             n = len(block.ids)
             if not n:
                 continue
-            follows, slot = block.pairs()
-            follows &= (bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8) & 1).astype(bool)
             pad = len(block.words)
-            columns, open_ = [block.ids], np.ones(n, bool)
-            for k in range(1, order):
-                # the k-th lead word, while all pairs before it are open
-                open_ = open_ & np.append(follows[k - 1:], np.zeros(min(k - 1, n), bool))[:n]
+            columns, longer = [], np.ones(n, bool)
+            for k, (inside, slot) in enumerate(block.phrases(order)):
+                bit = bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (np.uint64(7) - (slot & np.uint64(7))).astype(np.uint8) & 1
+                longer &= inside & bit.astype(bool)
                 lead = np.append(block.ids[k:], np.full(min(k, n), pad))
-                columns.append(np.where(open_, lead, pad))
+                columns.append(np.where(longer, lead, pad))
             counted = (pa.table(dict(zip(names, columns)) | {"lang": block.lang}).group_by(["lang", *names], use_threads=False)
                        .aggregate([([], "count_all")]))
+            # one narrow string to shuffle: the words, then the language
             words = pa.concat_arrays([block.words, pa.array([b""], pa.large_binary())]).cast(pa.binary()).cast(pa.string())
-            got = {"lang": block.langs.cast(pa.string()).take(counted["lang"].combine_chunks())}
-            got |= {c: words.take(counted[c].combine_chunks()) for c in names}
-            batch = pa.table(got | {"c": counted["count_all"].cast(pa.int64())})
+            text = pc.utf8_rtrim(pc.binary_join_element_wise(*(words.take(counted[c].combine_chunks()) for c in names), " "), " ")
+            langs = block.langs.cast(pa.string()).take(counted["lang"].combine_chunks())
+            batch = pa.table({"lead_window": pc.binary_join_element_wise(text, langs, "\n"), "c": counted["count_all"].cast(pa.int64())})
             yield from batch.to_batches(max_chunksize=50_000)
     return run
 
 
 def phrase_counts(docs: DataFrame, order: int, least: int, bits: int = SKETCH_BITS) -> DataFrame:
-    """``lang, words, f``: exact counts of all words, of the phrases of up to ``order``
-    words that occur ``least`` times, and of the empty phrase (all words)."""
+    """``lang, words, f``: exact counts of the phrases of up to ``order`` words that
+    occur ``least`` times, and of the empty phrase (all words)."""
     spark = prepare(docs.sparkSession)
     docs = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    frequent = spark.sparkContext.broadcast(frequent_slots(docs, least, bits))
+    frequent = spark.sparkContext.broadcast(frequent_slots(docs, order, least, bits))
     names = [f"w{k}" for k in range(1, order + 1)]
-    schema = ", ".join(f"{c} string" for c in ["lang", *names]) + ", c bigint"
-    top = docs.mapInArrow(_windows(frequent, order, bits), schema).groupBy("lang", *names).agg(F.sum("c").alias("c"))
+    top = docs.mapInArrow(_windows(frequent, order, bits), "lead_window string, c bigint").groupBy("lead_window").agg(F.sum("c").alias("c"))
+    # no word holds a line end or a blank
+    words, lang = F.split(F.substring_index("lead_window", "\n", 1), " "), F.expr("substring(lead_window, locate('\n', lead_window) + 1)")
+    top = top.select(lang.alias("lang"), *[F.coalesce(F.get(words, F.lit(k)), F.lit("")).alias(c) for k, c in enumerate(names)], "c")
     summed = top.rollup("lang", *names).agg(F.sum("c").alias("f"), F.grouping_id().alias("level"))
     # level 2^j - 1: the last j columns are summed over; padding is no phrase
     size = F.when(F.col("level") == 0, order)
@@ -247,7 +254,7 @@ def phrase_counts(docs: DataFrame, order: int, least: int, bits: int = SKETCH_BI
         size = size.when(F.col("level") == 2 ** j - 1, order - j)
     words = F.slice(F.array(*names), 1, F.col("size"))
     return (summed.where(F.col("level") < 2 ** (order + 1) - 1).withColumn("size", size).withColumn("words", words)
-                  .where("size <= 1 OR f >= " + str(int(least))).where(~F.array_contains("words", "")).select("lang", "words", "f"))
+                  .where("size = 0 OR f >= " + str(int(least))).where(~F.array_contains("words", "")).select("lang", "words", "f"))
 
 
 # --- collocations --------------------------------------------------------------------
@@ -284,9 +291,12 @@ def collocations(docs: DataFrame, order: int = 3, least: int = 10, cover: int =
     total = counts.where("size = 0").select("lang", F.col("f").alias("n"))
     order_by = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     if top is not None:
-        ranked = kept.withColumn("rank", F.row_number().over(order_by)).where(F.col("rank") <= top)
-    else:
-        ranked = kept.withColumn("rank", F.row_number().over(order_by))
+        part = F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS))
+        within = Window.partitionBy("lang", "part").orderBy(F.desc("score"), F.desc("a"), "phrase")
+        kept = kept.withColumn("part", part).withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= top)
+    ranked = kept.withColumn("rank", F.row_number().over(order_by))
+    if top is not None:
+        ranked = ranked.where(F.col("rank") <= top)
     return (ranked.join(F.broadcast(total), "lang")
                   .select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score"))
 

@@ -70,8 +70,10 @@ def test_many_cells_are_summed_in_rounds(spark, monkeypatch):
     assert mined(spark, rows, bits=12) == sorted(brute(rows))
 
 
-def test_empty_table(spark):
+def test_empty_and_tiny_tables(spark):
     assert mined(spark, []) == []
+    assert mined(spark, [("a", "en")], order=4, least=1) == []
+    assert mined(spark, [("a b", "en")], order=4, least=1) == brute([("a b", "en")], order=4, least=1)
 
 
 def test_scores_beyond_64_bits(spark):
