@@ -81,6 +81,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), end_id=0, room=2048)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tokenisers' tokens of all documents, aligned."""
+    from .alignment import alignment
+    return alignment(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts of the filter list on all pages."""
     from .url_filter import judge_pages
@@ -94,7 +100,7 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity_chain, op3_jaccard_groups, op4_exact_dedup, op5_quality_network, op6_rendezvous_shards, op7_token_counts,
-                                   op8_hmm_scores, op9_contaminated_documents, op10_best_fit_packing, op12_url_filter, op13_phrases)}
+                                   op8_hmm_scores, op9_contaminated_documents, op10_best_fit_packing, op11_alignment, op12_url_filter, op13_phrases)}
 ORACLE: dict[str, str] = {"op4_exact_dedup": stream_dedup.ORACLE_SQL, "op6_rendezvous_shards": sharding.oracle_sql(SHARDS),
                           "op9_contaminated_documents": decontaminate.ORACLE_SQL, "op12_url_filter": url_filter.ORACLE_SQL,
                           "op13_phrases": phrases.ORACLE_SQL}
