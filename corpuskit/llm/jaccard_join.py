@@ -18,8 +18,9 @@ texts link when 100 * |intersection| >= 75 * |union|.
    groups with classes of other components that it could reach, with enough
    common prefix tokens and fitting sizes.  For these the group's token union is built: a
    query is bounded by its overlap with the union, and only the groups that
-   qualify are opened and compared set by set, one link to a component.
-   (A link inside a component changes nothing and is not looked for.)
+   qualify are opened and compared set by set, and only for links that join two
+   components.  This goes in passes, from the groups of one family outwards, and
+   joins the components after each, so that a family is soon one component.
 
 So near copies, however many, cost one comparison each with their leader and
 their tokens lead to no pairs among themselves.  Nothing is capped: groups and
@@ -43,6 +44,8 @@ WORDS = 5
 #: Classes in a group and queries that meet it in one task, on average.
 GROUP = 64
 QUERIES = 256
+#: Chunks of a family whose classes meet in a pass, as a power of the pass.
+SPAN = 16
 #: A token in so many texts of one batch is counted as a frequent one.
 LOCAL_COUNT = 3
 #: Texts that make a batch for that count.
@@ -311,43 +314,65 @@ def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
 # --- 4: the token-group matrix -----------------------------------------------------------
 
 def _open_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Queries against one group: bound by the union, then open."""
+    """Queries against one group: bound by the union, then open.  One union-find over
+    the components of members and queries: only links that join two of them are
+    looked for, so there are fewer links than components."""
     member = pdf["member"].to_numpy(bool)
     sets = [np.frombuffer(t, "<u8") for t in pdf["tokens"]]
-    cls, comp = pdf["cls"].to_numpy(), pdf["comp"].to_numpy()
+    cls, comp = pdf["cls"].to_numpy(), pdf["comp"].tolist()
     inside = np.flatnonzero(member)
     union = np.unique(np.concatenate([sets[i] for i in inside])) if len(inside) else np.zeros(0, np.uint64)
+    parent = {c: c for c in comp}
+
+    def root(c):
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
     out = []
     for q in np.flatnonzero(~member):
         s = sets[q]
         if overlap(s, union) < needed(len(s)):
             continue
-        known = {comp[q]}  # components that need no more links
         for i in sorted(inside, key=lambda i: abs(len(sets[i]) - len(s))):
-            if comp[i] not in known and linked(s, sets[i]):
+            x, y = root(comp[q]), root(comp[i])
+            if x != y and linked(s, sets[i]):
                 out.append((cls[q], cls[i]))
-                known.add(comp[i])
+                parent[x] = y
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _group_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, comps: DataFrame, families: DataFrame) -> DataFrame:
-    """Links between classes of different components.  Groups are chunks of a
-    family, whatever the components of its classes."""
+def _places(families: DataFrame) -> DataFrame:
+    """``cls, family, size, chunk``: groups are chunks of a family, whatever the
+    components of its classes."""
     size = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    place = (families.join(size, "family").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / GROUP)))
-                     .join(comps, "cls", "left").select("cls", "family", "size", "chunk", F.coalesce("comp", "cls").alias("comp")))
-    place = stored(place, "places")
-    alone = {"family": F.col("cls"), "size": F.lit(1), "chunk": F.lit(0), "comp": F.col("cls")}
-    rows = (shared.join(place, "cls", "left")
-                  .select("token", "cls", "n", *[F.coalesce(F.col(k), v).cast("bigint").alias(k) for k, v in alone.items()]))
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token")
-    rows = stored(rows.join(mixed, "token"), "mixed-tokens")
-    matrix = rows.groupBy("token", "size", "family", "chunk").agg(F.min("n").alias("n_min"), F.max("n").alias("n_max"),
-                                                                  F.min("comp").alias("low"), F.max("comp").alias("high"))
-    g = matrix.select("token", F.struct("size", "family", "chunk").alias("g"), "n_min", "n_max", "low", "high")
-    pairs = (rows.withColumn("own", F.struct("size", "family", "chunk")).join(g, "token")
+    return stored(families.join(size, "family").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / GROUP)))
+                          .select("cls", "family", "size", "chunk"), "places")
+
+
+def _group_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, comps: DataFrame, places: DataFrame,
+                 near: int, far: int | None) -> DataFrame:
+    """Links between classes of different components: of one family with chunks in the
+    same block of ``far`` chunks, but not in the same block of ``near`` (0: also in
+    the same chunk).  ``far`` None: all others, also of different families."""
+    place = places.join(comps, "cls", "left").select("cls", "family", "size", "chunk", F.coalesce("comp", "cls").alias("comp"))
+    if far is None:
+        # a class without a family is a group of its own
+        alone = {"family": F.col("cls"), "size": F.lit(1), "chunk": F.lit(0), "comp": F.col("cls")}
+        rows = (shared.join(place, "cls", "left")
+                      .select("token", "cls", "n", *[F.coalesce(F.col(k), v).cast("bigint").alias(k) for k, v in alone.items()]))
+        meet_by = ["token"]
+    else:
+        rows = shared.join(place, "cls").withColumn("chunk", F.col("chunk").cast("bigint")).withColumn("block", F.floor(F.col("chunk") / far))
+        meet_by = ["token", "family", "block"]
+    mixed = rows.groupBy(*meet_by).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select(*meet_by)
+    rows = stored(rows.join(mixed, meet_by), "mixed-tokens")
+    matrix = rows.groupBy(*dict.fromkeys([*meet_by, "size", "family", "chunk"])).agg(
+        F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    g = matrix.select(*meet_by, F.struct("size", "family", "chunk").alias("g"), "n_min", "n_max", "low", "high")
+    met_before = f"(own.family = g.family AND floor(own.chunk / {near}) = floor(g.chunk / {near}))" if near else "false"
+    pairs = (rows.withColumn("own", F.struct("size", "family", "chunk")).join(g, meet_by)
                  # one direction between two groups: the query is of the smaller family
-                 .where("own <= g AND NOT (low = comp AND high = comp)")
+                 .where(f"own <= g AND NOT (low = comp AND high = comp) AND NOT {met_before}")
                  .where("100 * n >= 75 * n_min AND 100 * n_max >= 75 * n")
                  .groupBy("cls", "n", "comp", "g")
                  .agg(F.count(F.lit(1)).alias("c"), F.min("n_min").alias("n_min"), F.max("n_max").alias("n_max")))
@@ -362,8 +387,7 @@ def _group_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, comps:
     salts = pairs.groupBy("family", "chunk").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("salts"))
     queries = (pairs.join(salts, ["family", "chunk"]).withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")))
                     .select("cls", "comp", "family", "chunk", "salt", F.lit(False).alias("member")))
-    # a class without a family is a group of its own
-    single = (pairs.select("family").distinct().join(families.select("family").distinct(), "family", "left_anti")
+    single = (pairs.select("family").distinct().join(places.select("family").distinct(), "family", "left_anti")
                    .select(F.col("family").alias("cls"), "family", F.lit(0).cast("bigint").alias("chunk"), F.col("family").alias("comp")))
     inside = place.select("cls", "family", F.col("chunk").cast("bigint").alias("chunk"), "comp").unionByName(single)
     members = (inside.join(salts, ["family", "chunk"])
@@ -375,6 +399,23 @@ def _group_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, comps:
                 .applyInPandas(lambda pdf: _open_group(pdf), LINKS))
 
 
+def _all_group_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, comps: DataFrame, families: DataFrame) -> DataFrame:
+    """``comps`` after all links between groups: first inside the chunks, then between
+    neighbouring ones, ever farther, then between families.  Each pass joins
+    components, so that the next one has fewer classes to compare, and no pair
+    of groups meets twice."""
+    places = _places(families)
+    chunks = places.select(F.max("chunk")).first()[0] or 0
+    spans = [1]
+    while spans[-1] <= chunks:
+        spans.append(spans[-1] * SPAN)
+    for near, far in zip([0, *spans], [*spans, None]):
+        links = stored(_group_links(docs, classes, shared, comps, places, near, far), "group-links")
+        if not links.isEmpty():
+            comps = merged(comps, links)
+    return comps
+
+
 def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``doc_id, digest, n, cls`` of every row, and ``cls, comp, first`` of every
     class with shingles.  ``first`` is the class's row with the smallest id (none
@@ -394,8 +435,7 @@ def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     packed = id_text(docs).select("text").mapInArrow(_prefixes(shared_counts, parts), PACKED)
     shared = stored(packed.groupBy("part").applyInPandas(lambda pdf: _shared_tokens(pdf), SHARED), "shared-tokens")
     first, families = _leader_links(docs, classes, shared)
-    comps = components(first)
-    comps = merged(comps, stored(_group_links(docs, classes, shared, comps, families), "group-links"))
+    comps = _all_group_links(docs, classes, shared, components(first), families)
     return texts, classes.join(comps, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "first")
 
 

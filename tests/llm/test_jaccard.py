@@ -148,5 +148,21 @@ def test_classes_of_a_frequent_token_are_spread():
     assert got == rows([jaccard_join._shared_tokens(pdf.assign(hot=[bytes(len(x)) for x in pdf["hot"]])) for _, pdf in order])
 
 
+def test_links_grow_with_the_group(spark, table, monkeypatch):
+    """Texts with one edited word each: most do not link with most, yet all are one component."""
+    seen = []
+    real = jaccard_join.merged
+    monkeypatch.setattr(jaccard_join, "merged", lambda comps, links: seen.append(links.count()) or real(comps, links))
+
+    def links(n):
+        base = [f"w{i}" for i in range(70)]
+        rows = [(k, " ".join(base[:k % 70] + [f"edit{k}"] + base[k % 70 + 1:])) for k in range(n)]
+        seen.clear()
+        got = {r.component_id for r in jaccard_join.similar_groups(table(rows)).collect()}
+        assert got == {0}
+        return sum(seen)
+    assert links(300) < 300 * 3 and links(900) < 900 * 3
+
+
 def test_empty_table(spark, table):
     assert jaccard_join.similar_groups(table([])).count() == 0
