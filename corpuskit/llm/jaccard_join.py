@@ -44,8 +44,8 @@ WORDS = 5
 #: Classes in a group and queries that meet it in one task, on average.
 GROUP = 64
 QUERIES = 256
-#: Chunks of a family whose classes meet in a pass, as a power of the pass.
-SPAN = 16
+#: A pass joins so many blocks of chunks of the pass before.
+SPAN = 4
 #: A token in so many texts of one batch is counted as a frequent one.
 LOCAL_COUNT = 3
 #: Texts that make a batch for that count.
@@ -349,11 +349,25 @@ def _places(families: DataFrame) -> DataFrame:
                           .select("cls", "family", "size", "chunk"), "places")
 
 
+def _inside(shared: DataFrame, places: DataFrame) -> DataFrame:
+    """Shared tokens of classes in families, with their places."""
+    return shared.join(places, "cls").withColumn("chunk", F.col("chunk").cast("bigint"))
+
+
+def _still_mixed(inner: DataFrame, comps: DataFrame) -> DataFrame:
+    """Those tokens of ``inner`` that classes of several components of a family hold, with
+    the classes' components."""
+    rows = inner.drop("comp").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    mixed = rows.groupBy("token", "family").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
+    return stored(rows.join(mixed.select("token", "family"), ["token", "family"]), "mixed-in-families")
+
+
 def _group_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, comps: DataFrame, places: DataFrame,
                  near: int, far: int | None) -> DataFrame:
     """Links between classes of different components: of one family with chunks in the
     same block of ``far`` chunks, but not in the same block of ``near`` (0: also in
-    the same chunk).  ``far`` None: all others, also of different families."""
+    the same chunk); ``shared`` is then of ``_still_mixed``.  ``far`` None: all others, also of
+    different families."""
     place = places.join(comps, "cls", "left").select("cls", "family", "size", "chunk", F.coalesce("comp", "cls").alias("comp"))
     if far is None:
         # a class without a family is a group of its own
@@ -362,10 +376,12 @@ def _group_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, comps:
                       .select("token", "cls", "n", *[F.coalesce(F.col(k), v).cast("bigint").alias(k) for k, v in alone.items()]))
         meet_by = ["token"]
     else:
-        rows = shared.join(place, "cls").withColumn("chunk", F.col("chunk").cast("bigint")).withColumn("block", F.floor(F.col("chunk") / far))
+        rows = shared.withColumn("block", F.floor(F.col("chunk") / far))
         meet_by = ["token", "family", "block"]
     mixed = rows.groupBy(*meet_by).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select(*meet_by)
     rows = stored(rows.join(mixed, meet_by), "mixed-tokens")
+    if rows.isEmpty():
+        return docs.sparkSession.createDataFrame([], LINKS)
     matrix = rows.groupBy(*dict.fromkeys([*meet_by, "size", "family", "chunk"])).agg(
         F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     g = matrix.select(*meet_by, F.struct("size", "family", "chunk").alias("g"), "n_min", "n_max", "low", "high")
@@ -409,8 +425,15 @@ def _all_group_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, com
     spans = [1]
     while spans[-1] <= chunks:
         spans.append(spans[-1] * SPAN)
+    inner = _inside(shared, places)
     for near, far in zip([0, *spans], [*spans, None]):
-        links = stored(_group_links(docs, classes, shared, comps, places, near, far), "group-links")
+        if inner is None and far is not None:
+            continue  # every family is one component
+        inner = shared if far is None else _still_mixed(inner, comps)
+        if far is not None and inner.isEmpty():
+            inner = None
+            continue
+        links = stored(_group_links(docs, classes, inner, comps, places, near, far), "group-links")
         if not links.isEmpty():
             comps = merged(comps, links)
     return comps
