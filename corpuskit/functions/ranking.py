@@ -9,6 +9,8 @@ that table (bounded by the partition count) passes a one-partition window.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,13 +33,15 @@ def global_rank(df: DataFrame, order_cols, name: str = "rank") -> DataFrame:
 
 def rank_within(df: DataFrame, group_cols, order_cols, name: str = "rank") -> DataFrame:
     """1-based position within each group, from one global rank: a hot group is
-    spread over many range partitions instead of one window task."""
+    spread over many range partitions instead of one window task.  Nulls are a
+    group like any other."""
     group_cols = list(group_cols)
     ranked = global_rank(df, group_cols + list(order_cols), "_g")
-    firsts = ranked.groupBy(*group_cols).agg(F.min("_g").alias("_g0"))
-    return (ranked.join(firsts, group_cols)
+    firsts = ranked.groupBy(*[F.col(c).alias(f"_g0{c}") for c in group_cols]).agg(F.min("_g").alias("_g0"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g0{c}")) for c in group_cols])
+    return (ranked.join(firsts, same)
                   .withColumn(name, (F.col("_g") - F.col("_g0") + 1).cast("bigint"))
-                  .drop("_g", "_g0"))
+                  .drop("_g", "_g0", *[f"_g0{c}" for c in group_cols]))
 
 
 def top_k(df: DataFrame, score: str, tie_cols, k: int) -> DataFrame:

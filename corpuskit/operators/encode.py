@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.joins import lookup_join
 from ..functions.ranking import global_rank
+from ..session import cut_lineage
 from . import tokens as T
 from .unigram import encode_words
 
@@ -54,8 +55,10 @@ def encode_sentences(sents: DataFrame, word_ids: DataFrame, keys, col: str = "se
                      freq: DataFrame | None = None, carry=()) -> DataFrame:
     """E2 (+E3, K5): ``(keys..., carry..., ids)`` per sentence, special tokens in
     the raw text mapped to their ids.  A sentence without a pre-token has no
-    ids and keeps its row.  ``carry``: columns that depend on the keys."""
-    keys = [*keys, *carry]
+    ids and keeps its row.  ``carry``: further columns.  A row is known by a number of
+    its own, fixed by a checkpoint: null and repeated keys stay apart."""
+    out, keys = [*keys, *carry], ["_row", *keys, *carry]
+    sents = cut_lineage(sents.select(*out, col).withColumn("_row", F.monotonically_increasing_id()))
     toks = T.pretokenise(sents.select(*keys, col), col, keep=keys, with_specials=True, keep_empty=True)
     specials = F.array_position(F.array(*[F.lit(t) for t in P.SPECIAL_TOKENS]), F.col("token"))
     plain = toks.where(F.coalesce(specials == 0, F.lit(False)))
@@ -67,7 +70,7 @@ def encode_sentences(sents: DataFrame, word_ids: DataFrame, keys, col: str = "se
     joined = joined.withColumn("ids", F.coalesce("ids", F.array(F.lit(P.UNK_ID))))
     occ = joined.select(*keys, "tok_no", "ids").unionByName(rest.select(*keys, "tok_no", "ids"))
     return (occ.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tok_no", "ids"))).alias("x"))
-               .select(*keys, F.flatten(F.transform("x", lambda e: e["ids"])).alias("ids")))
+               .select(*out, F.flatten(F.transform("x", lambda e: e["ids"])).alias("ids")))
 
 
 def add_specials(ids: Column, max_length: int = P.DEFAULT_MAX_LENGTH) -> Column:

@@ -48,7 +48,7 @@ def build_tokeniser(corpus: DataFrame, dictionary: DataFrame, vocab_size: int =
 
 def build_mlm_data(corpus: DataFrame, tok: TokeniserTables, max_length: int = 128, epoch: int = 0) -> DataFrame:
     """Split 99/1, encode, wrap, truncate, pad per batch, mask (train rows)."""
-    sents = cut_lineage(sampling.train_test_split(corpus.select(*SENT_KEY, "text"), SENT_KEY))
+    sents = sampling.train_test_split(corpus.select(*SENT_KEY, "text"), SENT_KEY)
     words = cut_lineage(tokens.word_freq(tokens.pretokenise(sents, "text", keep=[])))
     splits = compound.compound_splits(words.select("w"), tok.dictionaries(), tok.interfixes)
     wid = cut_lineage(encode.word_ids_unigram(words, tok.vocab, splits))
