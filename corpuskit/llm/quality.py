@@ -182,13 +182,16 @@ def _pool(shared):
 
 
 def fit(docs: DataFrame, labels: DataFrame, table: np.ndarray, max_rows: int = TRAIN_ROWS) -> Network:
-    """The network for ``labels`` (``doc_id, label``), from a bounded sample."""
+    """The network for ``labels`` (``doc_id, label``), from a bounded sample: at most
+    ``max_rows`` labelled ids and one text of each (of several the one with the
+    smallest digest, taken before any row leaves its task)."""
     spark = docs.sparkSession
     sample = (labels.where("label is not null").dropDuplicates(["doc_id"])
                     .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
                     .select(F.col("doc_id").alias("label_id"), F.col("label").cast("double").alias("label")))
     # bounded by max_rows
     rows = id_text(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", text_digest()).alias("text"))
     rows = rows.select("doc_id", "label", (id_crc() % 5 == 1).alias("tune"), "text")
     shared = spark.sparkContext.broadcast(table)
     got = rows.mapInArrow(_pool(shared), "doc_id bigint, label double, tune boolean, x binary").collect()

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, hash_beginnings, hash_words, id_crc, id_text, prepare, text_blocks
+from .common import LETTERS, hash_beginnings, hash_words, id_crc, id_text, prepare, text_blocks, text_digest
 
 BUCKETS = 1 << 17
 TRAIN_ROWS = 5_000
@@ -159,13 +159,15 @@ def _list_buckets(words: list[str]) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, list[str]], max_rows: int = TRAIN_ROWS) -> list[Linear]:
     """The chain for ``categories`` and then ``toxic``, from ``labels``
-    (``doc_id, toxic``)."""
+    (``doc_id, toxic``): at most ``max_rows`` ids of either label and one text of each
+    (of several the one with the smallest digest)."""
     sample = None
     for value in (0, 1):
         part = (labels.where(F.col("toxic") == value).dropDuplicates(["doc_id"])
                       .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select(F.col("doc_id").alias("label_id"), F.lit(value).alias("label")))
         sample = part if sample is None else sample.unionByName(part)
     rows = id_text(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))  # bounded by 2 x max_rows
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", text_digest()).alias("text"))
     rows = rows.select("doc_id", "label", (F.floor(id_crc() / 5) % FOLDS).cast("int").alias("fold"), "text")
     got = rows.mapInArrow(_features, "doc_id bigint, label int, fold int, at binary").collect()
     got = sorted(got, key=lambda r: (r["doc_id"], r["at"]))

@@ -173,3 +173,23 @@ def test_training_beats_the_base(spark):
 
 def test_hmm_empty_table(spark, table):
     assert hmm_scoring.score_documents(table([])).count() == 0
+
+
+def test_samples_have_one_text_of_each_labelled_id(spark, table, monkeypatch):
+    """A labelled id that occurs often fits one row, whatever order the rows come in."""
+    rows = [(1, f"text {k % 7} of the one id told over and over") for k in range(300)] + [(2, "another text of another id")] * 40
+    seen = []
+    real = quality.Network.fit
+    monkeypatch.setattr(quality.Network, "fit", lambda self, x, y, tune, **kw: seen.append((len(x), x.tobytes())) or real(self, x, y, tune, **kw))
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (1, 1, 1)], "doc_id bigint, label int, toxic int")
+    for max_rows, want in ((1, 1), (10, 2)):
+        for parts in (1, 5):
+            docs = table(rows).repartition(parts)
+            quality.fit(docs, labels, quality.context_vectors(docs), max_rows=max_rows)
+        assert [n for n, _ in seen] == [want, want] and seen[0] == seen[1]
+        seen.clear()
+    kept = []
+    chain = toxicity.fit_chain
+    monkeypatch.setattr(toxicity, "fit_chain", lambda at, first, y, fold: kept.append(len(y)) or chain(at, first, y, fold))
+    toxicity.train(table(rows), labels, {}, max_rows=1)
+    assert kept == [2]
