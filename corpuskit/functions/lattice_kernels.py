@@ -94,6 +94,41 @@ def best_paths(x: Edges) -> list[np.ndarray]:
     return [(row[row >= 0] - at).astype(np.int32) for row, at in zip(table, x.first)]
 
 
+def two_best_paths(x: Edges) -> list[list[np.ndarray]]:
+    """Per word the two best different segmentations (the second empty if there is
+    none), as indices of their edges; ties as in ``best_paths``."""
+    words = np.arange(len(x.n))
+    score = np.full((len(x.n), x.width, 2), -np.inf)
+    back, before = np.zeros(score.shape, np.int64), np.zeros(score.shape, np.int64)
+    score[:, 0, 0] = 0.0
+    for p, at, _ in x.by(x.end):
+        # every edge continues both paths to its start
+        edge, rank = np.concatenate([at, at]), np.repeat([0, 1], len(at))
+        value = score[x.word[edge], x.start[edge], rank] + x.lp[edge]
+        there = np.isfinite(value)
+        edge, rank, value = edge[there], rank[there], value[there]
+        order = np.lexsort((rank, x.start[edge], -value, x.word[edge]))
+        edge, rank, value = edge[order], rank[order], value[order]
+        w = x.word[edge]
+        new = np.concatenate([[True], w[1:] != w[:-1]])[:len(w)]
+        second = np.concatenate([[False], new[:-1]])[:len(w)] & ~new
+        for k, chosen in enumerate((new, second)):
+            score[w[chosen], p, k], back[w[chosen], p, k], before[w[chosen], p, k] = value[chosen], edge[chosen], rank[chosen]
+    out = [[], []]
+    for k in (0, 1):
+        pos = np.where(np.isfinite(score[words, x.n, k]), x.n, 0)
+        rank, steps = np.full(len(x.n), k), []
+        while (pos > 0).any():
+            on = pos > 0
+            edge = np.where(on, back[words, pos, rank], -1)
+            rank = np.where(on, before[words, pos, rank], rank)
+            steps.append(edge)
+            pos = np.where(on, x.start[edge], 0)
+        table = np.array(steps[::-1]).reshape(len(steps), len(x.n)).T
+        out[k] = [(row[row >= 0] - first).astype(np.int32) for row, first in zip(table, x.first)]
+    return [list(pair) for pair in zip(*out)]
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def edge_posteriors(starts: pd.Series, ends: pd.Series, lps: pd.Series, n: pd.Series, f: pd.Series) -> pd.Series:
     x = Edges(starts, ends, lps, n)
@@ -103,3 +138,8 @@ def edge_posteriors(starts: pd.Series, ends: pd.Series, lps: pd.Series, n: pd.Se
 @F.pandas_udf(ArrayType(IntegerType()))
 def viterbi_path(starts: pd.Series, ends: pd.Series, lps: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(best_paths(Edges(starts, ends, lps, n)), index=n.index, dtype=object)
+
+
+@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
+def two_viterbi_paths(starts: pd.Series, ends: pd.Series, lps: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series(two_best_paths(Edges(starts, ends, lps, n)), index=n.index, dtype=object)

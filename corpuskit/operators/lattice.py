@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import bounded_broadcast
-from ..functions.lattice_kernels import edge_posteriors, viterbi_path
+from ..functions.lattice_kernels import edge_posteriors, two_viterbi_paths, viterbi_path
 
 # --- fixed values: defaults of the Unigram trainer ---------------------------
 MAX_PIECE_LENGTH = 16
@@ -36,10 +36,8 @@ def substrings(words: DataFrame, max_len: int = MAX_PIECE_LENGTH, col: str = "w"
 
 
 def lattice_edges(words: DataFrame, pieces: DataFrame, unk_lp: Column | float,
-                  max_len: int = MAX_PIECE_LENGTH, col: str = "w", exclude_self: bool = False) -> DataFrame:
-    """Edges of every word; ``pieces`` has ``(piece, lp)`` and optionally
-    ``pid``.  With ``exclude_self`` the edge covering the whole word is left
-    out (the best segmentation *other* than the word itself).
+                  max_len: int = MAX_PIECE_LENGTH, col: str = "w") -> DataFrame:
+    """Edges of every word; ``pieces`` has ``(piece, lp)`` and optionally ``pid``.
 
     One pass: substrings LEFT JOIN the (size-checked, broadcast) pieces; a
     one-character substring without a piece stays as an unknown edge.  The
@@ -49,8 +47,6 @@ def lattice_edges(words: DataFrame, pieces: DataFrame, unk_lp: Column | float,
         pieces = pieces.withColumn("pid", F.lit(None).cast("int"))
     table, _ = bounded_broadcast(pieces.select("piece", "lp", "pid"))
     subs = substrings(words.repartition(col), max_len, col)
-    if exclude_self:
-        subs = subs.where(~((F.col("s") == 0) & (F.col("e") == F.length(col))))
     unk = unk_lp if isinstance(unk_lp, Column) else F.lit(float(unk_lp))
     return (subs.join(table, "piece", "left")
                 .where(F.col("lp").isNotNull() | (F.col("e") - F.col("s") == 1))
@@ -83,6 +79,15 @@ def with_viterbi(df: DataFrame, edges: str = "edges", n: str = "n", out: str = "
               .drop("_idx", "_path"))
 
 
+def with_two_best(df: DataFrame, edges: str = "edges", n: str = "n") -> DataFrame:
+    """Adds ``first`` and ``second`` = array<EDGE>, the two best segmentations, from one
+    lattice."""
+    s, e, lp = _arrays(F.col(edges))
+    df = df.withColumn("_idx", two_viterbi_paths(s, e, lp, F.col(n)))
+    path = lambda k: F.transform(F.col("_idx")[k], lambda i: F.element_at(F.col(edges), i + 1))
+    return df.withColumns({"first": path(0), "second": path(1)}).drop("_idx")
+
+
 def with_expected_counts(df: DataFrame, edges: str = "edges", n: str = "n", f: str = "f") -> DataFrame:
     """E-step per word: adds ``c`` = array<double>, ``f * P(edge | word)`` for
     every edge of ``edges`` in the same order (forward-backward kernel)."""

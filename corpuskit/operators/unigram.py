@@ -28,7 +28,7 @@ from ..functions.joins import lookup_join
 from ..functions.numeric import digamma
 from ..functions.ranking import global_rank, top_k
 from ..session import cut_lineage
-from .lattice import (MAX_PIECE_LENGTH, UNK_PENALTY, collect_edges, lattice_edges, substrings,
+from .lattice import (MAX_PIECE_LENGTH, UNK_PENALTY, collect_edges, lattice_edges, substrings, with_two_best,
                       with_expected_counts, with_viterbi)
 
 # --- fixed values: defaults of the Unigram trainer ----------------------------
@@ -60,10 +60,10 @@ def unk_score(pieces: DataFrame) -> Column:
     return pieces.select(F.min("lp") - F.lit(UNK_PENALTY)).scalar()
 
 
-def word_lattices(words: DataFrame, pieces: DataFrame, keys=("w", "f"), exclude_self: bool = False) -> DataFrame:
+def word_lattices(words: DataFrame, pieces: DataFrame, keys=("w", "f")) -> DataFrame:
     """One row per word with its sorted lattice ``edges`` and length ``n``."""
     keys = list(keys)
-    e = lattice_edges(words.select(*keys), pieces, unk_score(pieces), exclude_self=exclude_self)
+    e = lattice_edges(words.select(*keys), pieces, unk_score(pieces))
     return collect_edges(e, keys).withColumn("n", F.length("w"))
 
 
@@ -84,9 +84,9 @@ def m_step(counts: DataFrame, threshold: float = EXPECTED_FREQUENCY_THRESHOLD) -
     return kept.withColumn("lp", digamma(F.col("c")) - norm)
 
 
-def viterbi_words(words: DataFrame, pieces: DataFrame, keys=("w", "f"), exclude_self: bool = False) -> DataFrame:
+def viterbi_words(words: DataFrame, pieces: DataFrame, keys=("w", "f")) -> DataFrame:
     """Best segmentation of each word: ``best.score``, ``best.path``."""
-    return with_viterbi(word_lattices(words, pieces, keys, exclude_self))
+    return with_viterbi(word_lattices(words, pieces, keys))
 
 
 def prune(words: DataFrame, pieces: DataFrame, desired_size: int,
@@ -106,11 +106,12 @@ def prune(words: DataFrame, pieces: DataFrame, desired_size: int,
     vsum = words.select(F.sum("f").cast("double")).scalar()
     total = vfreq.select(F.sum("vf")).scalar()
     multi = pieces.where(F.length("piece") > 1).select(F.col("piece").alias("w"), F.lit(1).alias("f"))
-    self_best = (viterbi_words(multi, pieces)
-                 .select(F.col("w").alias("piece"), (F.size("best.path") == 1).alias("self_best")))
-    alt = (viterbi_words(multi, pieces, exclude_self=True)
-           .select(F.col("w").alias("piece"), F.posexplode("best.path").alias("k", "x"))
-           .select("piece", "k", F.col("x.piece").alias("alt_piece"), F.col("x.unk").alias("alt_unk")))
+    # one lattice of the pieces gives whether a piece is its own best segmentation, and
+    # if so the best other one
+    own = (with_two_best(word_lattices(multi.join(vfreq.select(F.col("piece").alias("w")), "w"), pieces))
+           .where(F.size("first") == 1))
+    alt = (own.select(F.col("w").alias("piece"), F.posexplode("second").alias("k", "x"))
+              .select("piece", "k", F.col("x.piece").alias("alt_piece"), F.col("x.unk").alias("alt_unk")))
     mine = vfreq.select("piece", F.col("vf").alias("vf_i"))
     # single letters are in most alternatives: a lookup that splits hot keys
     alt = lookup_join(alt.join(mine, "piece"), vfreq.select(F.col("piece").alias("alt_piece"), F.col("vf").alias("vf_n")),
@@ -124,9 +125,7 @@ def prune(words: DataFrame, pieces: DataFrame, desired_size: int,
                .withColumn("logprob_sp", F.log("vf_i") - F.log(total))
                .withColumn("loss", F.col("vf_i") / vsum * (F.col("logprob_sp") - F.col("logprob_alt")))
                .select("piece", "loss"))
-    cands = (pieces.where(F.length("piece") > 1)
-                   .join(self_best.where("self_best"), "piece", "left_semi")
-                   .join(loss, "piece", "inner"))
+    cands = pieces.where(F.length("piece") > 1).join(loss, "piece", "inner")
     chars = pieces.where(F.length("piece") == 1)
     room = max(pruned_size - chars.count(), 0)
     # the losses feed a histogram and a selection: computed once

@@ -143,6 +143,31 @@ def test_vocabulary_keeps_all_required_characters(spark):
     assert {chr(0x4E00 + i) for i in range(30)} <= vocab and len(vocab) == 35
 
 
+def test_two_best_paths_match_enumeration():
+    import random
+    import numpy as np
+    from corpuskit.functions.lattice_kernels import Edges, best_paths, two_best_paths
+    rng = random.Random(8)
+    words, plain = [], []
+    for _ in range(60):
+        n = rng.randint(1, 6)
+        edges = sorted((e, s, -rng.random() * (1 if rng.random() < 0.8 else 0) - 0.5) for s in range(n) for e in range(s + 1, n + 1) if e == s + 1 or rng.random() < 0.6)
+        words.append((n, edges))
+
+        def paths(at, edges=edges, n=n):
+            return [[]] if at == n else [[i, *p] for i, (e, s, _) in enumerate(edges) if s == at for p in paths(e)]
+        plain.append(sorted(((sum(edges[i][2] for i in p), p) for p in paths(0)), reverse=True))
+    x = Edges(*([[t[k] for t in edges] for _, edges in words] for k in (1, 0, 2)), [n for n, _ in words])
+    for (n, edges), first, (a, b), every in zip(words, best_paths(x), two_best_paths(x), plain):
+        value = lambda p: sum(edges[i][2] for i in p)  # noqa: E731,B023
+        assert a.tolist() == first.tolist() and np.isclose(value(a), every[0][0])
+        if len(every) == 1:
+            assert not len(b)
+        else:
+            assert a.tolist() != b.tolist() and np.isclose(value(b), every[1][0])
+            assert [edges[i][1] for i in b] == [0, *[edges[i][0] for i in b[:-1]]] and edges[b[-1]][0] == n
+
+
 def test_prune_keeps_the_costliest_pieces(spark):
     words = _words(spark)
 
