@@ -84,6 +84,22 @@ HTML_ENTITIES = ([("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp"
                     ("lsaquo", "\u2039"), ("rsaquo", "\u203a"), ("euro", "\u20ac"), ("trade", "\u2122")])
 BLANK_RUN = r"[ \t\f\x0B]+"
 
+# --- wiki markup to text (in this order; nested brackets in wikitext.py) -------
+WIKI_COMMENT = HTML_COMMENT
+WIKI_EMPTY_BLOCKS = r"(?i)<(ref|references|gallery|math)\b[^<>]*/>"
+WIKI_DROP_BLOCKS = [rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>" for tag in (
+    "ref", "references", "gallery", "math", "timeline", "syntaxhighlight", "source", "imagemap")]
+# Namespaces whose links show nothing in running text, in English,
+# Danish, Swedish, Norwegian, Icelandic, Faroese and German.
+WIKI_DROP_NAMESPACES = ("file", "image", "category", "fil", "billede", "kategori", "bild", "mynd", "flokkur",
+                        "bólkur", "datei", "kategorie")
+# [http://target label]
+WIKI_EXTERNAL = r"\[(?:[A-Za-z]+:)?//[^ \t\]\n]*[ \t]*([^\]\n]*)\]"
+WIKI_HEADING = r"(?m)^={1,6}[ \t]*(.*?)[ \t]*={1,6}[ \t]*$"
+WIKI_EMPHASIS = r"'{2,}"
+WIKI_SWITCH = r"__[A-Z]+__"
+WIKI_LIST = r"(?m)^[*#:;]+[ \t]*"
+
 # --- hash draws ---------------------------------------------------------------
 # A draw is the first 6 hex digits of an md5 as an integer in [0, 2^24).
 DRAW_HEX_DIGITS = 6

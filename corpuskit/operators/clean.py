@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.wikitext import fold_markup
 
 
 def split_lines(df: DataFrame, text_col: str = "text", keep=("doc_id", "lang", "source")) -> DataFrame:
@@ -108,6 +109,27 @@ def page_lines(pages: DataFrame, html_col: str = "html", id_col: str = "page_id"
                  .where(F.col("text") != ""))
 
 
+def wikitext_text(text: Column, drop_namespaces=P.WIKI_DROP_NAMESPACES) -> Column:
+    """Wiki markup -> plain text.  Comments, references and formula blocks
+    go first; templates and tables vanish and links become their text, nested
+    to any depth; then headings, emphasis, list marks, HTML and entities.
+    Templates are not expanded.  Null stays null."""
+    t = F.regexp_replace(F.regexp_replace(text, P.WIKI_COMMENT, ""), P.WIKI_EMPTY_BLOCKS, "")
+    for block in P.WIKI_DROP_BLOCKS:
+        t = F.regexp_replace(t, block, "")
+    t = F.regexp_replace(fold_markup(t, drop_namespaces), P.WIKI_EXTERNAL, "$1")
+    t = F.regexp_replace(F.regexp_replace(t, P.WIKI_HEADING, "$1"), P.WIKI_EMPHASIS, "")
+    t = F.regexp_replace(F.regexp_replace(t, P.WIKI_SWITCH, ""), P.WIKI_LIST, "")
+    return html_text(t)
+
+
+def wiki_lines(pages: DataFrame, text_col: str = "text", id_col: str = "page_id") -> DataFrame:
+    """Dump pages (S4) -> one row per line of running text (P1 + P2)."""
+    return (pages.select(id_col, F.posexplode(F.split(wikitext_text(F.col(text_col)), "\n", -1)).alias("line_no", "text"))
+                 .withColumn("text", F.trim("text"))
+                 .where(F.col("text") != ""))
+
+
 def drop_text(df: DataFrame, col: str = "text") -> DataFrame:
     """Drop a column (the reference pops ``text`` before inference)."""
     return df.drop(col)

@@ -151,6 +151,25 @@ def page_text(spark, d):
         "page_id", F.col("line_no").cast("bigint").alias("line_no"), "text")
 
 
+def wiki_pages(spark, d):
+    """Stand-in for dump pages: every document's text with a page's usual markup around it."""
+    docs = read_table(spark, d, "documents")
+    head = ["{{Infobox\n| lang = {{lang|", F.col("lang"), "}}\n| from = [[", F.col("source"), "]]\n}}\n'''Page ",
+            F.col("doc_id").cast("string"), "'''<ref name=a>{{cite|", F.col("source"), "}}</ref> &amp; [[", F.col("lang"),
+            "|the ", F.col("lang"), " part]]<ref name=a />\n== [[Text]] of it ==\n"]
+    tail = ["\n{| class=\"x\"\n|-\n| {{n|1}} || [[", F.col("source"), "]]\n|}\n* [[File:a.jpg|thumb|see [[", F.col("source"),
+            "|it]] {{clear}}]]''more'' at [https://example.org/ the site]\n# open {{ end\n<!-- [[x -->[[Category:",
+            F.col("lang"), "]]__NOTOC__"]
+    parts = [F.lit(x) if isinstance(x, str) else x for x in [*head, F.col("text"), *tail]]
+    return docs.select(F.col("doc_id").alias("page_id"), F.concat(*parts).alias("text"))
+
+
+@query("wikitext_lines")
+def wikitext_lines(spark, d):
+    """P1 on wiki markup: the lines of running text of every page."""
+    return clean.wiki_lines(wiki_pages(spark, d)).select("page_id", F.col("line_no").cast("bigint").alias("line_no"), "text")
+
+
 @query("corpus_concat")
 def corpus_concat(spark, d):
     docs = read_table(spark, d, "documents").select(F.col("doc_id").alias("rec_id"), F.lit(0).cast("bigint").alias("part"), "text")

@@ -488,3 +488,47 @@ SELECT doc_id, line_no, sent_no,
        array_to_string({_pad('ids128', 'm')}, ',') AS input_ids,
        array_to_string({_mask_bits('ids128', 'm')}, ',') AS attention_mask
 FROM (SELECT *, max(len(ids128)) OVER (PARTITION BY row_idx // 1000) AS m FROM seqs)""")
+
+
+def _text_lines(t0: str) -> str:
+    """Markup CTE ``t0 (page_id, t)`` -> its non-empty text lines."""
+    return f"""
+t1 AS (SELECT page_id, regexp_replace(t, {lit(P.HTML_COMMENT)}, ' ', 'g') AS t FROM {t0}),
+t2 AS (SELECT page_id, regexp_replace(t, {lit(P.HTML_BREAKS)}, chr(10), 'g') AS t FROM t1),
+t3 AS (SELECT page_id, regexp_replace(t, {lit(P.HTML_TAG)}, '', 'g') AS t FROM t2),
+t4 AS (SELECT page_id, {_entities_sql("t")} AS t FROM t3),
+t5 AS (SELECT page_id, regexp_replace(t, {lit(P.BLANK_RUN)}, ' ', 'g') AS t FROM t4),
+l AS (SELECT page_id, unnest(parts) AS x, generate_subscripts(parts, 1) - 1 AS line_no
+      FROM (SELECT page_id, string_split(t, chr(10)) AS parts FROM t5))
+SELECT page_id, line_no::BIGINT AS line_no, trim(x) AS text FROM l WHERE trim(x) <> ''"""
+
+
+def _replace_sql(col: str, *steps) -> str:
+    for pattern, new in steps:
+        col = f"regexp_replace({col}, {lit(pattern)}, {lit(new)}, 'g')"
+    return col
+
+
+# Wiki markup by rewriting: each round resolves the innermost templates, tables and
+# links, until nothing changes (text without single braces or brackets in them).
+_WIKI_ROUND = _replace_sql(
+    "t", (r"\{\{[^{}\[\]]*\}\}", ""), (r"(?m)^[ \t:]*\{\|[^{}\[\]]*\n[ \t]*\|\}", ""),
+    (r"(?i)\[\[ *(" + "|".join(P.WIKI_DROP_NAMESPACES) + r") *:[^\[\]{}]*\]\]", ""),
+    (r"\[\[:?([^\[\]{}|]+)\|?\]\]", r"\1"), (r"\[\[[^\[\]{}|]*\|([^\[\]{}]+)\]\]", r"\1"))
+_WIKI_SOURCE = """'{{Infobox' || chr(10) || '| lang = {{lang|' || lang || '}}' || chr(10) || '| from = [[' || source || ']]' ||
+  chr(10) || '}}' || chr(10) || '''''''Page ' || doc_id || '''''''<ref name=a>{{cite|' || source || '}}</ref> &amp; [[' ||
+  lang || '|the ' || lang || ' part]]<ref name=a />' || chr(10) || '== [[Text]] of it ==' || chr(10) || text || chr(10) ||
+  '{| class="x"' || chr(10) || '|-' || chr(10) || '| {{n|1}} || [[' || source || ']]' || chr(10) || '|}' || chr(10) ||
+  '* [[File:a.jpg|thumb|see [[' || source || '|it]] {{clear}}]]''''more'''' at [https://example.org/ the site]' ||
+  chr(10) || '# open {{ end' || chr(10) || '<!-- [[x -->[[Category:' || lang || ']]__NOTOC__'"""
+ORACLE["wikitext_lines"] = with_(f"""
+w0 AS (SELECT doc_id AS page_id, {_WIKI_SOURCE} AS t FROM documents),
+w1 AS (SELECT page_id, {_replace_sql("t", (P.WIKI_COMMENT, ""), (P.WIKI_EMPTY_BLOCKS, ""),
+                                     *[(b, "") for b in P.WIKI_DROP_BLOCKS])} AS t FROM w0),
+w2(page_id, k, t) AS (
+  SELECT page_id, 0, t FROM w1
+  UNION ALL SELECT page_id, k + 1, {_WIKI_ROUND} FROM w2 WHERE {_WIKI_ROUND} <> t),
+w3 AS (SELECT page_id, arg_max(t, k) AS t FROM w2 GROUP BY page_id),
+w4 AS (SELECT page_id, {_replace_sql("t", (P.WIKI_EXTERNAL, chr(92) + "1"), (P.WIKI_HEADING, chr(92) + "1"),
+                                     (P.WIKI_EMPHASIS, ""), (P.WIKI_SWITCH, ""), (P.WIKI_LIST, ""))} AS t FROM w3),
+w5 AS (SELECT page_id, {_drop_blocks_sql("t")} AS t FROM w4),""", _text_lines("w5").lstrip())
