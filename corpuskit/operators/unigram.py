@@ -55,6 +55,15 @@ def seed_pieces(words: DataFrame, seed_size: int = SEED_SIZE, max_len: int = MAX
     return seeds.withColumn("lp", F.log(F.col("score")) - F.log(total))
 
 
+def base_pieces(words: DataFrame, base: DataFrame) -> DataFrame:
+    """V7: ``(piece, lp)`` of a base vocabulary and of every character of the words."""
+    given = base.where(~F.col("special") & (F.col("token") != "")).groupBy(F.col("token").alias("piece")).agg(F.max("lp").alias("lp"))
+    low = given.select(F.min("lp") - F.lit(UNK_PENALTY)).scalar()
+    letters = words.select(F.explode(F.array_distinct(F.split("w", ""))).alias("piece")).where(F.col("piece") != "").distinct()
+    missing = letters.join(given, "piece", "left_anti").withColumn("lp", F.coalesce(low, F.lit(-UNK_PENALTY)))
+    return given.unionByName(missing)
+
+
 def unk_score(pieces: DataFrame) -> Column:
     """Score of an unknown character: the lowest piece score minus 10."""
     return pieces.select(F.min("lp") - F.lit(UNK_PENALTY)).scalar()
@@ -159,12 +168,15 @@ def finalize(pieces: DataFrame, vocab_size: int = P.VOCAB_SIZE, chars: DataFrame
 
 def train(words: DataFrame, vocab_size: int = P.VOCAB_SIZE, seed_size: int = SEED_SIZE,
           n_sub_iterations: int = N_SUB_ITERATIONS, shrinking_factor: float = SHRINKING_FACTOR,
-          log=None) -> DataFrame:
+          log=None, base: DataFrame | None = None) -> DataFrame:
     """V1-V6 end to end on a ``(w, f)`` table; returns the vocabulary table.
+    ``base`` (V7): a vocabulary table, such as a tokenizer file's, whose pieces and
+    scores are the first model in place of counted seeds; characters of the
+    words that it lacks are added at its lowest score less the unknown penalty.
     Rounds go on until the size is reached, or no piece is left to remove (the
     characters, which are all kept, may be more than the vocabulary)."""
     words = cut_lineage(words.select("w", "f"))
-    seeds = cut_lineage(seed_pieces(words, seed_size))
+    seeds = cut_lineage(seed_pieces(words, seed_size) if base is None else base_pieces(words, base))
     chars = seeds.where(F.length("piece") == 1).select("piece")
     pieces = seeds.select("piece", "lp")
     desired = int(vocab_size * DESIRED_SIZE_FACTOR)
@@ -186,12 +198,15 @@ def train(words: DataFrame, vocab_size: int = P.VOCAB_SIZE, seed_size: int = SEE
 
 def encode_words(words: DataFrame, vocab: DataFrame, col: str = "w") -> DataFrame:
     """E1 + E3: ``(w, ids, tokens, score)`` per distinct word; unknown
-    characters become ``<unk>`` and adjacent unknowns fuse into one."""
+    characters become ``<unk>`` and adjacent unknowns fuse into one, with the
+    vocabulary's own id of ``<unk>`` (``UNK_ID`` where it has none)."""
+    unk = vocab.where(F.col("special") & (F.col("token") == "<unk>")).select(F.min("id")).scalar()
+    unk = F.coalesce(unk, F.lit(P.UNK_ID)).cast("int")
     pieces = vocab.where(~F.col("special")).select(F.col("token").alias("piece"), "lp", F.col("id").alias("pid"))
     w = words.select(F.col(col).alias("w")).withColumn("f", F.lit(1))
     best = viterbi_words(w, pieces)
     path = F.filter("best.path", lambda x, i: ~(x["unk"] & (i > 0) & F.element_at(F.col("best.path"), F.greatest(i, F.lit(1)))["unk"]))
-    return (best.select(F.col("w").alias(col), path.alias("path"), F.col("best.score").alias("score"))
-                .select(col, F.transform("path", lambda x: F.when(x["unk"], F.lit(P.UNK_ID)).otherwise(x["pid"])).alias("ids"),
+    return (best.select(F.col("w").alias(col), path.alias("path"), F.col("best.score").alias("score"), unk.alias("_unk"))
+                .select(col, F.transform("path", lambda x: F.when(x["unk"], F.col("_unk")).otherwise(x["pid"])).alias("ids"),
                         F.transform("path", lambda x: F.when(x["unk"], F.lit("<unk>")).otherwise(x["piece"])).alias("tokens"),
                         "score"))
