@@ -41,6 +41,14 @@ BLANK_LINE = r"^\s*$"
 # blanks, then an upper-case letter or an opening mark.  Replaced by
 # "<group 1>\n<group 2>".
 SENTENCE_BOUNDARY = r'([.!?]+["»)\]]*)[ \t]+(\p{Lu}|[¿¡«"(])'
+# The same boundary with its blanks kept, replaced by "<1><2>\n<3>".
+SENTENCE_GAP = r'([.!?]+["»)\]]*)([ \t]+)(\p{Lu}|[¿¡«"(])'
+# A word with inner stops and, if it has one, its full stop; a stop after which
+# the sentence goes on is marked by \x01 first.
+STOP_INSIDE = r"\.([ \t]+\p{Ll}|[ \t]*,)"
+STOPPED_WORD = r"\p{L}+(?:\.\p{L}+)*(?:\.\x01?)?"
+STOP_TAIL = r"\.\x01?$"
+LAST_STOPPED_WORD = r"(?:^|[^\p{L}.])(\p{L}+(?:\.\p{L}+)*)\.[ \t]*$"
 # Word characters of the whitespace pre-tokeniser (Unicode \w).
 WORD_CLASS = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
 # White space as the pre-tokeniser sees it (Unicode White_Space).

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..operators import clean, compound, encode, evaluate, lexicon, mlm, sampling, tokens, unigram
+from ..operators import abbreviations, clean, compound, encode, evaluate, lexicon, mlm, sampling, tokens, unigram
 from ..functions.joins import lookup_join
 from ..session import cut_lineage, ensure_checkpoint_dir, read_table
 from ..sources import csv, jsonl
@@ -93,6 +93,27 @@ def sentence_split(spark, d):
                     F.col("sent_no").cast("bigint").alias("sent_no"), "sent")
 
 
+def titled_lines(spark, d):
+    """Stand-in for text with abbreviations: a title or "ca." before some words of every line."""
+    titled = F.regexp_replace(F.regexp_replace("text", r"([.!?]) (\p{Lu})", "$1 Dr. $2"), r" (\p{Ll}{9,}) ", " ca. $1 ")
+    return clean.corpus_lines(documents(spark, d)).select(
+        "doc_id", "lang", F.col("line_no").cast("bigint").alias("line_no"), titled.alias("text"))
+
+
+@query("abbreviation_list")
+def abbreviation_list(spark, d):
+    """P5: the words of the corpus that are abbreviations, with their counts."""
+    return abbreviations.abbreviations(cut_lineage(abbreviations.abbreviation_counts(titled_lines(spark, d))))
+
+
+@query("sentence_split_learnt")
+def sentence_split_learnt(spark, d):
+    """P5 with the learnt abbreviations."""
+    lines = titled_lines(spark, d)
+    s = abbreviations.split_sentences(lines, cut_lineage(abbreviations.abbreviation_counts(lines)))
+    return s.select("doc_id", "lang", "line_no", F.col("sent_no").cast("bigint").alias("sent_no"), "sent")
+
+
 @query("sentence_filter")
 def sentence_filter(spark, d):
     return kept_sentences(spark, d).select(

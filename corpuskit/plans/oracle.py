@@ -532,3 +532,39 @@ w3 AS (SELECT page_id, arg_max(t, k) AS t FROM w2 GROUP BY page_id),
 w4 AS (SELECT page_id, {_replace_sql("t", (P.WIKI_EXTERNAL, chr(92) + "1"), (P.WIKI_HEADING, chr(92) + "1"),
                                      (P.WIKI_EMPHASIS, ""), (P.WIKI_SWITCH, ""), (P.WIKI_LIST, ""))} AS t FROM w3),
 w5 AS (SELECT page_id, {_drop_blocks_sql("t")} AS t FROM w4),""", _text_lines("w5").lstrip())
+
+
+ABBREVIATIONS = LINES + f""",
+titled AS (
+  SELECT doc_id, lang, line_no::BIGINT AS line_no,
+         regexp_replace(regexp_replace(text, '([.!?]) (\\p{{Lu}})', '\\1 Dr. \\2', 'g'),
+                        ' (\\p{{Ll}}{{9,}}) ', ' ca. \\1 ', 'g') AS text
+  FROM lines),
+stops AS (
+  SELECT lang, unnest(regexp_extract_all(regexp_replace(text, {lit(P.STOP_INSIDE)}, '.' || chr(1) || '\\1', 'g'),
+                                         {lit(P.STOPPED_WORD)})) AS t FROM titled),
+counts AS (
+  SELECT lang, lower(regexp_replace(t, {lit(P.STOP_TAIL)}, '')) AS word,
+         (count(*) FILTER (regexp_matches(t, {lit(P.STOP_TAIL)})))::BIGINT AS n_stop,
+         (count(*) FILTER (NOT regexp_matches(t, {lit(P.STOP_TAIL)})))::BIGINT AS n_plain,
+         (count(*) FILTER (ends_with(t, chr(1))))::BIGINT AS n_lower
+  FROM stops GROUP BY ALL),
+abbr AS (
+  SELECT * FROM counts
+  WHERE n_stop >= 5 AND n_stop * 20000 >= (SELECT sum(n_stop) FROM counts) AND n_stop * 10 >= (n_stop + n_plain) * 9
+    AND (length(word) <= 4 OR contains(word, '.') OR n_lower * 10 >= n_stop))"""
+ORACLE["abbreviation_list"] = with_(ABBREVIATIONS, "SELECT lang, word, n_stop, n_plain, n_lower FROM abbr")
+ORACLE["sentence_split_learnt"] = with_(ABBREVIATIONS + f""",
+gaps AS (
+  SELECT doc_id, lang, line_no, unnest(parts) AS x, generate_subscripts(parts, 1) AS i
+  FROM (SELECT *, string_split(regexp_replace(text, {lit(P.SENTENCE_GAP)}, '\\1\\2' || chr(10) || '\\3', 'g'), chr(10)) AS parts
+        FROM titled)),
+open_ends AS (
+  SELECT g.*, (a.word IS NOT NULL)::BIGINT AS goes_on
+  FROM gaps g LEFT JOIN abbr a ON a.lang IS NOT DISTINCT FROM g.lang
+    AND a.word = lower(regexp_extract(g.x, {lit(P.LAST_STOPPED_WORD)}, 1))),
+numbered AS (
+  SELECT *, coalesce(sum(1 - goes_on) OVER (PARTITION BY doc_id, line_no ORDER BY i
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sent_no FROM open_ends)""", """
+SELECT doc_id, lang, line_no, sent_no, trim(string_agg(x, '' ORDER BY i)) AS sent FROM numbered
+GROUP BY doc_id, lang, line_no, sent_no""")
