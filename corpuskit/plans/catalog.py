@@ -518,6 +518,11 @@ def vocab_pruned(spark, d):
     return unigram.train(training_words(spark, d), vocab_size=P.VOCAB_SIZE // 2)
 
 
+def _trained_vocab(spark, d):
+    """The vocabulary after all rounds of EM and pruning (V1-V6)."""
+    return unigram.train(training_words(spark, d), vocab_size=P.VOCAB_SIZE)
+
+
 def _seed_vocab(spark, d):
     return cut_lineage(unigram.finalize(_seed_model(spark, d), P.VOCAB_SIZE))
 
@@ -529,9 +534,30 @@ def unigram_viterbi(spark, d):
                       F.round("score", 6).alias("score"))
 
 
+@query("encode_unk")
+def encode_unk(spark, d):
+    """Words of the whole corpus encoded with a vocabulary of the benchmark
+    items; those with characters that it lacks, and their unknown ids."""
+    items = read_table(spark, d, "benchmark").select(F.col("text").alias("sent"))
+    seeds = cut_lineage(unigram.seed_pieces(_table_words(items)).select("piece", "lp"))
+    vocab = cut_lineage(unigram.finalize(seeds, P.VOCAB_SIZE, seeds.where(F.length("piece") == 1)))
+    enc = unigram.encode_words(corpus_words(spark, d).select("w"), vocab)
+    unknown = F.filter("ids", lambda x: x == P.UNK_ID)
+    return enc.select("w", F.size(unknown).cast("bigint").alias("n_unk")).where(F.col("n_unk") > 0)
+
+
 @query("encode_docs")
 def encode_docs(spark, d):
-    vocab = _seed_vocab(spark, d)
+    return _encoded_docs(spark, d, _seed_vocab(spark, d))
+
+
+@query("encode_trained")
+def encode_trained(spark, d):
+    """E2-E6 with the trained vocabulary."""
+    return _encoded_docs(spark, d, _trained_vocab(spark, d))
+
+
+def _encoded_docs(spark, d, vocab):
     sents = split_sentences_table(spark, d)
     words = _table_words(sents)
     splits = compound.compound_splits(words.select("w"), dictionaries(spark, d))
@@ -545,7 +571,34 @@ def encode_docs(spark, d):
 
 @query("corpus_perplexity")
 def corpus_perplexity(spark, d):
-    vocab = _seed_vocab(spark, d)
+    return _perplexity(spark, d, _seed_vocab(spark, d))
+
+
+@query("trained_perplexity")
+def trained_perplexity(spark, d):
+    """Q5 under the trained vocabulary."""
+    return _perplexity(spark, d, _trained_vocab(spark, d))
+
+
+@query("tokeniser_compare_trained")
+def tokeniser_compare_trained(spark, d):
+    """E11, third column: per language, the trained Unigram tokens of the compound
+    parts, the share of pre-tokens that stay whole, and the pieces in use."""
+    toks = sentence_tokens(spark, d).select("lang", F.col("token").alias("w"))
+    per = cut_lineage(toks.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("f")))
+    words = cut_lineage(per.select("w").distinct())
+    splits = compound.compound_splits(words, dictionaries(spark, d))
+    ids = cut_lineage(encode.word_ids_unigram(words, _trained_vocab(spark, d), splits))
+    joined = lookup_join(per, ids, "w", "left", salt_cols=["lang"])
+    counts = joined.groupBy("lang").agg(
+        F.sum("f").alias("n_pretokens"), F.sum(F.col("f") * F.size("ids")).cast("bigint").alias("n_unigram_tokens"),
+        F.round(F.sum(F.when(F.size("ids") == 1, F.col("f")).otherwise(0)) / F.sum("f"), 6).alias("share_whole"))
+    types = joined.select("lang", F.explode("ids").alias("id")).distinct().groupBy("lang").agg(
+        F.count(F.lit(1)).alias("n_piece_types"))
+    return counts.join(types, "lang")
+
+
+def _perplexity(spark, d, vocab):
     words = corpus_words(spark, d)
     enc = cut_lineage(unigram.encode_words(words.select("w"), vocab).select("w", "score", F.size("ids").alias("n_pieces")))
     toks = sentence_tokens(spark, d).select("lang", "doc_id", "line_no", "sent_no", "tok_no", F.col("token").alias("w"))

@@ -568,3 +568,12 @@ numbered AS (
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sent_no FROM open_ends)""", """
 SELECT doc_id, lang, line_no, sent_no, trim(string_agg(x, '' ORDER BY i)) AS sent FROM numbered
 GROUP BY doc_id, lang, line_no, sent_no""")
+
+# Every known character is a piece of its own, so unknown ids are the runs of unknown characters.
+ORACLE["encode_unk"] = with_(TOKS + """,
+letters AS (SELECT w, i, substr(w, i::BIGINT, 1) AS c FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM words)),
+item_words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), """ + TOKEN + """)) AS w FROM benchmark),
+known AS (SELECT DISTINCT substr(w, i::BIGINT, 1) AS c FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM item_words)),
+flags AS (SELECT w, i, (c NOT IN (SELECT c FROM known)) AS unk FROM letters),
+starts AS (SELECT w, (unk AND NOT lag(unk, 1, false) OVER (PARTITION BY w ORDER BY i)) AS s FROM flags)""", """
+SELECT w, (count(*) FILTER (s))::BIGINT AS n_unk FROM starts GROUP BY w HAVING count(*) FILTER (s) > 0""")
