@@ -14,18 +14,27 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType
 
 
 class Edges:
     """The edges of a batch of words: ``word``, ``start``, ``end``, ``lp``."""
 
     def __init__(self, starts, ends, lps, n):
-        self.size = np.array([len(x) for x in starts], np.int64)
         flat = lambda x, t: np.concatenate([np.asarray(v, t) for v in x]) if len(x) else np.zeros(0, t)
+        self._lay([len(x) for x in starts], flat(starts, np.int64), flat(ends, np.int64), flat(lps, np.float64), n)
+
+    @classmethod
+    def flat(cls, size, start, end, lp, n) -> Edges:
+        """From arrays that already lie end to end, ``size`` edges per word."""
+        x = cls.__new__(cls)
+        x._lay(size, start, end, lp, n)
+        return x
+
+    def _lay(self, size, start, end, lp, n) -> None:
+        self.size, self.n = np.asarray(size, np.int64), np.asarray(n, np.int64)
         self.word = np.repeat(np.arange(len(self.size)), self.size)
-        self.start, self.end, self.lp = flat(starts, np.int64), flat(ends, np.int64), flat(lps, np.float64)
-        self.n = np.asarray(n, np.int64)
+        self.start, self.end, self.lp = start, end, lp
         self.width = int(self.n.max()) + 1 if len(self.n) else 1
         self.first = np.cumsum(self.size) - self.size
 
@@ -40,9 +49,6 @@ class Edges:
                 w = self.word[at]
                 yield p, at, np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
 
-    def split(self, values: np.ndarray) -> list[np.ndarray]:
-        return np.split(values, self.first[1:]) if len(self.first) else []
-
 
 def _log_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     top = np.maximum.reduceat(values, first)
@@ -129,17 +135,6 @@ def two_best_paths(x: Edges) -> list[list[np.ndarray]]:
     return [list(pair) for pair in zip(*out)]
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def edge_posteriors(starts: pd.Series, ends: pd.Series, lps: pd.Series, n: pd.Series, f: pd.Series) -> pd.Series:
-    x = Edges(starts, ends, lps, n)
-    return pd.Series(x.split(posteriors(x, f.to_numpy(np.float64))), index=n.index, dtype=object)
-
-
 @F.pandas_udf(ArrayType(IntegerType()))
 def viterbi_path(starts: pd.Series, ends: pd.Series, lps: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(best_paths(Edges(starts, ends, lps, n)), index=n.index, dtype=object)
-
-
-@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
-def two_viterbi_paths(starts: pd.Series, ends: pd.Series, lps: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series(two_best_paths(Edges(starts, ends, lps, n)), index=n.index, dtype=object)

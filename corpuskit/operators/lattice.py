@@ -1,13 +1,12 @@
-"""The word lattice: one primitive behind the E-step, Viterbi and pruning.
+"""The word lattice behind the best segmentation (training keeps its own, ``kept_lattice``).
 
 For each *distinct* word, its substrings up to ``max_piece_length`` that are
 pieces of the vocabulary become edges ``(s, e, piece, lp)``; a one-character
 substring that is no piece becomes an *unknown* edge with a penalty score, so
 every position is reachable.  Edges are grouped per word (the word table is
 hash-partitioned by word, so the grouping reuses that partitioning) and a
-fold over the edges sorted by end position computes, per position, either
-the log-sum-exp (forward / backward) or the maximum with a back pointer
-(Viterbi).  That fold is a numpy kernel over Arrow batches of words, with no
+fold over the edges sorted by end position keeps, per position, the maximum
+with a back pointer (Viterbi).  That fold is a numpy kernel over Arrow batches of words, with no
 Python step per word or edge.
 """
 
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.joins import bounded_broadcast
-from ..functions.lattice_kernels import edge_posteriors, two_viterbi_paths, viterbi_path
+from ..functions.lattice_kernels import viterbi_path
 
 # --- fixed values: defaults of the Unigram trainer ---------------------------
 MAX_PIECE_LENGTH = 16
@@ -35,6 +34,14 @@ def substrings(words: DataFrame, max_len: int = MAX_PIECE_LENGTH, col: str = "w"
                  .withColumn("s", F.col("s").cast("int")).withColumn("e", F.col("e").cast("int")))
 
 
+def by_word(words: DataFrame, col: str = "w") -> DataFrame:
+    """Words hash-partitioned over a fixed number of tasks: they are small, their
+    substrings are not, so sizes measured before the explode say little."""
+    spark = words.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return words.repartition(tasks, col)
+
+
 def lattice_edges(words: DataFrame, pieces: DataFrame, unk_lp: Column | float,
                   max_len: int = MAX_PIECE_LENGTH, col: str = "w") -> DataFrame:
     """Edges of every word; ``pieces`` has ``(piece, lp)`` and optionally ``pid``.
@@ -46,7 +53,7 @@ def lattice_edges(words: DataFrame, pieces: DataFrame, unk_lp: Column | float,
     if "pid" not in pieces.columns:
         pieces = pieces.withColumn("pid", F.lit(None).cast("int"))
     table, _ = bounded_broadcast(pieces.select("piece", "lp", "pid"))
-    subs = substrings(words.repartition(col), max_len, col)
+    subs = substrings(by_word(words, col), max_len, col)
     unk = unk_lp if isinstance(unk_lp, Column) else F.lit(float(unk_lp))
     return (subs.join(table, "piece", "left")
                 .where(F.col("lp").isNotNull() | (F.col("e") - F.col("s") == 1))
@@ -77,19 +84,3 @@ def with_viterbi(df: DataFrame, edges: str = "edges", n: str = "n", out: str = "
               .withColumn(out, F.struct(F.aggregate("_path", F.lit(0.0), lambda acc, x: acc + x["lp"]).alias("score"),
                                         F.col("_path").alias("path")))
               .drop("_idx", "_path"))
-
-
-def with_two_best(df: DataFrame, edges: str = "edges", n: str = "n") -> DataFrame:
-    """Adds ``first`` and ``second`` = array<EDGE>, the two best segmentations, from one
-    lattice."""
-    s, e, lp = _arrays(F.col(edges))
-    df = df.withColumn("_idx", two_viterbi_paths(s, e, lp, F.col(n)))
-    path = lambda k: F.transform(F.col("_idx")[k], lambda i: F.element_at(F.col(edges), i + 1))
-    return df.withColumns({"first": path(0), "second": path(1)}).drop("_idx")
-
-
-def with_expected_counts(df: DataFrame, edges: str = "edges", n: str = "n", f: str = "f") -> DataFrame:
-    """E-step per word: adds ``c`` = array<double>, ``f * P(edge | word)`` for
-    every edge of ``edges`` in the same order (forward-backward kernel)."""
-    s, e, lp = _arrays(F.col(edges))
-    return df.withColumn("c", edge_posteriors(s, e, lp, F.col(n), F.col(f).cast("double")))

@@ -6,8 +6,8 @@ the *distinct-word* table ``(w, f)`` (Kudo 2018, "Subword Regularization"):
 * V2 seeds: every substring (at most 16 characters) of every word, counted
   with the word's frequency by ``groupBy(piece)``; characters always kept,
   longer substrings if seen twice; score ``freq * length``; top ``seed_size``.
-* V3 E-step: forward-backward on each word's lattice -> expected counts,
-  summed by ``groupBy(piece)``.
+* V3 E-step: forward-backward on each word's lattice, which is built once
+  (``kept_lattice``) -> expected counts, summed per task, then by ``groupBy``.
 * V4 M-step: drop expected counts below 0.5, ``lp = digamma(c) - digamma(sum c)``.
 * V5 prune: Viterbi frequencies, the best alternative segmentation of each
   piece, and the loss of removing it; keep the top ``max(1.1 x target,
@@ -20,16 +20,17 @@ checkpoint in the shared checkpoint folder.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.joins import lookup_join
 from ..functions.numeric import digamma
 from ..functions.ranking import global_rank, top_k
 from ..session import cut_lineage
-from .lattice import (MAX_PIECE_LENGTH, UNK_PENALTY, collect_edges, lattice_edges, substrings, with_two_best,
-                      with_expected_counts, with_viterbi)
+from . import kept_lattice as K
+from .lattice import MAX_PIECE_LENGTH, UNK_PENALTY, collect_edges, lattice_edges, substrings, with_viterbi
 
 # --- fixed values: defaults of the Unigram trainer ----------------------------
 SEED_SIZE = 1_000_000
@@ -78,12 +79,10 @@ def word_lattices(words: DataFrame, pieces: DataFrame, keys=("w", "f")) -> DataF
 
 def e_step(words: DataFrame, pieces: DataFrame) -> DataFrame:
     """V3: expected count ``c`` per piece over all segmentations of all words."""
-    lat = with_expected_counts(word_lattices(words, pieces))
-    # inline (not explode + field access): each array is read once
-    flat = lat.select(F.inline(F.arrays_zip(F.transform("edges", lambda x: x["piece"]).alias("piece"),
-                                            F.transform("edges", lambda x: x["unk"]).alias("unk"),
-                                            F.col("c").alias("c"))))
-    return flat.where(~F.col("unk")).groupBy("piece").agg(F.sum("c").alias("c"))
+    numbered = K.number_pieces(pieces)
+    lp = K.dense(numbered, numbered.count())
+    counts = K.expected_counts(K.word_lattice(words, numbered), lp)
+    return counts.join(numbered.select("k", "piece"), "k").select("piece", "c")
 
 
 def m_step(counts: DataFrame, threshold: float = EXPECTED_FREQUENCY_THRESHOLD) -> DataFrame:
@@ -98,6 +97,19 @@ def viterbi_words(words: DataFrame, pieces: DataFrame, keys=("w", "f")) -> DataF
     return with_viterbi(word_lattices(words, pieces, keys))
 
 
+def _keep(numbered: DataFrame, lp, vf, pieces_lat: DataFrame, n_words: float, desired_size: int,
+          shrinking_factor: float) -> DataFrame:
+    """``k`` of the pieces that a pruning keeps."""
+    current = int(np.isfinite(lp).sum())
+    pruned_size = max(desired_size, int(shrinking_factor * current))
+    chars = numbered.where(F.length("piece") == 1).join(_table(numbered.sparkSession, lp), "k", "left_semi").select("k")
+    room = max(pruned_size - chars.count(), 0)
+    # the losses feed a histogram and a selection: computed once; numbers follow the
+    # pieces' order, so ties go to the first piece
+    cands = cut_lineage(K.losses(pieces_lat, lp, vf, n_words))
+    return chars.unionByName(top_k(cands, "loss", ["k"], room).select("k"))
+
+
 def prune(words: DataFrame, pieces: DataFrame, desired_size: int,
           shrinking_factor: float = SHRINKING_FACTOR) -> DataFrame:
     """V5: keep the pieces whose removal would cost the most likelihood.
@@ -105,41 +117,13 @@ def prune(words: DataFrame, pieces: DataFrame, desired_size: int,
     Single characters are always kept; a piece never used by a best
     segmentation is dropped; a piece whose own best segmentation is not
     itself is dropped; the rest are ranked by loss."""
-    current = pieces.count()
-    pruned_size = max(desired_size, int(shrinking_factor * current))
-    # Viterbi frequency of every piece over the corpus
-    best = viterbi_words(words, pieces)
-    vfreq = (best.select("f", F.explode("best.path").alias("x")).where(~F.col("x.unk"))
-                 .groupBy(F.col("x.piece").alias("piece")).agg(F.sum("f").cast("double").alias("vf")))
-    vfreq = cut_lineage(vfreq)
-    vsum = words.select(F.sum("f").cast("double")).scalar()
-    total = vfreq.select(F.sum("vf")).scalar()
-    multi = pieces.where(F.length("piece") > 1).select(F.col("piece").alias("w"), F.lit(1).alias("f"))
-    # one lattice of the pieces gives whether a piece is its own best segmentation, and
-    # if so the best other one
-    own = (with_two_best(word_lattices(multi.join(vfreq.select(F.col("piece").alias("w")), "w"), pieces))
-           .where(F.size("first") == 1))
-    alt = (own.select(F.col("w").alias("piece"), F.posexplode("second").alias("k", "x"))
-              .select("piece", "k", F.col("x.piece").alias("alt_piece"), F.col("x.unk").alias("alt_unk")))
-    mine = vfreq.select("piece", F.col("vf").alias("vf_i"))
-    # single letters are in most alternatives: a lookup that splits hot keys
-    alt = lookup_join(alt.join(mine, "piece"), vfreq.select(F.col("piece").alias("alt_piece"), F.col("vf").alias("vf_n")),
-                      "alt_piece", "left", salt_cols=["piece", "k"])
-    alt = (alt
-              .withColumn("vf_n", F.when(F.col("alt_unk"), F.lit(0.0)).otherwise(F.coalesce("vf_n", F.lit(0.0)))))
-    loss = (alt.groupBy("piece", "vf_i")
-               .agg(F.count(F.lit(1)).alias("n_alt"), F.sum(F.log(F.col("vf_n") + F.col("vf_i"))).alias("sum_ln"))
-               .withColumn("logsum_alt", F.log(total + F.col("vf_i") * (F.col("n_alt") - 1)))
-               .withColumn("logprob_alt", F.col("sum_ln") - F.col("n_alt") * F.col("logsum_alt"))
-               .withColumn("logprob_sp", F.log("vf_i") - F.log(total))
-               .withColumn("loss", F.col("vf_i") / vsum * (F.col("logprob_sp") - F.col("logprob_alt")))
-               .select("piece", "loss"))
-    cands = pieces.where(F.length("piece") > 1).join(loss, "piece", "inner")
-    chars = pieces.where(F.length("piece") == 1)
-    room = max(pruned_size - chars.count(), 0)
-    # the losses feed a histogram and a selection: computed once
-    best = top_k(cut_lineage(cands.select(*pieces.columns, "loss")), "loss", ["piece"], room)
-    return chars.unionByName(best.select(*pieces.columns))
+    numbered = K.number_pieces(pieces)
+    lp = K.dense(numbered, numbered.count())
+    vf = K.dense(K.viterbi_counts(K.word_lattice(words, numbered), lp), len(lp), "c")
+    n_words = words.agg(F.sum("f").cast("double")).first()[0] or 0.0
+    keep = _keep(numbered, lp, vf, K.piece_lattice(numbered), n_words, desired_size, shrinking_factor)
+    kept = numbered.join(keep, "k", "left_semi").select("piece")
+    return pieces.join(kept, "piece", "left_semi")
 
 
 def finalize(pieces: DataFrame, vocab_size: int = P.VOCAB_SIZE, chars: DataFrame | None = None) -> DataFrame:
@@ -166,6 +150,12 @@ def finalize(pieces: DataFrame, vocab_size: int = P.VOCAB_SIZE, chars: DataFrame
     return specials.unionByName(body)
 
 
+def _table(spark, lp: np.ndarray) -> DataFrame:
+    """``(k, lp)`` of the pieces that have a score."""
+    k = np.flatnonzero(np.isfinite(lp))
+    return spark.createDataFrame(pa.table({"k": pa.array(k, pa.int32()), "lp": pa.array(lp[k], pa.float64())}))
+
+
 def train(words: DataFrame, vocab_size: int = P.VOCAB_SIZE, seed_size: int = SEED_SIZE,
           n_sub_iterations: int = N_SUB_ITERATIONS, shrinking_factor: float = SHRINKING_FACTOR,
           log=None, base: DataFrame | None = None) -> DataFrame:
@@ -178,21 +168,33 @@ def train(words: DataFrame, vocab_size: int = P.VOCAB_SIZE, seed_size: int = SEE
     words = cut_lineage(words.select("w", "f"))
     seeds = cut_lineage(seed_pieces(words, seed_size) if base is None else base_pieces(words, base))
     chars = seeds.where(F.length("piece") == 1).select("piece")
-    pieces = seeds.select("piece", "lp")
     desired = int(vocab_size * DESIRED_SIZE_FACTOR)
+    n_words = words.agg(F.sum("f").cast("double")).first()[0] or 0.0
+    numbered = K.number_pieces(seeds)
+    lp = K.dense(numbered, numbered.count())
+    lat = cut_lineage(K.word_lattice(words, numbered))
+    pieces_lat = None
     rnd = 0
     while True:
         for _ in range(n_sub_iterations):
-            pieces = cut_lineage(m_step(e_step(words, pieces)).select("piece", "lp"))
-        size = pieces.count()
+            model = cut_lineage(m_step(K.expected_counts(lat, lp)))
+            lp = K.dense(model, len(lp))
+        size = int(np.isfinite(lp).sum())
         if log:
             log(f"round {rnd}: {size} pieces")
         if size <= desired:
             break
-        pieces = cut_lineage(prune(words, pieces, desired, shrinking_factor))
-        if pieces.count() >= size:
+        if pieces_lat is None:
+            pieces_lat = cut_lineage(K.piece_lattice(numbered))
+        vf = K.dense(K.viterbi_counts(lat, lp), len(lp), "c")
+        kept = K.dense(_keep(numbered, lp, vf, pieces_lat, n_words, desired, shrinking_factor).withColumn("one", F.lit(1)),
+                       len(lp), "one")
+        lp = np.where(np.isnan(kept), np.nan, lp)
+        if np.isfinite(lp).sum() >= size:
             break
+        lat, pieces_lat = cut_lineage(K.thin(lat, lp)), cut_lineage(K.thin(pieces_lat, lp))
         rnd += 1
+    pieces = numbered.select("piece", "k").join(_table(numbered.sparkSession, lp), "k").select("piece", "lp")
     return cut_lineage(finalize(pieces, vocab_size, chars))
 
 
