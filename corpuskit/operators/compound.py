@@ -11,7 +11,8 @@ Spark plan, per *distinct* word (never per occurrence):
 
 1. candidate edges ``(j, p)``: ``w[p]`` is an interfix and ``w[j:p]`` is in the
    small list -- an explode of bounded width (``p - j`` is at most the longest
-   small word) and a broadcast (size-checked) semi join;
+   small word) and a broadcast (size-checked) semi join; a list too large for
+   that meets the distinct substrings only (``in_list``);
 2. terminals ``t``: ``w[t:]`` is in the full list -- the same, with the full list;
 3. one ``groupBy(w)`` (words arrive hash-partitioned by ``w``, so it adds no
    shuffle) and a dynamic programme in one ``aggregate`` fold: edges by start
@@ -25,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.joins import bounded_broadcast, lookup_join
+from ..functions.joins import BROADCAST_ROWS, bounded_broadcast, lookup_join
+from ..session import cut_lineage
 
 
 def check_interfixes(interfixes) -> list[str]:
@@ -41,12 +43,24 @@ def _list(dicts: DataFrame, kind: str) -> DataFrame:
     return dicts.where(F.col("kind") == kind).select(F.col("word").alias("sub")).distinct()
 
 
-def split_edges(words: DataFrame, dicts: DataFrame, interfixes=P.DEFAULT_INTERFIXES, col: str = "w") -> DataFrame:
+def in_list(subs: DataFrame, listed: DataFrame, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``subs`` (one per place in a word) whose ``sub`` is in the list.  A list
+    proven small is broadcast.  Past that the distinct substrings meet the list,
+    so that one in every word is a single row of that join, and what was found goes
+    back to the words by ``lookup_join``, which salts the frequent ones."""
+    table, small = bounded_broadcast(listed, max_broadcast_rows)
+    if small:
+        return subs.join(table, "sub", "left_semi")
+    counted = subs.groupBy("sub").agg(F.count(F.lit(1)).alias("f"))
+    found = cut_lineage(counted.join(listed, "sub", "left_semi"))
+    return lookup_join(subs, found.select("sub"), "sub", "inner", freq=found, max_broadcast_rows=max_broadcast_rows)
+
+
+def split_edges(words: DataFrame, dicts: DataFrame, interfixes=P.DEFAULT_INTERFIXES, col: str = "w",
+                max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """C1 + L10: rows ``(w, e_kind, a, b)``; ``edge`` rows are cuts ``(j, p)``,
     ``term`` rows are terminal starts ``(t, -)``."""
     interfixes = check_interfixes(interfixes)
-    small, _ = bounded_broadcast(_list(dicts, "small"))
-    full, _ = bounded_broadcast(_list(dicts, "full"))
     # longest word of each list, as scalar subqueries (bound the head width)
     max_small = F.coalesce(dicts.where(F.col("kind") == "small").select(F.max("length")).scalar(), F.lit(0))
     max_full = F.coalesce(dicts.where(F.col("kind") == "full").select(F.max("length")).scalar(), F.lit(0))
@@ -57,16 +71,14 @@ def split_edges(words: DataFrame, dicts: DataFrame, interfixes=P.DEFAULT_INTERFI
                 .where(F.substring("w", F.col("p") + 1, 1).isin(*interfixes)))
     heads = (cuts.select("w", "p", F.explode(F.sequence(F.greatest(F.lit(0), F.col("p") - max_small),
                                                         F.col("p") - 1)).alias("j"))
-                 .withColumn("sub", F.expr("substring(w, j + 1, p - j)"))
-                 .join(small, "sub", "left_semi")
-                 .select("w", F.lit("edge").alias("e_kind"), F.col("j").cast("int").alias("a"),
-                         F.col("p").cast("int").alias("b")))
+                 .withColumn("sub", F.expr("substring(w, j + 1, p - j)")))
+    heads = (in_list(heads, _list(dicts, "small"), max_broadcast_rows)
+             .select("w", F.lit("edge").alias("e_kind"), F.col("j").cast("int").alias("a"), F.col("p").cast("int").alias("b")))
     terms = (cuts.select("w", (F.col("p") + 1).alias("t"))
                  .where(F.length("w") - F.col("t") < max_full + 1)
-                 .withColumn("sub", F.expr("substring(w, t + 1)"))
-                 .join(full, "sub", "left_semi")
-                 .select("w", F.lit("term").alias("e_kind"), F.col("t").cast("int").alias("a"),
-                         F.lit(-1).alias("b")))
+                 .withColumn("sub", F.expr("substring(w, t + 1)")))
+    terms = (in_list(terms, _list(dicts, "full"), max_broadcast_rows)
+             .select("w", F.lit("term").alias("e_kind"), F.col("t").cast("int").alias("a"), F.lit(-1).alias("b")))
     return heads.unionByName(terms)
 
 
@@ -103,10 +115,11 @@ def parts_of(w: Column, cuts: Column) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), k), piece))
 
 
-def compound_splits(words: DataFrame, dicts: DataFrame, interfixes=P.DEFAULT_INTERFIXES, col: str = "w") -> DataFrame:
+def compound_splits(words: DataFrame, dicts: DataFrame, interfixes=P.DEFAULT_INTERFIXES, col: str = "w",
+                    max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """C1-C3 on a distinct-word table: ``(w, cuts, parts)`` for every word that
     splits (words that do not split have no row)."""
-    e = split_edges(words, dicts, interfixes, col)
+    e = split_edges(words, dicts, interfixes, col, max_broadcast_rows)
     grouped = (e.groupBy("w").agg(
         F.array_sort(F.collect_list(F.when(F.col("e_kind") == "edge",
                                            F.struct((-F.col("a")).alias("nj"), F.col("b").alias("p"))))).alias("edges"),

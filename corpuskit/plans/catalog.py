@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..operators import abbreviations, clean, compound, encode, evaluate, lexicon, mlm, sampling, tokens, unigram
 from ..functions.joins import lookup_join
-from ..session import cut_lineage, ensure_checkpoint_dir, read_table
+from ..session import cut_lineage, ensure_checkpoint_dir, read_table, table_path
 from ..sources import csv, jsonl
+from ..streaming import encoding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -557,6 +558,22 @@ def encode_trained(spark, d):
     return _encoded_docs(spark, d, _trained_vocab(spark, d))
 
 
+@query("encode_stream")
+def encode_stream(spark, d):
+    """E2-E5 on a stream of the documents' files, a word encoded once in its life; the
+    vocabulary is that of ``encode_docs``."""
+    folder = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    table = spark.read.parquet(table_path(d, "documents")).select("doc_id", "lang", "source", "text")
+    # as a pattern: a stream's source may then be a folder or a single file
+    source = table_path(d, "document[s]")
+    files = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 16).parquet(source)
+    sents = clean.sentences(files).select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in SENT_KEY[1:]], "sent")
+    encoder = encoding.Encoder(spark, _seed_vocab(spark, d), SENT_KEY, f"{folder}/words", f"{folder}/ids",
+                               dictionaries(spark, d), max_length=128)
+    encoding.start_encoding(sents, encoder, folder, once=True).awaitTermination()
+    return encoder.encoded().select(*SENT_KEY, _join_ints(F.col("input_ids")).alias("input_ids"))
+
+
 def _encoded_docs(spark, d, vocab):
     sents = split_sentences_table(spark, d)
     words = _table_words(sents)

@@ -472,23 +472,32 @@ all_words AS MATERIALIZED (SELECT w, f, (row_number() OVER (ORDER BY w))::INTEGE
 SELECT lang, count(*)::BIGINT AS n_words, sum(len(ids))::BIGINT AS n_pieces, round(exp(-sum(score) / sum(len(ids))), 4) AS perplexity
 FROM toks JOIN ways ON ways.w = toks.token GROUP BY lang""")
 
-ORACLE["encode_docs"] = with_(SEEDS + SEED_VOCAB + _viterbi("train_words") + SPLIT_ROWS[len(SENTS):] + """,
+
+def _encoded(where: str = "") -> str:
+    """Up to ``seqs``: the wrapped ids of the sentences, by the seed vocabulary."""
+    return SEEDS + SEED_VOCAB + _viterbi("train_words") + SPLIT_ROWS[len(SENTS):] + """,
 word_parts AS (
   SELECT w, unnest(parts) AS part, generate_subscripts(parts, 1) AS j
   FROM (SELECT words.w, coalesce(s.parts, [words.w]) AS parts FROM words LEFT JOIN split_parts s ON s.w = words.w)),
 word_ids AS MATERIALIZED (
   SELECT word_parts.w, flatten(list(ways.ids ORDER BY j)) AS ids FROM word_parts JOIN ways ON ways.w = part GROUP BY word_parts.w),
-seqs AS (
+""" + f"""seqs AS (
   SELECT r.doc_id, r.line_no, r.sent_no, any_value(r.row_idx) AS row_idx,
          list_concat([1], coalesce(flatten(list(word_ids.ids ORDER BY tok_no) FILTER (WHERE t.token IS NOT NULL)), [])[1:126], [2]) AS ids128
   FROM split_rows r LEFT JOIN toks t ON t.doc_id = r.doc_id AND t.line_no = r.line_no AND t.sent_no = r.sent_no
        LEFT JOIN word_ids ON word_ids.w = t.token
-  WHERE r.split = 'train' GROUP BY r.doc_id, r.line_no, r.sent_no)""", f"""
+  {where} GROUP BY r.doc_id, r.line_no, r.sent_no)"""
+
+
+ORACLE["encode_docs"] = with_(_encoded("WHERE r.split = 'train'"), f"""
 SELECT doc_id, line_no, sent_no,
        array_to_string({_pad('ids128', 'm')}, ',') AS input_ids,
        array_to_string({_mask_bits('ids128', 'm')}, ',') AS attention_mask
 FROM (SELECT *, max(len(ids128)) OVER (PARTITION BY row_idx // 1000) AS m FROM seqs)""")
 
+ORACLE["encode_stream"] = with_(_encoded(), """
+SELECT doc_id, line_no, sent_no, array_to_string(ids128, ',') AS input_ids FROM seqs""")
+
 
 def _text_lines(t0: str) -> str:
     """Markup CTE ``t0 (page_id, t)`` -> its non-empty text lines."""

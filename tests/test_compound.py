@@ -86,3 +86,14 @@ def test_brute_force_random(spark):
 def test_two_letter_interfix_rejected():
     with pytest.raises(ValueError):
         compound.check_interfixes(["e", "er"])
+
+
+def test_lists_past_the_broadcast_limit(spark):
+    rng = random.Random(11)
+    letters = lambda k: "".join(rng.choice("aens") for _ in range(k))
+    small, full = sorted({letters(rng.randint(1, 3)) for _ in range(40)}), sorted({letters(rng.randint(1, 4)) for _ in range(60)})
+    # one head in most words: a hot substring
+    words = spark.createDataFrame([(w,) for w in sorted({"ans" + letters(rng.randint(2, 8)) for _ in range(300)} | {letters(7) for _ in range(100)})], "w string")
+    dicts = _dicts(spark, small, full)
+    rows = lambda limit: sorted((r.w, r.parts) for r in compound.compound_splits(words, dicts, max_broadcast_rows=limit).collect())
+    assert rows(0) == rows(1000) and len(rows(0)) > 20
