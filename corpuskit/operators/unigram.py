@@ -3,9 +3,10 @@
 The reference calls a library trainer; here every step is a Spark job over
 the *distinct-word* table ``(w, f)`` (Kudo 2018, "Subword Regularization"):
 
-* V2 seeds: every substring (at most 16 characters) of every word, counted
-  with the word's frequency by ``groupBy(piece)``; characters always kept,
-  longer substrings if seen twice; score ``freq * length``; top ``seed_size``.
+* V2 seeds: the substrings (at most 16 characters) of every word, counted
+  with the word's frequency by ``groupBy(piece)``, length after length where
+  their parts were seen twice; characters always kept, longer substrings if
+  seen twice; score ``freq * length``; top ``seed_size``.
 * V3 E-step: forward-backward on each word's lattice, which is built once
   (``kept_lattice``) -> expected counts, summed per task, then by ``groupBy``.
 * V4 M-step: drop expected counts below 0.5, ``lp = digamma(c) - digamma(sum c)``.
@@ -20,17 +21,20 @@ checkpoint in the shared checkpoint folder.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
+from ..functions.joins import lookup_join
 from ..functions.numeric import digamma
 from ..functions.ranking import global_rank, top_k
 from ..session import cut_lineage
 from . import kept_lattice as K
-from .lattice import MAX_PIECE_LENGTH, UNK_PENALTY, collect_edges, lattice_edges, substrings, with_viterbi
+from .lattice import MAX_PIECE_LENGTH, UNK_PENALTY, by_word, collect_edges, lattice_edges, with_viterbi
 
 # --- fixed values: defaults of the Unigram trainer ----------------------------
 SEED_SIZE = 1_000_000
@@ -39,13 +43,48 @@ N_SUB_ITERATIONS = 2
 EXPECTED_FREQUENCY_THRESHOLD = 0.5
 DESIRED_SIZE_FACTOR = 1.1
 
+#: Lengths at which the counting of seeds stops to drop what is rare.
+SEED_STEPS = (8,)
+
+
+def _stretches(subs: DataFrame, frequent: DataFrame, length: int) -> DataFrame:
+    """``(w, f, a, b)``: the longest stretches ``w[a:b]`` all of whose substrings of that
+    length are ``frequent``, if longer than one of them."""
+    found = lookup_join(subs.select("w", "f", "s", "piece"), frequent.select("piece"), "piece", "inner", salt_cols=["w", "s"])
+    place = F.row_number().over(Window.partitionBy("w").orderBy("s"))
+    return (found.select("w", "f", "s", (F.col("s") - place).alias("run"))
+                 .groupBy("w", "f", "run").agg(F.min("s").alias("a"), (F.max("s") + length).alias("b"))
+                 .where(F.col("b") - F.col("a") > length).select("w", "f", "a", "b"))
+
+
+def counted_substrings(words: DataFrame, max_len: int = MAX_PIECE_LENGTH, steps=SEED_STEPS) -> DataFrame:
+    """``(piece, freq)`` of all characters and of the substrings seen twice.
+
+    Lengths grow by ``steps``.  A substring is seen at most as often as any part
+    of it, so those longer than a step's ``n`` are looked for only in stretches of
+    the words where every substring of length ``n`` was seen twice: exact, and
+    what is rare is dropped before its longer forms reach a shuffle."""
+    ends = [*sorted(n for n in steps if n < max_len), max_len]
+    levels, low = [], 1
+    stretches = words.select("w", "f", F.lit(0).alias("a"), F.length("w").alias("b"))
+    for high in ends:
+        subs = (by_word(stretches).where(f"b - a >= {low}")
+                .select("*", F.explode(F.expr(f"sequence(a, b - {low})")).alias("s"))
+                .select("w", "f", "s", F.explode(F.expr(f"sequence(s + {low}, least(b, s + {high}))")).alias("e"))
+                .withColumn("piece", F.expr("substring(w, s + 1, e - s)")))
+        levels.append(cut_lineage(subs.groupBy("piece").agg(F.sum("f").alias("freq"))
+                                      .where((F.length("piece") == 1) | (F.col("freq") >= 2))))
+        if high < max_len:
+            longest = levels[-1].where(F.length("piece") == high)
+            stretches = cut_lineage(_stretches(subs.where(f"e - s = {high}"), longest, high))
+            low = high + 1
+    return reduce(DataFrame.unionByName, levels)
+
 
 def seed_pieces(words: DataFrame, seed_size: int = SEED_SIZE, max_len: int = MAX_PIECE_LENGTH) -> DataFrame:
     """V2: ``(piece, freq, score, lp)``; ``lp`` = ln(score / sum of scores)."""
-    counted = (substrings(words.select("w", "f"), max_len)
-               .groupBy("piece").agg(F.sum("f").alias("freq")))
-    counted = cut_lineage(counted.where((F.length("piece") == 1) | (F.col("freq") >= 2))
-                                 .withColumn("score", F.col("freq") * F.length("piece")))
+    counted = (counted_substrings(words.select("w", "f").where("w != ''"), max_len)
+               .withColumn("score", F.col("freq") * F.length("piece")))
     chars = counted.where(F.length("piece") == 1)
     longer = counted.where(F.length("piece") > 1)
     n_chars = chars.count()
