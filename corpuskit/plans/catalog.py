@@ -483,27 +483,28 @@ def unigram_seed(spark, d):
                     F.round("lp", 6).alias("lp"))
 
 
-def _seed_model(spark, d):
-    return cut_lineage(unigram.seed_pieces(training_words(spark, d)).select("piece", "lp"))
+def _seed_model(words):
+    return cut_lineage(unigram.seed_pieces(words).select("piece", "lp"))
 
 
 @query("unigram_estep")
 def unigram_estep(spark, d):
-    c = unigram.e_step(training_words(spark, d), _seed_model(spark, d))
+    words = training_words(spark, d)
+    c = unigram.e_step(words, _seed_model(words))
     return c.select("piece", F.round("c", 4).alias("c"))
 
 
 @query("unigram_mstep")
 def unigram_mstep(spark, d):
     words = training_words(spark, d)
-    m = unigram.m_step(unigram.e_step(words, _seed_model(spark, d)))
+    m = unigram.m_step(unigram.e_step(words, _seed_model(words)))
     return m.select("piece", F.round("c", 4).alias("c"), F.round("lp", 6).alias("lp"))
 
 
 @query("unigram_prune")
 def unigram_prune(spark, d):
     words = training_words(spark, d)
-    m = cut_lineage(unigram.m_step(unigram.e_step(words, _seed_model(spark, d))).select("piece", "lp"))
+    m = cut_lineage(unigram.m_step(unigram.e_step(words, _seed_model(words))).select("piece", "lp"))
     target = max(m.count() // 2, 1)
     return unigram.prune(words, m, target).select("piece", F.round("lp", 6).alias("lp"))
 
@@ -524,13 +525,14 @@ def _trained_vocab(spark, d):
     return unigram.train(training_words(spark, d), vocab_size=P.VOCAB_SIZE)
 
 
-def _seed_vocab(spark, d):
-    return cut_lineage(unigram.finalize(_seed_model(spark, d), P.VOCAB_SIZE))
+def _seed_vocab(words):
+    return cut_lineage(unigram.finalize(_seed_model(words), P.VOCAB_SIZE))
 
 
 @query("unigram_viterbi")
 def unigram_viterbi(spark, d):
-    enc = unigram.encode_words(training_words(spark, d).select("w"), _seed_vocab(spark, d))
+    words = training_words(spark, d)
+    enc = unigram.encode_words(words.select("w"), _seed_vocab(words))
     return enc.select("w", _join_ints(F.col("ids")).alias("ids"), F.array_join("tokens", " ").alias("tokens"),
                       F.round("score", 6).alias("score"))
 
@@ -549,7 +551,7 @@ def encode_unk(spark, d):
 
 @query("encode_docs")
 def encode_docs(spark, d):
-    return _encoded_docs(spark, d, _seed_vocab(spark, d))
+    return _encoded_docs(spark, d, _seed_vocab(training_words(spark, d)))
 
 
 @query("encode_trained")
@@ -568,7 +570,7 @@ def encode_stream(spark, d):
     source = table_path(d, "document[s]")
     files = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 16).parquet(source)
     sents = clean.sentences(files).select("doc_id", *[F.col(c).cast("bigint").alias(c) for c in SENT_KEY[1:]], "sent")
-    encoder = encoding.Encoder(spark, _seed_vocab(spark, d), SENT_KEY, f"{folder}/words", f"{folder}/ids",
+    encoder = encoding.Encoder(spark, _seed_vocab(training_words(spark, d)), SENT_KEY, f"{folder}/words", f"{folder}/ids",
                                dictionaries(spark, d), max_length=128)
     encoding.start_encoding(sents, encoder, folder, once=True).awaitTermination()
     return encoder.encoded().select(*SENT_KEY, _join_ints(F.col("input_ids")).alias("input_ids"))
@@ -588,7 +590,7 @@ def _encoded_docs(spark, d, vocab):
 
 @query("corpus_perplexity")
 def corpus_perplexity(spark, d):
-    return _perplexity(spark, d, _seed_vocab(spark, d))
+    return _perplexity(spark, d, _seed_vocab(training_words(spark, d)))
 
 
 @query("trained_perplexity")
