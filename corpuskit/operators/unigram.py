@@ -241,13 +241,8 @@ def encode_words(words: DataFrame, vocab: DataFrame, col: str = "w") -> DataFram
     """E1 + E3: ``(w, ids, tokens, score)`` per distinct word; unknown
     characters become ``<unk>`` and adjacent unknowns fuse into one, with the
     vocabulary's own id of ``<unk>`` (``UNK_ID`` where it has none)."""
-    unk = vocab.where(F.col("special") & (F.col("token") == "<unk>")).select(F.min("id")).scalar()
-    unk = F.coalesce(unk, F.lit(P.UNK_ID)).cast("int")
-    pieces = vocab.where(~F.col("special")).select(F.col("token").alias("piece"), "lp", F.col("id").alias("pid"))
-    w = words.select(F.col(col).alias("w")).withColumn("f", F.lit(1))
-    best = viterbi_words(w, pieces)
-    path = F.filter("best.path", lambda x, i: ~(x["unk"] & (i > 0) & F.element_at(F.col("best.path"), F.greatest(i, F.lit(1)))["unk"]))
-    return (best.select(F.col("w").alias(col), path.alias("path"), F.col("best.score").alias("score"), unk.alias("_unk"))
-                .select(col, F.transform("path", lambda x: F.when(x["unk"], F.col("_unk")).otherwise(x["pid"])).alias("ids"),
-                        F.transform("path", lambda x: F.when(x["unk"], F.lit("<unk>")).otherwise(x["piece"])).alias("tokens"),
-                        "score"))
+    vocab = cut_lineage(vocab)
+    unk = vocab.where(F.col("special") & (F.col("token") == "<unk>")).agg(F.min("id")).first()[0]
+    pieces = vocab.where(~F.col("special")).select(F.col("token").alias("piece"), "lp", "id")
+    best = K.best_pieces(words.select(F.col(col).alias("w")), pieces, P.UNK_ID if unk is None else unk)
+    return best.select(F.col("w").alias(col), "ids", "tokens", "score")
