@@ -61,9 +61,11 @@ def mlm_metrics(preds: DataFrame, batch_size: int = P.EVAL_BATCH_SIZE, seq_id: s
              F.exp("mean_loss").alias("perplexity_exact"), F.col("accuracy").cast("double").alias("accuracy"))
 
 
-def corpus_perplexity(token_scores: DataFrame, group_cols=("lang",)) -> DataFrame:
-    """Q5: per group, exp(-(sum of word log-probabilities) / pieces)."""
+def corpus_perplexity(token_scores: DataFrame, group_cols=("lang",), weight: str | None = None) -> DataFrame:
+    """Q5: per group, exp(-(sum of word log-probabilities) / pieces).  ``weight``: how many
+    occurrences a row stands for (one without)."""
+    f = F.lit(1) if weight is None else F.col(weight)
     return (token_scores.groupBy(*group_cols)
-                        .agg(F.sum("score").alias("logp"), F.sum("n_pieces").alias("n_pieces"),
-                             F.count(F.lit(1)).alias("n_words"))
+                        .agg(F.sum(F.col("score") * f).alias("logp"), F.sum(F.col("n_pieces") * f).alias("n_pieces"),
+                             F.sum(f).cast("bigint").alias("n_words"))
                         .withColumn("perplexity", F.exp(-F.col("logp") / F.col("n_pieces"))))
