@@ -125,8 +125,9 @@ def e_step(words: DataFrame, pieces: DataFrame) -> DataFrame:
 
 
 def m_step(counts: DataFrame, threshold: float = EXPECTED_FREQUENCY_THRESHOLD) -> DataFrame:
-    """V4: ``(piece, c, lp)`` with ``lp = digamma(c) - digamma(sum c)``."""
-    kept = counts.where(F.col("c") >= threshold)
+    """V4: ``(piece, c, lp)`` with ``lp = digamma(c) - digamma(sum c)``.  The counts, a pass
+    over all words, feed the sum and the rows: computed once."""
+    kept = cut_lineage(counts).where(F.col("c") >= threshold)
     norm = kept.agg(F.sum("c").alias("t")).select(digamma(F.col("t"))).scalar()
     return kept.withColumn("lp", digamma(F.col("c")) - norm)
 
@@ -216,8 +217,7 @@ def train(words: DataFrame, vocab_size: int = P.VOCAB_SIZE, seed_size: int = SEE
     rnd = 0
     while True:
         for _ in range(n_sub_iterations):
-            model = cut_lineage(m_step(K.expected_counts(lat, lp)))
-            lp = K.dense(model, len(lp))
+            lp = K.dense(m_step(K.expected_counts(lat, lp)), len(lp))
         size = int(np.isfinite(lp).sum())
         if log:
             log(f"round {rnd}: {size} pieces")
