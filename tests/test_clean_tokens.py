@@ -101,3 +101,51 @@ def test_cleaning_is_one_stage(spark):
     df = spark.createDataFrame([(1, "da", "s", "A b. C d.")], "doc_id long, lang string, source string, text string")
     plan = clean.sentences(df)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "BatchEvalPython" not in plan
+
+
+def test_line_breaks_are_those_of_the_pattern(spark):
+    import re
+
+    from corpuskit.functions import patterns as P
+    texts = ["a\r\nb", "a\r\r\nb\n\rc", "\r", "\n\n", "", "a\r", "\r\n\r\n", "a\u0085b\u2028c\x0bd", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in clean.split_lines(df).orderBy("doc_id", "line_no").collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+    assert got == {i: re.split(P.LINE_BREAK, t) for i, t in enumerate(texts) if t is not None}
+
+
+ODD = ["Kat kat, KAT. kat,", "ΟΔΟΣ ΟΔΟΣ. ΟΔΟΣ ΣΑΣ Σ", "x \u0308y cafe\u0301 caf\u00e9", "№5 ﬁsch Ｋat m²  20", "a\u00a0b\u2003c\td\x0be",
+       "  ", "", "<mask> <S> _x_9 a-b…", "İstanbul ISTANBUL ſ", "\u1112 \u1161 \u1112\u1161", "Kat, " * 50, None]
+
+
+def test_counted_words_are_those_of_the_pretokens(spark):
+    df = spark.createDataFrame([(i % 2, t) for i, t in enumerate(ODD)] + [(None, "kat Kat")], "lang long, sent string")
+    rows = lambda x: sorted(map(tuple, x.collect()), key=str)
+    pretokens = tokens.pretokenise(df, "sent", keep=["lang"])
+    assert rows(tokens.count_words(df, "sent")) == rows(tokens.word_freq(pretokens))
+    per = pretokens.groupBy("lang", F.col("token").alias("w")).agg(F.count(F.lit(1)).alias("f"))
+    assert rows(tokens.count_words(df, "sent", ["lang"]).select("lang", "w", "f")) == rows(per)
+
+
+def test_corpus_words_normalise_no_text_twice(spark, tmp_path, monkeypatch):
+    """The words of a corpus: what goes through NFKC and the pre-tokeniser are the
+    distinct stretches between blanks, however often they occur."""
+    from corpuskit.plans import catalog
+    text = "\n".join(f"Die Katze sieht den Hund {i % 3}." for i in range(500))
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(1, "de", "s", text)], "doc_id long, lang string, source string, text string").write.parquet(path)
+    seen, plain = [], tokens.normalise
+    monkeypatch.setattr(tokens, "normalise", lambda df, *a: seen.append(df.count()) or plain(df, *a))
+    words = {r.w: r.f for r in catalog.corpus_words(spark, str(tmp_path)).collect()}
+    assert words["katze"] == 500 and words["."] == 500 and words["2"] == 166
+    assert seen == [8]  # 5 words and 3 numbers with their stop
+
+
+def test_token_pattern_for_the_jvm_is_the_given_one(spark):
+    """Every character of the first planes by itself, next to a letter and next to a mark."""
+    from corpuskit.functions import patterns as P
+    chars = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    df = spark.createDataFrame([("".join(f"{c}a{c}-" for c in chars[i:i + 4096]),) for i in range(0, len(chars), 4096)], "t string")
+    given = F.regexp_extract_all(F.lower("t"), F.lit(P.TOKEN), 0)
+    assert df.where(~given.eqNullSafe(tokens.token_array(F.col("t")))).count() == 0
