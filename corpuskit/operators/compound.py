@@ -9,6 +9,8 @@ split even when it is itself in the full list.
 
 Spark plan, per *distinct* word (never per occurrence):
 
+0. only words that begin with a small word and an interfix can split: one row
+   per cut finds them, the rest goes on with these;
 1. candidate edges ``(j, p)``: ``w[p]`` is an interfix and ``w[j:p]`` is in the
    small list -- an explode of bounded width (``p - j`` is at most the longest
    small word) and a broadcast (size-checked) semi join; a list too large for
@@ -58,17 +60,24 @@ def in_list(subs: DataFrame, listed: DataFrame, max_broadcast_rows: int = BROADC
 
 def split_edges(words: DataFrame, dicts: DataFrame, interfixes=P.DEFAULT_INTERFIXES, col: str = "w",
                 max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """C1 + L10: rows ``(w, e_kind, a, b)``; ``edge`` rows are cuts ``(j, p)``,
-    ``term`` rows are terminal starts ``(t, -)``."""
+    """C1 + L10: rows ``(w, e_kind, a, b)`` of the words that begin with a small word and an
+    interfix (no other splits); ``edge`` rows are cuts ``(j, p)``, ``term`` rows are
+    terminal starts ``(t, -)``."""
     interfixes = check_interfixes(interfixes)
     # longest word of each list, as scalar subqueries (bound the head width)
     max_small = F.coalesce(dicts.where(F.col("kind") == "small").select(F.max("length")).scalar(), F.lit(0))
     max_full = F.coalesce(dicts.where(F.col("kind") == "full").select(F.max("length")).scalar(), F.lit(0))
-    base = words.select(F.col(col).alias("w")).where(F.length("w") >= 3)
     n = F.length(F.col("w"))
-    # cut positions p in [1, n-2] holding an interfix character
-    cuts = (base.select("w", F.explode(F.sequence(F.lit(1), n - 2)).alias("p"))
-                .where(F.substring("w", F.col("p") + 1, 1).isin(*interfixes)))
+
+    def cuts_of(base):
+        """Cut positions p in [1, n-2] holding an interfix character."""
+        return (base.select("w", F.explode(F.sequence(F.lit(1), n - 2)).alias("p"))
+                    .where(F.substring("w", F.col("p") + 1, 1).isin(*interfixes)))
+    # a split begins with a small word at the word's start: one row per cut finds
+    # the words that have one, and only these get all their edges
+    begin = (cuts_of(words.select(F.col(col).alias("w")).where(F.length("w") >= 3)).where(F.col("p") <= max_small)
+             .withColumn("sub", F.expr("substring(w, 1, p)")))
+    cuts = cuts_of(cut_lineage(in_list(begin, _list(dicts, "small"), max_broadcast_rows).select("w").distinct()))
     heads = (cuts.select("w", "p", F.explode(F.sequence(F.greatest(F.lit(0), F.col("p") - max_small),
                                                         F.col("p") - 1)).alias("j"))
                  .withColumn("sub", F.expr("substring(w, j + 1, p - j)")))

@@ -22,8 +22,10 @@ def derive_lexicon(documents: DataFrame, lang: str = "de", min_len: int = 2, max
     (``FIXTURES.md`` section 2): distinct lower-case letter runs, with numbered
     homographs, capitalised bases, inflected words and multi-valued types."""
     w = F.col("w")
+    # no letter run holds a blank: the distinct stretches between blanks have them all
     words = (documents.where(F.col("lang") == lang)
-                      .select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(P.LETTER_RUN), 0)).alias("w"))
+                      .select(F.explode(F.split("text", " ")).alias("w")).distinct()
+                      .select(F.explode(F.regexp_extract_all(F.lower("w"), F.lit(P.LETTER_RUN), 0)).alias("w"))
                       .where(F.length(w).between(min_len, max_len))
                       .distinct())
     h = F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("bigint")

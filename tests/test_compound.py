@@ -97,3 +97,10 @@ def test_lists_past_the_broadcast_limit(spark):
     dicts = _dicts(spark, small, full)
     rows = lambda limit: sorted((r.w, r.parts) for r in compound.compound_splits(words, dicts, max_broadcast_rows=limit).collect())
     assert rows(0) == rows(1000) and len(rows(0)) > 20
+
+
+def test_edges_only_for_words_that_can_split(spark):
+    words = spark.createDataFrame([("sonnentag",), ("xsonnentag",), ("sonnen",), ("tag",)], "w string")
+    edges = compound.split_edges(words, _dicts(spark, SMALL, FULL)).collect()
+    # "xsonnentag" has an edge inside, but none at its beginning
+    assert {r.w for r in edges} == {"sonnentag"}
