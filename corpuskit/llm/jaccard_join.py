@@ -11,16 +11,23 @@ texts link when 100 * |intersection| >= 75 * |union|.
    order is; the frequent-last order keeps shared passages out of prefixes.
    Prefixes travel packed, by token, and only tokens of two or more classes stay;
    a known frequent token has several, so its classes are spread over all tasks.
-3. Similar classes are partitioned into groups: each goes to the class that
+3. Similar classes are partitioned into families: each goes to the class that
    leads most of its prefix tokens and is checked against it (linked ones form
-   components); such a family is cut into groups of about ``GROUP`` classes.
-4. The matrix of shared prefix tokens and groups gives, for each class, the
-   groups with classes of other components that it could reach, with enough
-   common prefix tokens and fitting sizes.  For these the group's token union is built: a
-   query is bounded by its overlap with the union, and only the groups that
-   qualify are opened and compared set by set, and only for links that join two
-   components.  This goes in passes, from the groups of one family outwards, and
-   joins the components after each, so that a family is soon one component.
+   components).  A family of up to ``QUERIES`` classes is then compared in one task.
+   Classes of a larger one go to the nearest of its centres (tokens of most of a
+   sample's similar classes: any set gives the same result) and are compared by
+   their differences from it.  As A and B differ by X(A) ^ X(B), with
+   v = 7 |X| - n they link if and only if 14 * |X(A) & X(B)| >= v(A) + v(B).  So the
+   class of least v links with all whose sum with it is not positive, and all
+   other links share one of the rarer differences; those of one class only count
+   for nothing, which leaves most classes that are no copies without a partner.
+4. What is left are links between families and of classes like no centre.  The
+   matrix of shared prefix tokens and groups (of about ``GROUP`` classes of a
+   family) gives, for each class, the groups with classes of other components
+   that it could reach, with enough common prefix tokens and fitting sizes.  For
+   these the group's token union is built: a query is bounded by its overlap with
+   the union, and only the groups that qualify are opened and compared set by
+   set, and only for links that join two components.
 
 So near copies, however many, cost one comparison each with their leader and
 their tokens lead to no pairs among themselves.  Nothing is capped: groups and
@@ -35,7 +42,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash_words, id_text, keyed_text, mix, prepare, stored, text_blocks, text_digest
@@ -44,8 +51,9 @@ WORDS = 5
 #: Classes in a group and queries that meet it in one task, on average.
 GROUP = 64
 QUERIES = 256
-#: A pass joins so many blocks of chunks of the pass before.
-SPAN = 4
+#: Centres of a large family at most, and levels of differences within one.
+CENTRES = 16
+LEVELS = 16
 #: A token in so many texts of one batch is counted as a frequent one.
 LOCAL_COUNT = 3
 #: Texts that make a batch for that count.
@@ -257,9 +265,10 @@ def _check_leader(pdf: pd.DataFrame) -> pd.DataFrame:
 LINKS = "a bigint, b bigint"
 
 
-def _leader_links(docs: DataFrame, classes: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links of classes with the leader of most of their prefix tokens, and the
-    families: every class that has a leader, and the leaders, with theirs."""
+def _leader_links(docs: DataFrame, classes: DataFrame, shared: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of classes with the leader of most of their prefix tokens, the
+    families (every class that has a leader, and the leaders, with theirs) and
+    the sets of their classes."""
     leaders = shared.groupBy("token").agg(F.min("cls").alias("leader"))
     pairs = (shared.join(leaders, "token").where("cls != leader")
                    .groupBy("cls", "n", "leader").agg(F.count(F.lit(1)).alias("c")))
@@ -268,15 +277,16 @@ def _leader_links(docs: DataFrame, classes: DataFrame, shared: DataFrame) -> tup
                  .select("cls", F.col("m.leader").alias("leader")))
     sizes = best.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("salts"))
     best = stored(best.join(sizes, "leader").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts"))).drop("salts"), "leaders")
-    sets = _fetch(docs, classes, best.select("cls").unionByName(best.select(F.col("leader").alias("cls"))))
+    sets = _fetch(docs, classes, best.select("cls").unionByName(best.select(F.col("leader").alias("cls")))).dropDuplicates(["cls"])
     heads = best.select("leader", "salt").distinct().withColumn("cls", F.col("leader"))
-    rows = best.select("cls", "leader", "salt").unionByName(heads.select("cls", "leader", "salt")).join(sets.dropDuplicates(["cls"]), "cls")
+    rows = best.select("cls", "leader", "salt").unionByName(heads.select("cls", "leader", "salt")).join(sets, "cls")
     links = stored(rows.groupBy("leader", "salt").applyInPandas(lambda pdf: _check_leader(pdf), LINKS), "leader-links")
     # a leader that follows another one takes its followers along, one step
     up = best.select(F.col("cls").alias("leader"), F.col("leader").alias("far"))
     families = best.select("cls", "leader").join(up, "leader", "left").select("cls", F.coalesce("far", "leader").alias("family"))
     heads = families.select(F.col("family").alias("cls")).distinct().join(families, "cls", "left_anti")
-    return links, stored(families.unionByName(heads.select("cls", F.col("cls").alias("family"))), "families")
+    families = stored(families.unionByName(heads.select("cls", F.col("cls").alias("family"))), "families")
+    return links, families, sets
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -311,6 +321,151 @@ def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     return stored(moved.unionByName(new), "components")
 
 
+# --- 3: inside the families ----------------------------------------------------------------
+
+FAMILY = "a bigint, b bigint, centre int, tokens binary, family bigint"
+
+
+def _centres(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Sets near many of the given ones: the tokens that most of those like a seed hold."""
+    left, found = list(range(len(sets))), []
+    while len(left) > 1:
+        seed = sets[left.pop(0)]
+        near = [i for i in left if 2 * overlap(sets[i], seed) >= max(len(seed), len(sets[i]))]
+        if near:
+            tokens, count = np.unique(np.concatenate([seed, *(sets[i] for i in near)]), return_counts=True)
+            found.append((len(near), tokens[2 * count > len(near)]))
+            left = [i for i in left if i not in set(near)]
+    return [tokens for _, tokens in sorted(found, key=lambda x: -x[0])[:CENTRES]]
+
+
+def _one_family(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of a whole family that join two components, or the centres of a larger
+    one, from a sample."""
+    sets = [np.frombuffer(t, "<u8") for t in pdf["tokens"]]
+    if pdf["size"].iloc[0] > len(sets):
+        rows = [(None, None, k, c.tobytes()) for k, c in enumerate(_centres(sets))]
+    else:
+        cls, comp = pdf["cls"].to_numpy(), pdf["comp"].tolist()
+        parent, rows = {c: c for c in comp}, []
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+        order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+        for at, i in enumerate(order):
+            for k in order[at + 1:]:
+                if len(sets[i]) < needed(len(sets[k])):
+                    break
+                x, y = root(comp[i]), root(comp[k])
+                if x != y and linked(sets[i], sets[k]):
+                    rows.append((cls[i], cls[k], None, None))
+                    parent[x] = y
+    out = pd.DataFrame(rows, columns=["a", "b", "centre", "tokens"])
+    return out.astype({"a": "Int64", "b": "Int64", "centre": "Int32"}).assign(family=int(pdf["family"].iloc[0]))
+
+
+DIFFERENCES = "cls bigint, family bigint, centre int, n bigint, x bigint, diff array<bigint>"
+
+
+def _differences(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The tokens by which classes differ from their nearest centre (none: -1)."""
+    central = pdf["centre"] >= 0
+    centres = [(k, np.frombuffer(t, "<u8")) for k, t in zip(pdf.loc[central, "centre"], pdf.loc[central, "tokens"])]
+    centres.sort(key=lambda x: x[0])
+    members, rows = pdf[~central], []
+    for cls, family, t in zip(members["cls"], members["family"], members["tokens"]):
+        s = np.frombuffer(t, "<u8")
+        x, k, at = min(((len(s) + len(c) - 2 * overlap(s, c), k, i) for i, (k, c) in enumerate(centres)), default=(len(s) + 1, -1, 0))
+        near = x <= len(s)
+        diff = np.setxor1d(s, centres[at][1], assume_unique=True).view(np.int64) if near else np.zeros(0, np.int64)
+        rows.append((cls, family, k if near else -1, len(s), len(diff), diff))
+    return pd.DataFrame(rows, columns=["cls", "family", "centre", "n", "x", "diff"])
+
+
+def _verified(pairs: DataFrame, diffs: DataFrame) -> DataFrame:
+    """Those pairs ``a, b`` that link."""
+    own = diffs.select(F.col("cls").alias("a"), F.col("v").alias("v_a"), F.col("diff").alias("diff_a"))
+    other = diffs.select(F.col("cls").alias("b"), F.col("v").alias("v_b"), F.col("diff").alias("diff_b"))
+    return pairs.join(own, "a").join(other, "b").where("14 * size(array_intersect(diff_a, diff_b)) >= v_a + v_b").drop("v_a", "v_b", "diff_a", "diff_b")
+
+
+def _central_links(diffs: DataFrame, comps: DataFrame) -> DataFrame:
+    """``comps`` after all links between classes of one centre (``family``)."""
+    with_comp = lambda df: df.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    # differences of two or more classes
+    tokens = diffs.select("cls", "family", F.explode("diff").alias("token"))
+    counts = tokens.groupBy("family", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    tokens = stored(tokens.join(counts, ["family", "token"]), "differing-tokens")
+    usable = tokens.groupBy("cls").agg(F.count(F.lit(1)).alias("x_shared"))
+    stats = (diffs.drop("diff").join(usable, "cls", "left").withColumn("x_shared", F.coalesce("x_shared", F.lit(0)))
+                  .withColumn("w", F.expr("14 * x_shared - v")))
+    ranges = stored(stats.groupBy("family").agg(F.min(F.struct("v", "cls")).alias("mid"), F.max("w").alias("w_max"), F.max("n").alias("n_max")), "ranges")
+    # 14 * (common differences) >= v(a) + v(b) > 0 needs v(a) <= w(b) and v(b) <= w(a)
+    stats = stored(stats.join(ranges, "family").withColumn("least", F.expr("greatest(1, ceil((v + mid.v) / 14D))")), "differing-classes")
+    # the class of least v links with all whose sum with it is not positive
+    straight = stats.where("v + mid.v <= 0 AND cls != mid.cls").select(F.col("cls").alias("a"), F.col("mid.cls").alias("b"))
+    open_ = stats.where("least <= x_shared AND v <= w_max").select("cls", "v", "w", "n_max", F.expr("x_shared - least + 1").alias("length"))
+    order = Window.partitionBy("cls").orderBy("c", "token")
+    prefix = stored(tokens.join(open_, "cls").withColumn("rank", F.row_number().over(order)).where("rank <= length")
+                          .select("cls", "family", "token", "v", "w", "n_max"), "differing-prefixes")
+    # first with the most central class of most of these tokens: no more links than classes
+    leaders = prefix.groupBy("family", "token").agg(F.min(F.struct("v", "cls")).alias("m"))
+    best = (prefix.join(leaders, ["family", "token"]).where("cls != m.cls").groupBy("cls", "m.cls").agg(F.count(F.lit(1)).alias("c"))
+                  .toDF("a", "b", "c").groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
+    links = stored(straight.unionByName(_verified(best, diffs)), "central-links")
+    comps = merged(comps, links)
+    # then with any class of another component; most of a family are of its largest one, so
+    # that one's classes meet only others
+    rows = stored(with_comp(prefix), "differing-rows")
+    mixed = rows.groupBy("family", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("family", "token")
+    home = (rows.select("family", "cls", "comp").distinct().groupBy("family", "comp").agg(F.count(F.lit(1)).alias("c"))
+                .groupBy("family").agg(F.max(F.struct("c", "comp")).alias("m")).select("family", F.col("m.comp").alias("home")))
+    level = lambda of: F.expr(f"cast(greatest(0, least({LEVELS - 1}, floor(4 * {of} / n_max))) AS int)")
+    rows = rows.join(mixed, ["family", "token"]).join(home, "family").withColumn("level", level("w"))
+    levels = rows.groupBy("family").agg(F.collect_set("level").alias("levels"))
+    probes = (rows.where("comp != home").withColumn("from", level("v")).join(levels, "family")
+                  .select("family", "token", F.explode(F.expr("filter(levels, l -> l >= from)")).alias("level"), F.col("cls").alias("a"),
+                          F.col("comp").alias("x"), F.col("v").alias("v_a"), F.col("w").alias("w_a")))
+    index = rows.select("family", "token", "level", F.col("cls").alias("b"), F.col("comp").alias("y"), F.col("v").alias("v_b"),
+                        F.col("w").alias("w_b"), (F.col("comp") == F.col("home")).alias("at_home"))
+    pairs = (probes.join(index, ["family", "token", "level"])
+                   .where("x != y AND v_a <= w_b AND v_b <= w_a AND (at_home OR a < b)").select("a", "b", "y").distinct())
+    links = _verified(pairs, diffs).groupBy("a", "y").agg(F.min("b").alias("b")).select("a", "b")
+    return merged(comps, stored(links, "central-links"))
+
+
+def _family_links(families: DataFrame, sets: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``comps`` after all links inside families, and the places of the classes:
+    ``cls, family, size, chunk, met`` (no: not compared with the others of its family)."""
+    size = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    sized = stored(families.join(size, "family").withColumn("parts", F.ceil(F.col("size") / QUERIES).cast("int")), "sized-families")
+    # a class of a large family meets its centres only; those come from a part of it
+    members = (sized.where("parts = 1 OR pmod(xxhash64(cls), parts) = 0").join(sets, "cls").join(comps, "cls", "left")
+                    .withColumn("comp", F.coalesce("comp", "cls")))
+    found = stored(members.groupBy("family").applyInPandas(lambda pdf: _one_family(pdf), FAMILY), "family-links")
+    links = found.where("a IS NOT NULL").select("a", "b")
+    if not links.isEmpty():
+        comps = merged(comps, links)
+    places = sized.where("parts = 1").select("cls", "family", "size", F.lit(True).alias("met"))
+    large = sized.where("parts > 1")
+    if not large.isEmpty():
+        salts = large.select("family", "parts").distinct()
+        centres = (found.where("centre IS NOT NULL").join(salts, "family").withColumn("salt", F.explode(F.expr("sequence(0, parts - 1)")))
+                        .select(F.lit(0).cast("bigint").alias("cls"), "family", "salt", "centre", "tokens"))
+        rows = large.join(sets, "cls").select("cls", "family", F.expr("cast(pmod(xxhash64(cls, 1), parts) AS int)").alias("salt"),
+                                              F.lit(-1).alias("centre"), "tokens")
+        diffs = stored(rows.unionByName(centres).groupBy("family", "salt").applyInPandas(lambda pdf: _differences(pdf), DIFFERENCES)
+                           .withColumn("met", F.col("centre") >= 0).withColumn("v", F.expr("7 * x - n"))
+                           .withColumn("family", F.xxhash64("family", "centre")).drop("centre"), "differences")
+        comps = _central_links(diffs.where("met"), comps)
+        size = diffs.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+        places = places.unionByName(diffs.join(size, "family").select("cls", "family", "size", "met"))
+    chunk = F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / GROUP)).cast("bigint")
+    return comps, stored(places.withColumn("chunk", chunk).select("cls", "family", "size", "chunk", "met"), "places")
+
+
 # --- 4: the token-group matrix -----------------------------------------------------------
 
 def _open_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -341,54 +496,24 @@ def _open_group(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _places(families: DataFrame) -> DataFrame:
-    """``cls, family, size, chunk``: groups are chunks of a family, whatever the
-    components of its classes."""
-    size = families.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    return stored(families.join(size, "family").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / GROUP)))
-                          .select("cls", "family", "size", "chunk"), "places")
-
-
-def _inside(shared: DataFrame, places: DataFrame) -> DataFrame:
-    """Shared tokens of classes in families, with their places."""
-    return shared.join(places, "cls").withColumn("chunk", F.col("chunk").cast("bigint"))
-
-
-def _still_mixed(inner: DataFrame, comps: DataFrame) -> DataFrame:
-    """Those tokens of ``inner`` that classes of several components of a family hold, with
-    the classes' components."""
-    rows = inner.drop("comp").join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    mixed = rows.groupBy("token", "family").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high")
-    return stored(rows.join(mixed.select("token", "family"), ["token", "family"]), "mixed-in-families")
-
-
-def _group_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, comps: DataFrame, places: DataFrame,
-                 near: int, far: int | None) -> DataFrame:
-    """Links between classes of different components: of one family with chunks in the
-    same block of ``far`` chunks, but not in the same block of ``near`` (0: also in
-    the same chunk); ``shared`` is then of ``_still_mixed``.  ``far`` None: all others, also of
-    different families."""
-    place = places.join(comps, "cls", "left").select("cls", "family", "size", "chunk", F.coalesce("comp", "cls").alias("comp"))
-    if far is None:
-        # a class without a family is a group of its own
-        alone = {"family": F.col("cls"), "size": F.lit(1), "chunk": F.lit(0), "comp": F.col("cls")}
-        rows = (shared.join(place, "cls", "left")
-                      .select("token", "cls", "n", *[F.coalesce(F.col(k), v).cast("bigint").alias(k) for k, v in alone.items()]))
-        meet_by = ["token"]
-    else:
-        rows = shared.withColumn("block", F.floor(F.col("chunk") / far))
-        meet_by = ["token", "family", "block"]
-    mixed = rows.groupBy(*meet_by).agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select(*meet_by)
-    rows = stored(rows.join(mixed, meet_by), "mixed-tokens")
+def _group_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, comps: DataFrame, places: DataFrame) -> DataFrame:
+    """Links between classes of different components that have not met inside a family."""
+    place = places.join(comps, "cls", "left").select("cls", "family", "size", "chunk", "met", F.coalesce("comp", "cls").alias("comp"))
+    # a class without a family is a group of its own
+    alone = {"family": F.col("cls"), "size": F.lit(1).cast("bigint"), "chunk": F.lit(0).cast("bigint"), "comp": F.col("cls"), "met": F.lit(True)}
+    rows = shared.join(place, "cls", "left").select("token", "cls", "n", *[F.coalesce(F.col(k), v).alias(k) for k, v in alone.items()])
+    mixed = (rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("family").alias("first"),
+                                       F.max("family").alias("last"), F.min("met").alias("met"))
+                 .where("low != high AND (first != last OR NOT met)").select("token"))
+    rows = stored(rows.join(mixed, "token"), "mixed-tokens")
     if rows.isEmpty():
         return docs.sparkSession.createDataFrame([], LINKS)
-    matrix = rows.groupBy(*dict.fromkeys([*meet_by, "size", "family", "chunk"])).agg(
+    matrix = rows.groupBy("token", "size", "family", "chunk").agg(
         F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    g = matrix.select(*meet_by, F.struct("size", "family", "chunk").alias("g"), "n_min", "n_max", "low", "high")
-    met_before = f"(own.family = g.family AND floor(own.chunk / {near}) = floor(g.chunk / {near}))" if near else "false"
-    pairs = (rows.withColumn("own", F.struct("size", "family", "chunk")).join(g, meet_by)
+    g = matrix.select("token", F.struct("size", "family", "chunk").alias("g"), "n_min", "n_max", "low", "high")
+    pairs = (rows.withColumn("own", F.struct("size", "family", "chunk")).join(g, "token")
                  # one direction between two groups: the query is of the smaller family
-                 .where(f"own <= g AND NOT (low = comp AND high = comp) AND NOT {met_before}")
+                 .where("own <= g AND NOT (low = comp AND high = comp) AND NOT (met AND own.family = g.family)")
                  .where("100 * n >= 75 * n_min AND 100 * n_max >= 75 * n")
                  .groupBy("cls", "n", "comp", "g")
                  .agg(F.count(F.lit(1)).alias("c"), F.min("n_min").alias("n_min"), F.max("n_max").alias("n_max")))
@@ -415,30 +540,6 @@ def _group_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, comps:
                 .applyInPandas(lambda pdf: _open_group(pdf), LINKS))
 
 
-def _all_group_links(docs: DataFrame, classes: DataFrame, shared: DataFrame, comps: DataFrame, families: DataFrame) -> DataFrame:
-    """``comps`` after all links between groups: first inside the chunks, then between
-    neighbouring ones, ever farther, then between families.  Each pass joins
-    components, so that the next one has fewer classes to compare, and no pair
-    of groups meets twice."""
-    places = _places(families)
-    chunks = places.select(F.max("chunk")).first()[0] or 0
-    spans = [1]
-    while spans[-1] <= chunks:
-        spans.append(spans[-1] * SPAN)
-    inner = _inside(shared, places)
-    for near, far in zip([0, *spans], [*spans, None]):
-        if inner is None and far is not None:
-            continue  # every family is one component
-        inner = shared if far is None else _still_mixed(inner, comps)
-        if far is not None and inner.isEmpty():
-            inner = None
-            continue
-        links = stored(_group_links(docs, classes, inner, comps, places, near, far), "group-links")
-        if not links.isEmpty():
-            comps = merged(comps, links)
-    return comps
-
-
 def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``doc_id, digest, n, cls`` of every row, and ``cls, comp, first`` of every
     class with shingles.  ``first`` is the class's row with the smallest id (none
@@ -457,8 +558,11 @@ def _components_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     parts = int(min(max(16, -(-total // PART_TOKENS)), 1 << 16))
     packed = id_text(docs).select("text").mapInArrow(_prefixes(shared_counts, parts), PACKED)
     shared = stored(packed.groupBy("part").applyInPandas(lambda pdf: _shared_tokens(pdf), SHARED), "shared-tokens")
-    first, families = _leader_links(docs, classes, shared)
-    comps = _all_group_links(docs, classes, shared, components(first), families)
+    first, families, sets = _leader_links(docs, classes, shared)
+    comps, places = _family_links(families, sets, components(first))
+    links = stored(_group_links(docs, classes, shared, comps, places), "group-links")
+    if not links.isEmpty():
+        comps = merged(comps, links)
     return texts, classes.join(comps, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "first")
 
 

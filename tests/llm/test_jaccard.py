@@ -164,5 +164,46 @@ def test_links_grow_with_the_group(spark, table, monkeypatch):
     assert links(300) < 300 * 3 and links(900) < 900 * 3
 
 
+def test_copies_too_far_apart_to_link_meet_no_groups(spark, table, monkeypatch):
+    """Near copies of one text, most of which link with none: they are told apart by their
+    differences, neither group by group nor with a reading of all texts per pass."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for k in range(700):
+        w = list(base)
+        for at in rng.sample(range(90), rng.choice([0, 1, 2, 4, 6])):
+            w[at] = f"edit{k}x{at}"
+        rows.append((k, " ".join(w)))
+    met, fetched = [], []
+    stored, fetch = jaccard_join.stored, jaccard_join._fetch
+
+    def counted(df, name):
+        out = stored(df, name)
+        if name == "query-groups":
+            met.append(out.count())
+        return out
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    monkeypatch.setattr(jaccard_join, "_fetch", lambda *a: fetched.append(1) or fetch(*a))
+    got = jaccard_join.similar_groups(table(rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+    assert sum(met) < len(rows) and len(fetched) <= 2
+
+
+def test_links_by_common_differences(spark, table, monkeypatch):
+    """Clusters around one text, linked among themselves by edits that they share, not with it."""
+    monkeypatch.setattr(jaccard_join, "QUERIES", 20)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(k, " ".join(base[:-1] + [f"end{k}"])) for k in range(60)]
+    for g in range(8):
+        w = list(base)
+        for at in rng.sample(range(80), 5):
+            w[at] = f"g{g}at{at}"
+        rows += near_copies(rng, w, 12, 100 + 20 * g, edits=2)
+    got = jaccard_join.similar_groups(table(rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+
+
 def test_empty_table(spark, table):
     assert jaccard_join.similar_groups(table([])).count() == 0
