@@ -41,7 +41,8 @@ class Edges:
     def by(self, position: np.ndarray):
         """``(p, edges at p by word, first edge of each word there)`` for every
         position that has edges, ascending."""
-        order = np.lexsort((np.arange(len(position)), self.word, position))
+        # the edges lie by word already; a stable sort of 16-bit numbers is a radix sort
+        order = np.argsort(position.astype(np.uint16) if self.width <= 1 << 16 else position, kind="stable")
         cut = np.searchsorted(position[order], np.arange(self.width + 1))
         for p in range(self.width):
             at = order[cut[p]:cut[p + 1]]
@@ -75,9 +76,21 @@ def posteriors(x: Edges, f: np.ndarray) -> np.ndarray:
     return f[x.word] * np.exp(alpha[x.word, x.start] + x.lp + beta[x.word, x.end] - total[x.word])
 
 
-def best_paths(x: Edges) -> list[np.ndarray]:
-    """Per word the indices of the edges of its best segmentation, in text order;
-    on a tie the edge with the earliest start (the longer piece) wins."""
+def _flat(steps: list[np.ndarray], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges by word and place, and their number per word, from the steps of all words, last first (-1: none)."""
+    table = np.array(steps[::-1], np.int64).reshape(len(steps), words).T
+    on = table >= 0
+    return table[on], on.sum(axis=1)
+
+
+def _cut(x: Edges, edges: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Per word its edges, counted from its first."""
+    return np.split((edges - np.repeat(x.first, size)).astype(np.int32), np.cumsum(size)[:-1]) if len(size) else []
+
+
+def best_edges(x: Edges) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of the best segmentations, by word and in text order, and their
+    number per word; on a tie the edge with the earliest start (the longer piece) wins."""
     score = np.full((len(x.n), x.width), -np.inf)
     back = np.zeros((len(x.n), x.width), np.int64)
     score[:, 0] = 0.0
@@ -94,15 +107,17 @@ def best_paths(x: Edges) -> list[np.ndarray]:
         edge = np.where(pos > 0, back[words, pos], -1)
         steps.append(edge)
         pos = np.where(pos > 0, x.start[edge], 0)
-    if not steps:
-        return [np.zeros(0, np.int32) for _ in x.n]
-    table = np.array(steps[::-1]).T
-    return [(row[row >= 0] - at).astype(np.int32) for row, at in zip(table, x.first)]
+    return _flat(steps, len(x.n))
 
 
-def two_best_paths(x: Edges) -> list[list[np.ndarray]]:
-    """Per word the two best different segmentations (the second empty if there is
-    none), as indices of their edges; ties as in ``best_paths``."""
+def best_paths(x: Edges) -> list[np.ndarray]:
+    """Per word the indices of the edges of its best segmentation, as ``best_edges``."""
+    return _cut(x, *best_edges(x))
+
+
+def two_best_edges(x: Edges) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The two best different segmentations (the second empty if there is
+    none), each as in ``best_edges``."""
     words = np.arange(len(x.n))
     score = np.full((len(x.n), x.width, 2), -np.inf)
     back, before = np.zeros(score.shape, np.int64), np.zeros(score.shape, np.int64)
@@ -130,9 +145,13 @@ def two_best_paths(x: Edges) -> list[list[np.ndarray]]:
             rank = np.where(on, before[words, pos, rank], rank)
             steps.append(edge)
             pos = np.where(on, x.start[edge], 0)
-        table = np.array(steps[::-1]).reshape(len(steps), len(x.n)).T
-        out[k] = [(row[row >= 0] - first).astype(np.int32) for row, first in zip(table, x.first)]
-    return [list(pair) for pair in zip(*out)]
+        out[k] = _flat(steps, len(x.n))
+    return out
+
+
+def two_best_paths(x: Edges) -> list[list[np.ndarray]]:
+    """Per word its two best segmentations, as indices of their edges."""
+    return [list(pair) for pair in zip(*(_cut(x, *flat) for flat in two_best_edges(x)))]
 
 
 @F.pandas_udf(ArrayType(IntegerType()))

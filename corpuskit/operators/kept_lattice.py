@@ -24,9 +24,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lattice_kernels import Edges, best_paths, posteriors, two_best_paths
+from ..functions.lattice_kernels import Edges, best_edges, posteriors, two_best_edges
 from ..functions.ranking import global_rank
-from ..session import cut_lineage
+from ..session import forget, stored
 from .lattice import MAX_PIECE_LENGTH, UNK_PENALTY, by_word
 
 #: Pieces of a model: a dense array of so many doubles is 128 MB.
@@ -40,7 +40,8 @@ LATTICE = "f bigint, n int, own int, s array<int>, e array<int>, k array<int>"
 def number_pieces(pieces: DataFrame) -> DataFrame:
     """``(piece, lp, k)``, ``k`` from 0 in the order of the pieces, stored."""
     ranked = global_rank(pieces.select("piece", "lp"), ["piece"], "_r")
-    out = cut_lineage(ranked.select("piece", "lp", (F.col("_r") - 1).cast("int").alias("k")))
+    out = stored(ranked.select("piece", "lp", (F.col("_r") - 1).cast("int").alias("k")))
+    forget(ranked)
     if out.count() > MAX_PIECES:
         raise ValueError(f"a model has at most {MAX_PIECES} pieces; take a smaller seed_size")
     return out
@@ -116,6 +117,21 @@ def finder(numbered: DataFrame, max_len: int = MAX_PIECE_LENGTH) -> Finder:
     return Finder(table.column("k").to_numpy().astype(np.int64), table.column("piece").to_pylist())
 
 
+def send_finder(numbered: DataFrame, max_len: int = MAX_PIECE_LENGTH):
+    """The pieces as a Spark broadcast, for more than one ``lattice``."""
+    return numbered.sparkSession.sparkContext.broadcast(finder(numbered, max_len))
+
+
+def _holding(df: DataFrame, shared) -> DataFrame:
+    df._shared = shared
+    return df
+
+
+def release(df: DataFrame) -> None:
+    """Delete what a pass had sent to the tasks, in the memory and on the disks; ``df`` has been computed."""
+    df._shared.destroy()
+
+
 def _edge_batch(find: Finder, texts: list[str], max_len: int) -> pa.RecordBatch:
     size, e, s, k = find.edges(texts, max_len)
     cut = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
@@ -123,11 +139,12 @@ def _edge_batch(find: Finder, texts: list[str], max_len: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([len(w) for w in texts], pa.int32()), *lists], names=["n", "s", "e", "k"])
 
 
-def lattice(words: DataFrame, numbered: DataFrame, max_len: int = MAX_PIECE_LENGTH) -> DataFrame:
+def lattice(words: DataFrame, numbered: DataFrame, max_len: int = MAX_PIECE_LENGTH, shared=None) -> DataFrame:
     """One row per row of ``words`` (``w, f, own``): its edges by end and start.  A
     character that is no piece is an edge without a number (-1).  A task finds its
-    words' edges itself: no row per substring is made, joined or grouped."""
-    shared = words.sparkSession.sparkContext.broadcast(finder(numbered, max_len))
+    words' edges itself: no row per substring is made, joined or grouped.
+    ``shared``: the pieces as ``send_finder`` sent them."""
+    shared = shared or send_finder(numbered, max_len)
 
     def run(batches):
         for batch in batches:
@@ -159,9 +176,7 @@ def best_pieces(words: DataFrame, pieces: DataFrame, unk_id: int, unk: str = "<u
         find, scores, ids, tokens = shared.value
         for batch in batches:
             for rows, x, k in _blocks(_edge_batch(find, batch.column("w").to_pylist(), max_len), scores):
-                paths = best_paths(x)
-                size = np.array([len(p) for p in paths])
-                at = np.concatenate([p + first for p, first in zip(paths, x.first)]).astype(np.int64)
+                at, size = best_edges(x)
                 first = np.cumsum(size) - size
                 score, piece, inner = np.add.reduceat(x.lp[at], first), k[at], np.ones(len(at), bool)
                 inner[first] = False
@@ -176,14 +191,14 @@ def best_pieces(words: DataFrame, pieces: DataFrame, unk_id: int, unk: str = "<u
     return by_word(words.select("w").where("w != ''")).mapInArrow(run, BEST)
 
 
-def word_lattice(words: DataFrame, numbered: DataFrame) -> DataFrame:
-    return lattice(words.withColumn("own", F.lit(-1)), numbered)
+def word_lattice(words: DataFrame, numbered: DataFrame, shared=None) -> DataFrame:
+    return lattice(words.withColumn("own", F.lit(-1)), numbered, shared=shared)
 
 
-def piece_lattice(numbered: DataFrame) -> DataFrame:
+def piece_lattice(numbered: DataFrame, shared=None) -> DataFrame:
     """The lattices of the pieces themselves, ``own`` their number."""
     longer = numbered.where(F.length("piece") > 1)
-    return lattice(longer.select(F.col("piece").alias("w"), F.lit(1).alias("f"), F.col("k").alias("own")), numbered)
+    return lattice(longer.select(F.col("piece").alias("w"), F.lit(1).alias("f"), F.col("k").alias("own")), numbered, shared=shared)
 
 
 def dense(model: DataFrame, size: int, value: str = "lp") -> np.ndarray:
@@ -195,6 +210,13 @@ def dense(model: DataFrame, size: int, value: str = "lp") -> np.ndarray:
     return out
 
 
+def passed(model: DataFrame, size: int, value: str) -> np.ndarray:
+    """``dense`` of what a pass gives, and ``release``."""
+    out = dense(model, size, value)
+    release(model)
+    return out
+
+
 class _Scores:
     """What a pass sends to the tasks."""
 
@@ -260,13 +282,13 @@ def _add_up(lat: DataFrame, lp: np.ndarray, weights) -> DataFrame:
                 known = (k >= 0) & (c != 0)
                 np.add.at(total, k[known], c[known])
         yield from _sums(total)
-    return lat.mapInArrow(run, "k int, c double").groupBy("k").agg(F.sum("c").alias("c"))
+    return _holding(lat.mapInArrow(run, "k int, c double").groupBy("k").agg(F.sum("c").alias("c")), shared)
 
 
 def _on_best_path(x: Edges, f: np.ndarray) -> np.ndarray:
     c = np.zeros(len(x.lp))
-    for path, at, weight in zip(best_paths(x), x.first, f):
-        c[at + path] = weight
+    at, size = best_edges(x)
+    c[at] = np.repeat(f, size)
     return c
 
 
@@ -295,16 +317,19 @@ def losses(pieces_lat: DataFrame, lp: np.ndarray, vf: np.ndarray, n_words: float
             batch = batch.filter(pa.array(used))
             mine, out = mine[used], []
             for rows, x, k in _blocks(batch, scores):
-                for row, at, (first, second) in zip(rows, x.first, two_best_paths(x)):
-                    if len(first) != 1 or not len(second):
-                        continue
-                    f, other = vf[mine[row]], k[at + second]
-                    taken = np.where(other >= 0, np.nan_to_num(vf[other]), 0.0) + f
-                    after = np.log(taken).sum() - len(other) * np.log(total + f * (len(other) - 1))
-                    out.append((mine[row], f / n_words * (np.log(f) - log_total - after)))
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k for k, _ in out], pa.int32()),
-                                              "loss": pa.array([v for _, v in out], pa.float64())})
-    return pieces_lat.mapInArrow(run, "k int, loss double")
+                (_, parts), (second, size) = two_best_edges(x)
+                own = (parts == 1) & (size > 0)
+                other, size = k[second[np.repeat(own, size)]], size[own]
+                if not len(size):
+                    continue
+                piece = mine[rows[own]]
+                f = vf[piece]
+                taken = np.where(other >= 0, np.nan_to_num(vf[other]), 0.0) + np.repeat(f, size)
+                after = np.add.reduceat(np.log(taken), np.cumsum(size) - size) - size * np.log(total + f * (size - 1))
+                out.append((piece, f / n_words * (np.log(f) - log_total - after)))
+            piece, loss = (np.concatenate(v) for v in zip(*out)) if out else (np.zeros(0, np.int32), np.zeros(0))
+            yield pa.RecordBatch.from_pydict({"k": pa.array(piece, pa.int32()), "loss": pa.array(loss, pa.float64())})
+    return _holding(pieces_lat.mapInArrow(run, "k int, loss double"), shared)
 
 
 def thin(lat: DataFrame, lp: np.ndarray) -> DataFrame:
@@ -320,4 +345,4 @@ def thin(lat: DataFrame, lp: np.ndarray) -> DataFrame:
             cut = pa.array(np.searchsorted(word, np.arange(batch.num_rows + 1)), pa.int32())
             lists = [pa.ListArray.from_arrays(cut, pa.array(v, pa.int32())) for v in edges]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("f", "n", "own")] + lists, names=["f", "n", "own", "s", "e", "k"])
-    return lat.mapInArrow(run, LATTICE)
+    return _holding(lat.mapInArrow(run, LATTICE), shared)

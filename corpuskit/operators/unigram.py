@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.joins import lookup_join
-from ..functions.numeric import digamma
+from ..functions.numeric import digamma, digamma_array
 from ..functions.ranking import global_rank, top_k
-from ..session import cut_lineage
+from ..session import cut_lineage, forget, stored
 from . import kept_lattice as K
 from .lattice import MAX_PIECE_LENGTH, UNK_PENALTY, by_word, collect_edges, lattice_edges, with_viterbi
 
@@ -72,11 +72,11 @@ def counted_substrings(words: DataFrame, max_len: int = MAX_PIECE_LENGTH, steps=
                 .select("*", F.explode(F.expr(f"sequence(a, b - {low})")).alias("s"))
                 .select("w", "f", "s", F.explode(F.expr(f"sequence(s + {low}, least(b, s + {high}))")).alias("e"))
                 .withColumn("piece", F.expr("substring(w, s + 1, e - s)")))
-        levels.append(cut_lineage(subs.groupBy("piece").agg(F.sum("f").alias("freq"))
-                                      .where((F.length("piece") == 1) | (F.col("freq") >= 2))))
+        levels.append(stored(subs.groupBy("piece").agg(F.sum("f").alias("freq"))
+                                 .where((F.length("piece") == 1) | (F.col("freq") >= 2))))
         if high < max_len:
             longest = levels[-1].where(F.length("piece") == high)
-            stretches = cut_lineage(_stretches(subs.where(f"e - s = {high}"), longest, high))
+            stretches = stored(_stretches(subs.where(f"e - s = {high}"), longest, high))
             low = high + 1
     return reduce(DataFrame.unionByName, levels)
 
@@ -124,9 +124,13 @@ def e_step(words: DataFrame, pieces: DataFrame) -> DataFrame:
     return counts.join(numbered.select("k", "piece"), "k").select("piece", "c")
 
 
-def m_step(counts: DataFrame, threshold: float = EXPECTED_FREQUENCY_THRESHOLD) -> DataFrame:
+def m_step(counts: DataFrame | np.ndarray, threshold: float = EXPECTED_FREQUENCY_THRESHOLD) -> DataFrame | np.ndarray:
     """V4: ``(piece, c, lp)`` with ``lp = digamma(c) - digamma(sum c)``.  The counts, a pass
-    over all words, feed the sum and the rows: computed once."""
+    over all words, feed the sum and the rows: computed once.  Dense counts by number, as a
+    training holds them, give the dense ``lp``."""
+    if isinstance(counts, np.ndarray):
+        c = np.where(counts >= threshold, counts, np.nan)
+        return digamma_array(c) - digamma_array(np.nansum(c)) if np.isfinite(c).any() else c
     kept = cut_lineage(counts).where(F.col("c") >= threshold)
     norm = kept.agg(F.sum("c").alias("t")).select(digamma(F.col("t"))).scalar()
     return kept.withColumn("lp", digamma(F.col("c")) - norm)
@@ -137,17 +141,22 @@ def viterbi_words(words: DataFrame, pieces: DataFrame, keys=("w", "f")) -> DataF
     return with_viterbi(word_lattices(words, pieces, keys))
 
 
-def _keep(numbered: DataFrame, lp, vf, pieces_lat: DataFrame, n_words: float, desired_size: int,
-          shrinking_factor: float) -> DataFrame:
-    """``k`` of the pieces that a pruning keeps."""
-    current = int(np.isfinite(lp).sum())
-    pruned_size = max(desired_size, int(shrinking_factor * current))
-    chars = numbered.where(F.length("piece") == 1).join(_table(numbered.sparkSession, lp), "k", "left_semi").select("k")
-    room = max(pruned_size - chars.count(), 0)
-    # the losses feed a histogram and a selection: computed once; numbers follow the
-    # pieces' order, so ties go to the first piece
-    cands = cut_lineage(K.losses(pieces_lat, lp, vf, n_words))
-    return chars.unionByName(top_k(cands, "loss", ["k"], room).select("k"))
+def _single(numbered: DataFrame, size: int) -> np.ndarray:
+    """Which numbers are those of single characters."""
+    return np.isfinite(K.dense(numbered.where(F.length("piece") == 1).withColumn("one", F.lit(1)), size, "one"))
+
+
+def _keep(single: np.ndarray, lp: np.ndarray, vf: np.ndarray, pieces_lat: DataFrame, n_words: float, desired_size: int,
+          shrinking_factor: float) -> np.ndarray:
+    """Which pieces a pruning keeps, by number.  Every loss is known by number, as the scores are."""
+    pruned_size = max(desired_size, int(shrinking_factor * np.isfinite(lp).sum()))
+    keep = single & np.isfinite(lp)
+    loss = K.passed(K.losses(pieces_lat, lp, vf, n_words), len(lp), "loss")
+    found = np.flatnonzero(~np.isnan(loss))
+    # numbers follow the pieces' order, so ties go to the first piece
+    best = found[np.argsort(-loss[found], kind="stable")]
+    keep[best[:max(pruned_size - int(keep.sum()), 0)]] = True
+    return keep
 
 
 def prune(words: DataFrame, pieces: DataFrame, desired_size: int,
@@ -159,10 +168,10 @@ def prune(words: DataFrame, pieces: DataFrame, desired_size: int,
     itself is dropped; the rest are ranked by loss."""
     numbered = K.number_pieces(pieces)
     lp = K.dense(numbered, numbered.count())
-    vf = K.dense(K.viterbi_counts(K.word_lattice(words, numbered), lp), len(lp), "c")
+    vf = K.passed(K.viterbi_counts(K.word_lattice(words, numbered), lp), len(lp), "c")
     n_words = words.agg(F.sum("f").cast("double")).first()[0] or 0.0
-    keep = _keep(numbered, lp, vf, K.piece_lattice(numbered), n_words, desired_size, shrinking_factor)
-    kept = numbered.join(keep, "k", "left_semi").select("piece")
+    keep = _keep(_single(numbered, len(lp)), lp, vf, K.piece_lattice(numbered), n_words, desired_size, shrinking_factor)
+    kept = numbered.join(_table(numbered.sparkSession, np.where(keep, 0.0, np.nan)), "k", "left_semi").select("piece")
     return pieces.join(kept, "piece", "left_semi")
 
 
@@ -196,6 +205,15 @@ def _table(spark, lp: np.ndarray) -> DataFrame:
     return spark.createDataFrame(pa.table({"k": pa.array(k, pa.int32()), "lp": pa.array(lp[k], pa.float64())}))
 
 
+def _thinned(lat: DataFrame, lp: np.ndarray) -> DataFrame:
+    """``K.thin`` stored in place of ``lat``."""
+    less = K.thin(lat, lp)
+    out = stored(less)
+    K.release(less)
+    forget(lat)
+    return out
+
+
 def train(words: DataFrame, vocab_size: int = P.VOCAB_SIZE, seed_size: int = SEED_SIZE,
           n_sub_iterations: int = N_SUB_ITERATIONS, shrinking_factor: float = SHRINKING_FACTOR,
           log=None, base: DataFrame | None = None) -> DataFrame:
@@ -205,36 +223,45 @@ def train(words: DataFrame, vocab_size: int = P.VOCAB_SIZE, seed_size: int = SEE
     words that it lacks are added at its lowest score less the unknown penalty.
     Rounds go on until the size is reached, or no piece is left to remove (the
     characters, which are all kept, may be more than the vocabulary)."""
-    words = cut_lineage(words.select("w", "f"))
-    seeds = cut_lineage(seed_pieces(words, seed_size) if base is None else base_pieces(words, base))
+    words = stored(words.select("w", "f"))
+    if base is None:
+        counted = seed_pieces(words, seed_size)
+        seeds = stored(counted)
+        forget(counted)
+    else:
+        seeds = stored(base_pieces(words, base))
     chars = seeds.where(F.length("piece") == 1).select("piece")
     desired = int(vocab_size * DESIRED_SIZE_FACTOR)
     n_words = words.agg(F.sum("f").cast("double")).first()[0] or 0.0
     numbered = K.number_pieces(seeds)
     lp = K.dense(numbered, numbered.count())
-    lat = cut_lineage(K.word_lattice(words, numbered))
+    single = _single(numbered, len(lp))
+    find = K.send_finder(numbered)
+    lat = stored(K.word_lattice(words, numbered, find))
     pieces_lat = None
     rnd = 0
     while True:
         for _ in range(n_sub_iterations):
-            lp = K.dense(m_step(K.expected_counts(lat, lp)), len(lp))
+            lp = m_step(K.passed(K.expected_counts(lat, lp), len(lp), "c"))
         size = int(np.isfinite(lp).sum())
         if log:
             log(f"round {rnd}: {size} pieces")
         if size <= desired:
             break
         if pieces_lat is None:
-            pieces_lat = cut_lineage(K.piece_lattice(numbered))
-        vf = K.dense(K.viterbi_counts(lat, lp), len(lp), "c")
-        kept = K.dense(_keep(numbered, lp, vf, pieces_lat, n_words, desired, shrinking_factor).withColumn("one", F.lit(1)),
-                       len(lp), "one")
-        lp = np.where(np.isnan(kept), np.nan, lp)
+            pieces_lat = stored(K.piece_lattice(numbered, find))
+        vf = K.passed(K.viterbi_counts(lat, lp), len(lp), "c")
+        lp = np.where(_keep(single, lp, vf, pieces_lat, n_words, desired, shrinking_factor), lp, np.nan)
         if np.isfinite(lp).sum() >= size:
             break
-        lat, pieces_lat = cut_lineage(K.thin(lat, lp)), cut_lineage(K.thin(pieces_lat, lp))
+        lat, pieces_lat = _thinned(lat, lp), _thinned(pieces_lat, lp)
         rnd += 1
+    find.destroy()
+    forget(lat, *([] if pieces_lat is None else [pieces_lat]))
     pieces = numbered.select("piece", "k").join(_table(numbered.sparkSession, lp), "k").select("piece", "lp")
-    return cut_lineage(finalize(pieces, vocab_size, chars))
+    vocab = cut_lineage(finalize(pieces, vocab_size, chars))
+    forget(words, seeds, numbered)
+    return vocab
 
 
 def encode_words(words: DataFrame, vocab: DataFrame, col: str = "w") -> DataFrame:
